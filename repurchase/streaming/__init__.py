@@ -1,0 +1,6 @@
+"""Streaming surface.
+
+The analysis this library reproduces has no streams, watermarks, windows
+over event time or stateful operators; every operator is a batch
+DataFrame function. Nothing is built here on purpose (see README).
+"""
