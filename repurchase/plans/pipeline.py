@@ -1,10 +1,10 @@
 """The analysis as one object: tables + parameters -> every derived frame.
 
-``Analysis`` builds each stage once as a lazy plan (no action runs until a
-caller asks). ``publish`` is the production path: gate on the constraint
-report, then materialise the shared stages and the marts as parquet in the
-cluster's shared folder, so downstream stages and retries read files
-instead of recomputing lineage after a lost executor.
+``Analysis`` builds each stage once, as a lazy plan or (with a store) as a
+table written once and read back. ``publish`` is the production path: gate
+on the constraint report, then write the stages and the marts as parquet in
+the cluster's shared folder, so later stages and retries read files instead
+of recomputing lineage after a lost executor.
 """
 
 from __future__ import annotations
@@ -14,15 +14,26 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from ..operators import cohort, explore, logistics, marts, quality
-from ..sources.tables import backfill_dim, storage_root, write_table
+from ..operators import cohort, marts, quality
+from ..sources.tables import backfill_dim, write_table
 from .params import FIXTURE, Params
+from .stages import StageStore
 
 
 class Analysis:
-    def __init__(self, tables: Mapping[str, DataFrame], params: Params = FIXTURE):
+    """Stages of the analysis over ``tables`` with ``params``.
+
+    With a ``store`` the cohort stages are written once and read back (see
+    ``plans.stages``); without one they stay lazy plans.
+    """
+
+    def __init__(self, tables: Mapping[str, DataFrame], params: Params = FIXTURE, store: StageStore | None = None):
         self.t = tables
         self.p = params
+        self.store = store
+
+    def _stage(self, name: str, build) -> DataFrame:
+        return self.store.get(name, build) if self.store is not None else build()
 
     # -- inputs --------------------------------------------------------
     @property
@@ -64,31 +75,45 @@ class Analysis:
     # -- cohort stages ---------------------------------------------------
     @cached_property
     def effective(self) -> DataFrame:
-        return cohort.effective_orders(self.orders, self.customers, self.p.delivered_status)
+        return self._stage(
+            "step1_effective_orders",
+            lambda: cohort.effective_orders(self.orders, self.customers, self.p.delivered_status),
+        )
 
     @cached_property
     def people(self) -> DataFrame:
-        return cohort.unique_customers(self.effective)
+        return self._stage("step2_unique_customers", lambda: cohort.unique_customers(self.effective))
 
     @cached_property
     def mature(self) -> DataFrame:
-        return cohort.mature_customers(self.people, self.p.maturity_cutoff)
+        return self._stage(
+            "step3_mature_customers", lambda: cohort.mature_customers(self.people, self.p.maturity_cutoff)
+        )
 
     @cached_property
     def mature_orders(self) -> DataFrame:
-        return cohort.mature_orders(self.mature, self.customers, self.orders, self.p.delivered_status)
+        return self._stage(
+            "mature_orders",
+            lambda: cohort.mature_orders(self.mature, self.customers, self.orders, self.p.delivered_status),
+        )
 
     @cached_property
     def base(self) -> DataFrame:
-        return marts.order_base(self.mature_orders, self.items, self.sellers)
+        return self._stage("order_base", lambda: marts.order_base(self.mature_orders, self.items, self.sellers))
 
     @cached_property
     def base_reviews(self) -> DataFrame:
-        return marts.order_base(self.mature_orders, self.items, self.sellers, self.reviews, dedupe_reviews=False)
+        return self._stage(
+            "order_base_reviews",
+            lambda: marts.order_base(self.mature_orders, self.items, self.sellers, self.reviews, dedupe_reviews=False),
+        )
 
     @cached_property
     def base_reviews_dedup(self) -> DataFrame:
-        return marts.order_base(self.mature_orders, self.items, self.sellers, self.reviews, dedupe_reviews=True)
+        return self._stage(
+            "order_base_reviews_dedup",
+            lambda: marts.order_base(self.mature_orders, self.items, self.sellers, self.reviews, dedupe_reviews=True),
+        )
 
     # -- marts -------------------------------------------------------------
     def state_mart(self) -> DataFrame:
@@ -105,36 +130,31 @@ class Analysis:
         return quality.constraint_report(self.tables_filled, self.p.expected_failures)
 
 
-def publish(analysis: Analysis, root: str | None = None) -> dict[str, DataFrame]:
+STAGES = ("effective", "people", "mature", "mature_orders", "base", "base_reviews")
+
+
+def publish(tables: Mapping[str, DataFrame], params: Params, folder: str) -> dict[str, DataFrame]:
     """Gate, then write the cohort stages and the dashboard tables.
 
-    Writes under ``root`` (default: the session's shared checkpoint folder).
-    Each written table is read back, so the next stage's lineage starts at
-    the files. Raises ``ConstraintError`` before writing anything when a
-    constraint fails that is not allow-listed.
+    Raises ``ConstraintError`` before writing anything when a constraint
+    fails that is not allow-listed. Stages and marts are written under
+    ``folder`` (use the cluster's shared folder) and returned read back.
     """
-    quality.assert_constraints(analysis.constraint_report())
-    spark = analysis.orders.sparkSession
-    base_dir = (root or storage_root(spark)).rstrip("/") + "/published"
-    out: dict[str, DataFrame] = {}
-
-    def put(name: str, df: DataFrame, partition_by=None) -> DataFrame:
-        out[name] = write_table(df, f"{base_dir}/{name}", partition_by)
-        return out[name]
-
-    put("step1_effective_orders", analysis.effective)
-    people = put("step2_unique_customers", analysis.people)
-    mature = put("step3_mature_customers", cohort.mature_customers(people, analysis.p.maturity_cutoff))
-    staged = Analysis(analysis.t, analysis.p)
-    staged.__dict__["mature"] = mature
-    mo = put("mature_orders", staged.mature_orders)
-    staged.__dict__["mature_orders"] = mo
-    staged.__dict__["base"] = put("order_base", staged.base)
-    staged.__dict__["base_reviews"] = put("order_base_reviews", staged.base_reviews)
-    put("dm_state_logistics_retention_summary", staged.state_mart())
-    put("dm_state_logistics_retention_summary_with_reviews", staged.state_mart_reviews())
-    put("fact_customer_order_totals", staged.customer_order_fact(), ["buyer_state"])
+    quality.assert_constraints(Analysis(tables, params).constraint_report())
+    spark = next(iter(tables.values())).sparkSession
+    staged = Analysis(tables, params, StageStore(spark, folder, folder=folder))
+    out = {name: getattr(staged, name) for name in STAGES}
+    base = folder.rstrip("/")
+    out["dm_state_logistics_retention_summary"] = write_table(
+        staged.state_mart(), f"{base}/dm_state_logistics_retention_summary"
+    )
+    out["dm_state_logistics_retention_summary_with_reviews"] = write_table(
+        staged.state_mart_reviews(), f"{base}/dm_state_logistics_retention_summary_with_reviews"
+    )
+    out["fact_customer_order_totals"] = write_table(
+        staged.customer_order_fact(), f"{base}/fact_customer_order_totals", ["buyer_state"]
+    )
     return out
 
 
-__all__ = ["Analysis", "publish", "explore", "logistics"]
+__all__ = ["Analysis", "STAGES", "publish"]

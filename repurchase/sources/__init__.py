@@ -1,6 +1,6 @@
 """Sources and sinks: parquet load, table write, dimension back-fill, fixtures."""
 
-from .fixtures import FixtureTables, fixture_tables
+from .fixtures import FixtureTables, fixture_tables, ingest_fixture_tables
 from .tables import REFERENCE_TABLES, backfill_dim, load_tables, storage_root, table_inventory, write_table
 
 __all__ = [
@@ -8,6 +8,7 @@ __all__ = [
     "REFERENCE_TABLES",
     "backfill_dim",
     "fixture_tables",
+    "ingest_fixture_tables",
     "load_tables",
     "storage_root",
     "table_inventory",
