@@ -24,57 +24,63 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .numeric import idiv
-
 _WIDE = "decimal(38,0)"
 
 
 def percentile_numerators(
     df: DataFrame,
     keys: list[str],
-    measures: Mapping[str, Column],
+    measures: Mapping[str, str | Column],
     requests: Mapping[str, tuple[str, int]],
 ) -> DataFrame:
     """One row per key combination present in ``df``.
 
-    ``measures`` maps a name to an integral Column (nulls are ignored, as in
-    SQL). ``requests`` maps an output name to (measure name, p in percent).
-    Each output column holds X = 100 * PERCENTILE_CONT(p/100) as decimal(38,0)
-    (null when the measure has no non-null value in the group); divide by
-    100 * unit and round with ``round_ratio``.
+    ``measures`` maps a name to an integral SQL expression or Column (nulls
+    are ignored, as in SQL). ``requests`` maps an output name to (measure
+    name, p in percent). Each output column holds
+    X = 100 * PERCENTILE_CONT(p/100) as decimal(38,0), null when the measure
+    has no non-null value in the group; divide by 100 * unit and round with
+    ``round_ratio``.
     """
     ids = {name: i for i, name in enumerate(measures)}
-    packed = F.array(
-        *[F.struct(F.lit(ids[name]).alias("m"), c.cast("long").alias("v")) for name, c in measures.items()]
-    )
+    if all(isinstance(e, str) for e in measures.values()):
+        packed = F.expr(
+            "array("
+            + ", ".join(f"named_struct('m', {ids[n]}, 'v', CAST(({e}) AS BIGINT))" for n, e in measures.items())
+            + ")"
+        )
+    else:
+        packed = F.array(
+            *[
+                F.struct(F.lit(ids[n]).alias("m"), (F.expr(e) if isinstance(e, str) else e).cast("long").alias("v"))
+                for n, e in measures.items()
+            ]
+        )
     tall = (
         df.select(*keys, F.explode(packed).alias("_mv"))
-        .select(*keys, F.col("_mv.m").alias("_m"), F.col("_mv.v").alias("_v"))
-        .where(F.col("_v").isNotNull())
+        .selectExpr(*keys, "_mv.m AS _m", "_mv.v AS _v")
+        .where("_v IS NOT NULL")
     )
     counts = tall.groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_c"))
     part = Window.partitionBy(*keys, "_m")
     running = part.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counts.withColumn("_end", F.sum("_c").over(running)).withColumn("_n", F.sum("_c").over(part))
-    start = F.col("_end") - F.col("_c")
 
     aggs = []
     for out, (measure, p) in requests.items():
         if not 0 <= p <= 100:
             raise ValueError(f"percentile {p} outside 0..100")
-        is_m = F.col("_m") == F.lit(ids[measure])
-        pos = F.lit(p).cast("long") * (F.col("_n") - F.lit(1))
-        lo_rank = idiv(pos, F.lit(100).cast("long"))
-        frac = pos % F.lit(100)
-        hi_rank = lo_rank + F.when(frac > 0, F.lit(1)).otherwise(F.lit(0))
+        i = ids[measure]
+        pos = f"(CAST({p} AS BIGINT) * (_n - 1))"
+        lo_rank = f"({pos} div 100)"
+        hi_rank = f"({lo_rank} + CASE WHEN {pos} % 100 > 0 THEN 1 ELSE 0 END)"
 
-        def covering(rank: Column) -> Column:
-            return is_m & (start <= rank) & (rank < F.col("_end"))
+        def value_at(rank: str) -> str:
+            return f"CAST(max(CASE WHEN _m = {i} AND _end - _c <= {rank} AND {rank} < _end THEN _v END) AS {_WIDE})"
 
-        lo = F.max(F.when(covering(lo_rank), F.col("_v"))).cast(_WIDE)
-        hi = F.max(F.when(covering(hi_rank), F.col("_v"))).cast(_WIDE)
-        fr = F.max(F.when(is_m, frac)).cast(_WIDE)
-        aggs.append((lo * F.lit(100) + (hi - lo) * fr).alias(out))
+        lo, hi = value_at(lo_rank), value_at(hi_rank)
+        fr = f"CAST(max(CASE WHEN _m = {i} THEN {pos} % 100 END) AS {_WIDE})"
+        aggs.append(F.expr(f"{lo} * 100 + ({hi} - {lo}) * {fr}").alias(out))
     if keys:
         return ranked.groupBy(*keys).agg(*aggs)
     return ranked.agg(*aggs)

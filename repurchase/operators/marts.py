@@ -82,7 +82,7 @@ def state_retention(mature: DataFrame) -> DataFrame:
     """People per latest state and percent with more than one order."""
     return mature.groupBy(F.col("customer_state").alias("buyer_state")).agg(
         F.count(F.lit(1)).alias("total_customers_mature"),
-        pct(F.count_if(F.col("total_orders") > 1), F.count(F.lit(1))).alias("retention_rate_percentage"),
+        pct("count_if(total_orders > 1)", "count(1)").alias("retention_rate_percentage"),
     )
 
 
@@ -90,18 +90,6 @@ def _state_orders(base: DataFrame) -> DataFrame:
     return base.groupBy("buyer_state").agg(F.countDistinct("order_id").alias("total_orders_mature"))
 
 
-def _intra() -> Column:
-    return F.col("is_cross_state") == 0
-
-
-def _cross() -> Column:
-    return F.col("is_cross_state") == 1
-
-
-def _when(cond: Column, c: str) -> Column:
-    return F.when(cond, F.col(c))
-
-
 def _attach(retention: DataFrame, base: DataFrame, logistics: DataFrame) -> DataFrame:
     """Retention LEFT JOIN order counts LEFT JOIN logistics, on plain state
     equality (a null state never matches, as in the reference)."""
@@ -109,39 +97,46 @@ def _attach(retention: DataFrame, base: DataFrame, logistics: DataFrame) -> Data
     return retention.join(counts, on="buyer_state", how="left").join(logistics, on="buyer_state", how="left")
 
 
+INTRA_SQL = "is_cross_state = 0"
+CROSS_SQL = "is_cross_state = 1"
+
+
+def _agg(**named: str) -> list[Column]:
+    return [F.expr(e).alias(n) for n, e in named.items()]
+
+
 def state_mart(mature: DataFrame, base: DataFrame) -> DataFrame:
     """M1: the state logistics and retention mart (23 columns). Flagship.
 
     Means of cents and microseconds are exact integer ratios; medians and
     quartiles are exact PERCENTILE_CONT; differences and the premium are
-    taken from the already rounded values, as the reference does.
+    taken from the already rounded values, as the reference does. The order
+    count joins in from the same aggregate as the logistics measures.
     """
     plain = base.groupBy("buyer_state").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(F.col("price_cents").cast("decimal(38,0)")).alias("_price"),
-        F.sum(F.col("freight_cents").cast("decimal(38,0)")).alias("_freight"),
-        F.count_if(_cross()).alias("_cross"),
-        F.avg(
-            F.col("freight_cents").cast("double")
-            / F.nullif(F.col("price_cents") + F.col("freight_cents"), F.lit(0)).cast("double")
-            * F.lit(100.0)
-        ).alias("_ratio"),
-        F.count_if(F.col("freight_cents") > F.col("price_cents")).alias("_inverse"),
-        F.sum(_when(_intra(), "shipping_us").cast("decimal(38,0)")).alias("_intra_us"),
-        F.count(_when(_intra(), "shipping_us")).alias("_intra_n"),
-        F.sum(_when(_cross(), "shipping_us").cast("decimal(38,0)")).alias("_cross_us"),
-        F.count(_when(_cross(), "shipping_us")).alias("_cross_n"),
+        *_agg(
+            _n="count(1)",
+            _price="sum(CAST(price_cents AS DECIMAL(38,0)))",
+            _freight="sum(CAST(freight_cents AS DECIMAL(38,0)))",
+            _cross=f"count_if({CROSS_SQL})",
+            _ratio="avg(CAST(freight_cents AS DOUBLE) / CAST(NULLIF(price_cents + freight_cents, 0) AS DOUBLE) * 100.0)",
+            _inverse="count_if(freight_cents > price_cents)",
+            _intra_us=f"sum(CAST(CASE WHEN {INTRA_SQL} THEN shipping_us END AS DECIMAL(38,0)))",
+            _intra_n=f"count(CASE WHEN {INTRA_SQL} THEN shipping_us END)",
+            _cross_us=f"sum(CAST(CASE WHEN {CROSS_SQL} THEN shipping_us END AS DECIMAL(38,0)))",
+            _cross_n=f"count(CASE WHEN {CROSS_SQL} THEN shipping_us END)",
+        )
     )
     pcts = percentile_numerators(
         base,
         ["buyer_state"],
         {
-            "freight": F.col("freight_cents"),
-            "intra_freight": _when(_intra(), "freight_cents"),
-            "cross_freight": _when(_cross(), "freight_cents"),
-            "days": F.col("shipping_us"),
-            "intra_days": _when(_intra(), "shipping_us"),
-            "cross_days": _when(_cross(), "shipping_us"),
+            "freight": "freight_cents",
+            "intra_freight": f"CASE WHEN {INTRA_SQL} THEN freight_cents END",
+            "cross_freight": f"CASE WHEN {CROSS_SQL} THEN freight_cents END",
+            "days": "shipping_us",
+            "intra_days": f"CASE WHEN {INTRA_SQL} THEN shipping_us END",
+            "cross_days": f"CASE WHEN {CROSS_SQL} THEN shipping_us END",
         },
         {
             "_median_freight": ("freight", 50),
@@ -154,11 +149,11 @@ def state_mart(mature: DataFrame, base: DataFrame) -> DataFrame:
             "_cross_median_days": ("cross_days", 50),
         },
     )
-    money_units, day_units = F.lit(100 * 100), F.lit(100 * US_PER_DAY)
+    money_units, day_units, day = 100 * 100, 100 * US_PER_DAY, US_PER_DAY
     lg = plain.join(pcts, on="buyer_state", how="inner").select(
         "buyer_state",
-        round_ratio("_price", F.col("_n") * 100, 2).alias("avg_order_price"),
-        round_ratio("_freight", F.col("_n") * 100, 2).alias("avg_freight_value"),
+        round_ratio("_price", "_n * 100", 2).alias("avg_order_price"),
+        round_ratio("_freight", "_n * 100", 2).alias("avg_freight_value"),
         round_ratio("_median_freight", money_units, 2).alias("median_freight_value"),
         round_double("_ratio", 2).alias("avg_order_freight_ratio_percentage"),
         pct("_inverse", "_n").alias("freight_inverse_order_ratio_percentage"),
@@ -168,16 +163,16 @@ def state_mart(mature: DataFrame, base: DataFrame) -> DataFrame:
         round_ratio("_q1_days", day_units, 1).alias("total_q1_days"),
         round_ratio("_median_days", day_units, 1).alias("total_median_days"),
         round_ratio("_q3_days", day_units, 1).alias("total_q3_days"),
-        round_ratio_int("_intra_us", F.col("_intra_n") * F.lit(US_PER_DAY), 1).alias("_intra_avg"),
+        round_ratio_int("_intra_us", f"_intra_n * {day}", 1).alias("_intra_avg"),
         round_ratio_int("_intra_median_days", day_units, 1).alias("_intra_md"),
-        round_ratio_int("_cross_us", F.col("_cross_n") * F.lit(US_PER_DAY), 1).alias("_cross_avg"),
+        round_ratio_int("_cross_us", f"_cross_n * {day}", 1).alias("_cross_avg"),
         round_ratio_int("_cross_median_days", day_units, 1).alias("_cross_md"),
     )
     out = _attach(state_retention(mature), base, lg)
     return out.select(
         "buyer_state",
         "total_customers_mature",
-        F.coalesce(F.col("total_orders_mature"), F.lit(0).cast("long")).alias("total_orders_mature"),
+        F.expr("coalesce(total_orders_mature, CAST(0 AS BIGINT))").alias("total_orders_mature"),
         "avg_order_price",
         "avg_freight_value",
         "median_freight_value",
@@ -186,7 +181,7 @@ def state_mart(mature: DataFrame, base: DataFrame) -> DataFrame:
         "cross_state_ratio_percentage",
         scaled("_intra_mf", 2).alias("intra_median_freight"),
         scaled("_cross_mf", 2).alias("cross_median_freight"),
-        scaled(F.col("_cross_mf") - F.col("_intra_mf"), 2).alias("cross_state_freight_diff"),
+        scaled("_cross_mf - _intra_mf", 2).alias("cross_state_freight_diff"),
         round_ratio("_cross_mf", "_intra_mf", 2).alias("cross_state_freight_premium_ratio"),
         "total_q1_days",
         "total_median_days",
@@ -195,8 +190,8 @@ def state_mart(mature: DataFrame, base: DataFrame) -> DataFrame:
         scaled("_intra_md", 1).alias("intra_median_days"),
         scaled("_cross_avg", 1).alias("cross_avg_days"),
         scaled("_cross_md", 1).alias("cross_median_days"),
-        scaled(F.col("_cross_md") - F.col("_intra_md"), 1).alias("cross_state_delivery_diff_median"),
-        scaled(F.col("_cross_avg") - F.col("_intra_avg"), 1).alias("cross_state_delivery_diff_avg"),
+        scaled("_cross_md - _intra_md", 1).alias("cross_state_delivery_diff_median"),
+        scaled("_cross_avg - _intra_avg", 1).alias("cross_state_delivery_diff_avg"),
         "retention_rate_percentage",
     ).orderBy(F.col("retention_rate_percentage").desc())
 
@@ -207,27 +202,29 @@ def state_mart_reviews(mature: DataFrame, base_reviews: DataFrame, low_review_ma
     ``base_reviews`` is ``order_base(..., reviews=...)``; whether reviews were
     reduced first (M2b) or not (M2, fan-out kept) is decided there.
     """
-    score = F.col("order_review_score")
-    low = score <= low_review_max
+    low = f"order_review_score <= {int(low_review_max)}"
+    rated = "order_review_score IS NOT NULL"
     plain = base_reviews.groupBy("buyer_state").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(_cross()).alias("_cross"),
-        F.count_if(F.col("freight_cents") > F.col("price_cents")).alias("_inverse"),
-        F.sum(score.cast("long")).alias("_score_sum"),
-        F.count(score).alias("_score_n"),
-        F.count_if(_intra() & low).alias("_intra_low"),
-        F.count_if(_intra() & score.isNotNull()).alias("_intra_rated"),
-        F.count_if(_cross() & low).alias("_cross_low"),
-        F.count_if(_cross() & score.isNotNull()).alias("_cross_rated"),
+        *_agg(
+            _n="count(1)",
+            _cross=f"count_if({CROSS_SQL})",
+            _inverse="count_if(freight_cents > price_cents)",
+            _score_sum="sum(CAST(order_review_score AS BIGINT))",
+            _score_n="count(order_review_score)",
+            _intra_low=f"count_if({INTRA_SQL} AND {low})",
+            _intra_rated=f"count_if({INTRA_SQL} AND {rated})",
+            _cross_low=f"count_if({CROSS_SQL} AND {low})",
+            _cross_rated=f"count_if({CROSS_SQL} AND {rated})",
+        )
     )
     pcts = percentile_numerators(
         base_reviews,
         ["buyer_state"],
         {
-            "intra_freight": _when(_intra(), "freight_cents"),
-            "cross_freight": _when(_cross(), "freight_cents"),
-            "intra_days": _when(_intra(), "shipping_us"),
-            "cross_days": _when(_cross(), "shipping_us"),
+            "intra_freight": f"CASE WHEN {INTRA_SQL} THEN freight_cents END",
+            "cross_freight": f"CASE WHEN {CROSS_SQL} THEN freight_cents END",
+            "intra_days": f"CASE WHEN {INTRA_SQL} THEN shipping_us END",
+            "cross_days": f"CASE WHEN {CROSS_SQL} THEN shipping_us END",
         },
         {
             "_intra_median_freight": ("intra_freight", 50),
@@ -236,7 +233,7 @@ def state_mart_reviews(mature: DataFrame, base_reviews: DataFrame, low_review_ma
             "_cross_median_days": ("cross_days", 50),
         },
     )
-    money_units, day_units = F.lit(100 * 100), F.lit(100 * US_PER_DAY)
+    money_units, day_units = 100 * 100, 100 * US_PER_DAY
     lg = plain.join(pcts, on="buyer_state", how="inner").select(
         "buyer_state",
         pct("_cross", "_n").alias("cross_state_ratio_percentage"),
@@ -246,14 +243,14 @@ def state_mart_reviews(mature: DataFrame, base_reviews: DataFrame, low_review_ma
         round_ratio("_intra_median_days", day_units, 1).alias("intra_median_days"),
         round_ratio("_cross_median_days", day_units, 1).alias("cross_median_days"),
         round_ratio("_score_sum", "_score_n", 2).alias("avg_review_score"),
-        round_ratio_int(F.col("_intra_low") * 100, "_intra_rated", 2).alias("_il"),
-        round_ratio_int(F.col("_cross_low") * 100, "_cross_rated", 2).alias("_cl"),
+        round_ratio_int("_intra_low * 100", "_intra_rated", 2).alias("_il"),
+        round_ratio_int("_cross_low * 100", "_cross_rated", 2).alias("_cl"),
     )
     out = _attach(state_retention(mature), base_reviews, lg)
     return out.select(
         "buyer_state",
         "total_customers_mature",
-        F.coalesce(F.col("total_orders_mature"), F.lit(0).cast("long")).alias("total_orders_mature"),
+        F.expr("coalesce(total_orders_mature, CAST(0 AS BIGINT))").alias("total_orders_mature"),
         "cross_state_ratio_percentage",
         "freight_inverse_order_ratio_percentage",
         "intra_median_freight",
