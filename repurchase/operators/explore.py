@@ -47,17 +47,19 @@ def status_counts(orders: DataFrame) -> DataFrame:
     return orders.groupBy("order_status").agg(F.count(F.lit(1)).alias("order_count"))
 
 
-def new_customers_by_quarter(orders: DataFrame, customers: DataFrame, status: str = "delivered") -> DataFrame:
-    """E5: people by the quarter of their first delivered purchase."""
-    first = delivered_orders(orders, customers, status).groupBy(PERSON).agg(F.min(TS).alias("first_purchase_time"))
+def new_customers_by_quarter(effective: DataFrame) -> DataFrame:
+    """E5: people by the quarter of their first delivered purchase.
+
+    ``effective`` is C1 (delivered orders with person and state)."""
+    first = effective.groupBy(PERSON).agg(F.min(TS).alias("first_purchase_time"))
     by_q = first.groupBy(F.date_format("first_purchase_time", "yyyy-'Q'q").alias("first_purchase_quarter")).agg(
         F.count(F.lit(1)).alias("new_customers_count")
     )
     return with_share(by_q, "new_customers_count", "pct_of_total_new_customers").orderBy("first_purchase_quarter")
 
 
-def _orders_per_person(orders: DataFrame, customers: DataFrame, status: str, with_state: bool) -> DataFrame:
-    rows = delivered_orders(orders, customers, status).where(F.col(TS).isNotNull())
+def _orders_per_person(effective: DataFrame, with_state: bool) -> DataFrame:
+    rows = effective.where(F.col(TS).isNotNull())
     aggs = [F.countDistinct("order_id").alias("total_orders")]
     if with_state:
         # (ARRAY_AGG(state ORDER BY ts DESC))[1]; order id breaks ties.
@@ -65,9 +67,9 @@ def _orders_per_person(orders: DataFrame, customers: DataFrame, status: str, wit
     return rows.groupBy(PERSON).agg(*aggs)
 
 
-def repeat_overall(orders: DataFrame, customers: DataFrame, status: str = "delivered") -> DataFrame:
+def repeat_overall(effective: DataFrame) -> DataFrame:
     """One-time vs repeat people, their percents, orders per person."""
-    per = _orders_per_person(orders, customers, status, with_state=False)
+    per = _orders_per_person(effective, with_state=False)
     one = F.count_if(F.col("total_orders") == 1)
     rep = F.count_if(F.col("total_orders") > 1)
     out = per.agg(
@@ -87,9 +89,9 @@ def repeat_overall(orders: DataFrame, customers: DataFrame, status: str = "deliv
     )
 
 
-def state_repeat_metrics(orders: DataFrame, customers: DataFrame, status: str = "delivered") -> DataFrame:
+def state_repeat_metrics(effective: DataFrame) -> DataFrame:
     """Per latest state: people, one-time, repeat, and both percents."""
-    per = _orders_per_person(orders, customers, status, with_state=True)
+    per = _orders_per_person(effective, with_state=True)
     g = per.groupBy("buyer_state").agg(
         F.count(F.lit(1)).alias("total_unique_customers"),
         F.count_if(F.col("total_orders") == 1).alias("one_time_customers"),
@@ -100,9 +102,9 @@ def state_repeat_metrics(orders: DataFrame, customers: DataFrame, status: str =
     ).withColumn("repeat_customer_ratio_percentage", pct("repeat_customers", "total_unique_customers"))
 
 
-def repeat_by_state(orders: DataFrame, customers: DataFrame, status: str = "delivered") -> DataFrame:
+def repeat_by_state(effective: DataFrame) -> DataFrame:
     """E6's split per person's latest state."""
-    return state_repeat_metrics(orders, customers, status).orderBy(F.col("repeat_customer_ratio_percentage").desc())
+    return state_repeat_metrics(effective).orderBy(F.col("repeat_customer_ratio_percentage").desc())
 
 
 def _fmt(x: float) -> str:
@@ -144,14 +146,14 @@ def retention_tiers(state_metrics: DataFrame, edges: Sequence[float] = (4.0, 3.0
     )
 
 
-def order_sequences(orders: DataFrame, customers: DataFrame, status: str = "delivered") -> DataFrame:
+def order_sequences(effective: DataFrame) -> DataFrame:
     """Each delivered order with the same person's next order (time, id).
 
     Successor under (purchase time ASC NULLS LAST, order id); only pairs
     whose next time is not null are kept. Hot people are split (see
     plans.sequence).
     """
-    rows = delivered_orders(orders, customers, status).select(PERSON, "order_id", TS)
+    rows = effective.select(PERSON, "order_id", TS)
     seq = next_in_group(rows, keys=[PERSON], order=[TS, "order_id"], carry=[TS, "order_id"])
     return seq.where(F.col(f"next_{TS}").isNotNull()).withColumn(
         "gap_us", micros_between(TS, f"next_{TS}")
@@ -166,9 +168,9 @@ def gap_tier_column(us: str = "gap_us") -> F.Column:
     )
 
 
-def repurchase_intervals(orders: DataFrame, customers: DataFrame, status: str = "delivered") -> DataFrame:
+def repurchase_intervals(effective: DataFrame) -> DataFrame:
     """Gaps to a person's next delivered order, in day tiers."""
-    gaps = order_sequences(orders, customers, status)
+    gaps = order_sequences(effective)
     g = gaps.groupBy(gap_tier_column().alias("repurchase_interval_tier")).agg(
         F.count(F.lit(1)).alias("repurchase_count"), F.sum(F.col("gap_us").cast("decimal(38,0)")).alias("_us")
     )
@@ -177,13 +179,11 @@ def repurchase_intervals(orders: DataFrame, customers: DataFrame, status: str =
 
 
 def longest_gaps(
-    orders: DataFrame,
-    customers: DataFrame,
+    effective: DataFrame,
     items: DataFrame,
     products: DataFrame,
     translation: DataFrame,
     n: int = 200,
-    status: str = "delivered",
 ) -> DataFrame:
     """The ``n`` longest gaps with the category of the first order's item 1.
 
@@ -193,7 +193,7 @@ def longest_gaps(
     item join can only add rows, the top n joined rows all come from the
     top n gaps. Ties sort by person, order ids and category.
     """
-    gaps = order_sequences(orders, customers, status).select(
+    gaps = order_sequences(effective).select(
         F.col(PERSON).alias("buyer_id"),
         F.col("order_id").alias("first_order_id"),
         F.col(TS).alias("first_order_time"),

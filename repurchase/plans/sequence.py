@@ -13,6 +13,7 @@ broadcast to patch the slice tails. The result is exact.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -21,6 +22,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Ship this module's functions by value with the task, so Python workers
+# need only pyarrow, not this package on their path.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except (ImportError, AttributeError):  # pragma: no cover
+    pass
+
 SLICE = "_slice"
 TAIL = "_slice_tail"
 HAS_NEXT = "_has_next"
