@@ -257,12 +257,13 @@ def multi_seller_geography(
     orders: DataFrame, items: DataFrame, sellers: DataFrame, customers: DataFrame, status: str = "delivered"
 ) -> DataFrame:
     """Orders with two or more sellers, by buyer/seller state relation."""
-    o = orders.where(F.col("order_status") == status).select("order_id", "customer_id")
-    rows = (
-        o.join(items.select("order_id", "seller_id"), on="order_id")
-        .join(sellers, on="seller_id")
+    o = (
+        orders.where(F.col("order_status") == status)
+        .select("order_id", "customer_id")
         .join(customers.select("customer_id", F.col("customer_state").alias("buyer_state")), on="customer_id")
     )
+    sold = items.select("order_id", "seller_id").join(sellers, on="seller_id")
+    rows = o.join(sold, on="order_id")
     per = (
         rows.groupBy("order_id", "buyer_state")
         .agg(

@@ -49,9 +49,10 @@ def order_base(
     o = mature_orders.where(
         F.col("order_delivered_carrier_date").isNotNull() & F.col("order_delivered_customer_date").isNotNull()
     ).select("order_id", PERSON, "buyer_state", ship_us().alias("_ship_us"))
-    rows = o.join(items.select("order_id", "seller_id", "price", "freight_value"), on="order_id").join(
-        sellers, on="seller_id"
-    )
+    # Items meet sellers first; the order-keyed joins and the per-order
+    # aggregate then share one hash partitioning on order_id.
+    sold = items.select("order_id", "seller_id", "price", "freight_value").join(sellers, on="seller_id")
+    rows = o.join(sold, on="order_id")
     aggs = [
         cents(F.sum("price")).alias("price_cents"),
         cents(F.sum("freight_value")).alias("freight_cents"),

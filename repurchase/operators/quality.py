@@ -175,11 +175,12 @@ def constraint_report(
     allowed = list(expected_failures)
     parts = []
     for pk in pks:
-        df = tables[pk.table]
-        dup = pk_duplicates(df, pk.keys).agg(F.count(F.lit(1)).alias("duplicate_keys"))
-        nul = df.agg(F.count_if(_any_null(pk.keys)).alias("null_key_rows"))
-        row = dup.unionByName(nul, allowMissingColumns=True).agg(
-            F.max("duplicate_keys").alias("duplicate_keys"), F.max("null_key_rows").alias("null_key_rows")
+        # One shuffle per table: key groups give both the duplicate keys and
+        # the rows whose key has a null part (nulls group together).
+        groups = tables[pk.table].groupBy(*pk.keys).agg(F.count(F.lit(1)).alias("_n"))
+        row = groups.agg(
+            F.count_if(F.col("_n") > 1).alias("duplicate_keys"),
+            F.coalesce(F.sum(F.when(_any_null(pk.keys), F.col("_n"))), F.lit(0)).cast("long").alias("null_key_rows"),
         )
         parts.append(
             row.select(

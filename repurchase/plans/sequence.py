@@ -36,13 +36,24 @@ TAIL = "_slice_tail"
 HAS_NEXT = "_has_next"
 
 
+TARGET_SLICE_BYTES = 128 * 1024 * 1024
+MAX_SLICES = 100_000
+
+
 def _default_slices(df: DataFrame) -> int:
-    spark = df.sparkSession
-    n = spark.conf.get("spark.sql.shuffle.partitions", "200")
+    """Slices for the range shuffle: at least the session's shuffle
+    partitions, and enough that each holds about 128 MB of input by the
+    optimizer's size estimate (no action runs). Capped so the broadcast
+    boundary table stays small."""
     try:
-        return max(1, int(n))
+        base = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     except ValueError:
-        return 200
+        base = 200
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimate unavailable: fall back to the session setting
+        size = 0
+    return int(min(MAX_SLICES, max(base, -(-size // TARGET_SLICE_BYTES))))
 
 
 def _sort_key(cols: Sequence[str]) -> list[Column]:
@@ -112,6 +123,10 @@ def next_in_group(
     ``_has_next`` (a successor row exists, even when its values are null).
     """
     keys, order, carry = list(keys), list(order), list(carry)
+    if df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() == "false":
+        # The slice ids of both branches below come from one shared range
+        # shuffle; without exchange reuse they could come from two samples.
+        return _window_lead(df, keys, order, carry, prefix)
     n = slices or _default_slices(df)
     sort = _sort_key(keys + order)
     ranged = df.repartitionByRange(n, *sort)
@@ -155,3 +170,12 @@ def next_in_group(
         out = out.withColumn(f"{prefix}{c}", F.when(continues, F.col(f"_fc_{c}")).otherwise(F.col(f"{prefix}{c}")))
     out = out.withColumn(HAS_NEXT, F.col(HAS_NEXT) | continues)
     return out.drop(SLICE, TAIL, "_patched", *[f"_fk_{k}" for k in keys], *[f"_fc_{c}" for c in carry])
+
+
+def _window_lead(df: DataFrame, keys: list[str], order: list[str], carry: list[str], prefix: str) -> DataFrame:
+    """Plain window LEAD (exact; a hot group lands in one task)."""
+    w = Window.partitionBy(*keys).orderBy(*_sort_key(order))
+    out = df.withColumn(HAS_NEXT, F.lead(F.lit(True)).over(w).isNotNull())
+    for c in carry:
+        out = out.withColumn(f"{prefix}{c}", F.lead(c).over(w))
+    return out

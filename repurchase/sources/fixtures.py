@@ -185,6 +185,9 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
+_OPENED: dict[tuple[str, str], DataFrame] = {}
+
+
 class _StoredTables(Mapping):
     """Read-on-first-use view of the ingested tables (no listing for
     tables a query never touches)."""
@@ -201,11 +204,14 @@ class _StoredTables(Mapping):
             raise KeyError(name)
         if name not in self._frames:
             path = f"{self.base}/{name}"
-            fs, marker = _fs(self._spark, f"{path}/_SUCCESS")
-            if not fs.exists(marker):
-                self._derived = self._derived or FixtureTables(self._spark, self._sf_dir)
-                getattr(self._derived, name).write.mode("overwrite").parquet(path)
-            self._frames[name] = self._spark.read.parquet(path)
+            key = (self._spark.sparkContext.applicationId, path)
+            if key not in _OPENED:
+                fs, marker = _fs(self._spark, f"{path}/_SUCCESS")
+                if not fs.exists(marker):
+                    self._derived = self._derived or FixtureTables(self._spark, self._sf_dir)
+                    getattr(self._derived, name).write.mode("overwrite").parquet(path)
+                _OPENED[key] = self._spark.read.parquet(path)
+            self._frames[name] = _OPENED[key]
         return self._frames[name]
 
     def __iter__(self):
