@@ -11,10 +11,9 @@ so the rounded result is exact and engine-independent.
 
 Plan: explode the measures into (keys, measure, value) rows, count equal
 values with a partial (map-side) aggregate, then rank the *distinct* values
-per (keys, measure) with a running sum. A hot group therefore never brings
-its rows into one task, only its distinct values, which integer units bound
-(cents, microseconds within the data's range). All requested percentiles of
-one frame share these two shuffles.
+per (keys, measure) with a distributed running sum (``running_counts``).
+Neither a hot group's rows nor its distinct values ever meet in one task.
+All requested percentiles of one frame share one pipeline.
 """
 
 from __future__ import annotations
@@ -27,6 +26,40 @@ from pyspark.sql import functions as F
 _WIDE = "decimal(38,0)"
 
 
+def running_counts(counts: DataFrame, group: list[str], value: str, count: str) -> DataFrame:
+    """Add ``_end`` (running sum of ``count`` by ascending ``value`` within
+    ``group``) and ``_n`` (group total), without putting a group in one task.
+
+    The (group, value) rows are range-partitioned on (group, value), so one
+    group's values spread over consecutive slices. Each slice takes running
+    sums locally; a table of per-(slice, group) totals, at most one row per
+    slice and group, gives each slice the count of all earlier slices.
+    """
+    spark = counts.sparkSession
+    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() == "false":
+        # Both uses of the slice id below must read one shared range shuffle.
+        part = Window.partitionBy(*group)
+        running = part.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return counts.withColumn("_end", F.sum(count).over(running)).withColumn("_n", F.sum(count).over(part))
+    try:
+        slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    except ValueError:
+        slices = 200
+    local = counts.repartitionByRange(slices, *group, value).withColumn("_slice", F.spark_partition_id())
+    within = Window.partitionBy("_slice", *group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = local.withColumn("_local_end", F.sum(count).over(within))
+    totals = local.groupBy("_slice", *group).agg(F.sum(count).alias("_t"))
+    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "_slice",
+        *group,
+        F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"),
+        F.sum("_t").over(Window.partitionBy(*group)).alias("_n"),
+    )
+    joined = local.join(offsets, on=["_slice", *group], how="inner")
+    return joined.withColumn("_end", F.col("_off") + F.col("_local_end")).drop("_slice", "_local_end", "_off")
+
+
 def percentile_numerators(
     df: DataFrame,
     keys: list[str],
@@ -62,9 +95,7 @@ def percentile_numerators(
         .where("_v IS NOT NULL")
     )
     counts = tall.groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    part = Window.partitionBy(*keys, "_m")
-    running = part.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("_end", F.sum("_c").over(running)).withColumn("_n", F.sum("_c").over(part))
+    ranked = running_counts(counts, [*keys, "_m"], "_v", "_c")
 
     aggs = []
     for out, (measure, p) in requests.items():
