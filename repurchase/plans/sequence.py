@@ -4,32 +4,20 @@
 group in one task; one person holding a third of all orders would make that
 task a third of the job. Here the rows are range-partitioned on the full
 sort key (g, t, tiebreak), so a hot group is cut across consecutive slices.
-Inside a slice the successor is the next row (Arrow-batched, no per-row
-Python). A group can only continue from the last row of a slice into the
-first row of the next non-empty slice; those first rows form a table with
-at most one row per slice, a bound fixed by the slice count, so it is
-broadcast to patch the slice tails. The result is exact.
+Inside a slice the successor is the next row (a window per slice, so a
+window partition never exceeds one slice). A group can only continue from
+the last row of a slice into the first row of the next non-empty slice;
+those first rows form a table with at most one row per slice, a bound fixed
+by the slice count, so it is broadcast to patch the slice tails. The result
+is exact, and everything stays in the JVM.
 """
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Ship this module's functions by value with the task, so Python workers
-# need only pyarrow, not this package on their path.
-try:
-    from pyspark import cloudpickle as _cloudpickle
-
-    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
-except (ImportError, AttributeError):  # pragma: no cover
-    pass
 
 SLICE = "_slice"
 TAIL = "_slice_tail"
@@ -60,54 +48,6 @@ def _sort_key(cols: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in cols]
 
 
-def _null_safe_equal(a: pa.Array, b: pa.Array) -> pa.Array:
-    eq = pc.fill_null(pc.equal(a, b), False)
-    both_null = pc.and_(pc.is_null(a), pc.is_null(b))
-    return pc.or_(eq, both_null)
-
-
-def _successors(keys: list[str], carry: list[str], out_schema: pa.Schema):
-    """Per-partition function: next row's ``carry`` values within the slice."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        slice_id = TaskContext.get().partitionId()
-        held = None
-
-        def emit(tbl: pa.Table, nxt: dict, has_next: pa.Array, tail: bool) -> pa.RecordBatch:
-            n = tbl.num_rows
-            cols = [tbl.column(name).combine_chunks() for name in tbl.column_names]
-            cols += [nxt[c] for c in carry]
-            cols += [has_next, pa.array([slice_id] * n, pa.int32()), pa.array([tail] * n, pa.bool_())]
-            return pa.RecordBatch.from_arrays(cols, schema=out_schema)
-
-        for rb in batches:
-            tbl = pa.Table.from_batches([rb])
-            if held is not None:
-                tbl = pa.concat_tables([held, tbl])
-            n = tbl.num_rows
-            if n == 0:
-                continue
-            if n > 1:
-                head, tail = tbl.slice(0, n - 1), tbl.slice(1, n - 1)
-                same = None
-                for k in keys:
-                    eq = _null_safe_equal(head.column(k).combine_chunks(), tail.column(k).combine_chunks())
-                    same = eq if same is None else pc.and_(same, eq)
-                nxt = {
-                    c: pc.if_else(same, tail.column(c).combine_chunks(), pa.nulls(n - 1, tbl.schema.field(c).type))
-                    for c in carry
-                }
-                yield emit(head, nxt, same, False)
-            held = tbl.slice(n - 1, 1)
-        if held is not None:
-            nxt = {c: pa.nulls(1, held.schema.field(c).type) for c in carry}
-            yield emit(held, nxt, pa.array([False]), True)
-
-    return run
-
-
 def next_in_group(
     df: DataFrame,
     keys: Sequence[str],
@@ -131,20 +71,22 @@ def next_in_group(
     sort = _sort_key(keys + order)
     ranged = df.repartitionByRange(n, *sort)
 
-    nxt_fields = [T.StructField(f"{prefix}{c}", df.schema[c].dataType, True) for c in carry]
-    out_struct = T.StructType(
-        list(df.schema.fields)
-        + nxt_fields
-        + [
-            T.StructField(HAS_NEXT, T.BooleanType(), True),
-            T.StructField(SLICE, T.IntegerType(), True),
-            T.StructField(TAIL, T.BooleanType(), True),
-        ]
+    # Successor inside each slice: a window per slice, so a window partition
+    # is bounded by the slice size whatever the group sizes are.
+    in_slice = Window.partitionBy(SLICE).orderBy(*sort)
+    within = ranged.withColumn(SLICE, F.spark_partition_id())
+    nxt_key = [F.lead(k).over(in_slice) for k in keys]
+    exists = F.lead(F.lit(True)).over(in_slice)
+    same = F.coalesce(exists, F.lit(False))
+    for k, nk in zip(keys, nxt_key):
+        same = same & F.col(k).eqNullSafe(nk)
+    within = within.select(
+        *df.columns,
+        *[F.when(same, F.lead(c).over(in_slice)).alias(f"{prefix}{c}") for c in carry],
+        same.alias(HAS_NEXT),
+        F.col(SLICE),
+        exists.isNull().alias(TAIL),
     )
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow_schema = to_arrow_schema(out_struct)
-    within = ranged.sortWithinPartitions(*sort).mapInArrow(_successors(keys, carry, arrow_schema), out_struct)
 
     # First row of every non-empty slice; at most `n` rows.
     first_key = F.struct(*[x for c in keys + order for x in (F.col(c).isNull(), F.col(c))])
