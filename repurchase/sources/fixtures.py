@@ -9,6 +9,7 @@ The DuckDB oracle writes the same derivations as ``fx_*`` CTEs.
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -196,6 +197,13 @@ class _StoredTables(Mapping):
         self._spark, self._sf_dir, self.base = spark, sf_dir, base
         self._frames: dict[str, DataFrame] = {}
         self._derived: FixtureTables | None = None
+        self._lock = threading.Lock()
+
+    def _source(self) -> FixtureTables:
+        with self._lock:
+            if self._derived is None:
+                self._derived = FixtureTables(self._spark, self._sf_dir)
+            return self._derived
 
     def __getitem__(self, name: str) -> DataFrame:
         from .tables import REFERENCE_TABLES
@@ -208,12 +216,21 @@ class _StoredTables(Mapping):
             if key not in _OPENED:
                 fs, marker = _fs(self._spark, f"{path}/_SUCCESS")
                 if not fs.exists(marker):
-                    self._derived = self._derived or FixtureTables(self._spark, self._sf_dir)
-                    getattr(self._derived, name).write.mode("overwrite").parquet(path)
+                    getattr(self._source(), name).write.mode("overwrite").parquet(path)
                 _OPENED[key] = self._spark.read.parquet(path)
             self._frames[name] = _OPENED[key]
         return self._frames[name]
 
+    def ensure_all(self, threads: int = 4) -> None:
+        """Copy every missing table now, as concurrent Spark jobs (the
+        tables are independent, so their jobs share the cluster)."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        from .tables import REFERENCE_TABLES
+
+        with ThreadPoolExecutor(max_workers=threads) as pool:
+            list(pool.map(self.__getitem__, REFERENCE_TABLES))
+
     def __iter__(self):
         from .tables import REFERENCE_TABLES
 
