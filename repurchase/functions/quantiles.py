@@ -23,10 +23,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.sizing import slice_count
+
 _WIDE = "decimal(38,0)"
 
 
-def running_counts(counts: DataFrame, group: list[str], value: str, count: str) -> DataFrame:
+def running_counts(
+    counts: DataFrame, group: list[str], value: str, count: str, slices: int | None = None
+) -> DataFrame:
     """Add ``_end`` (running sum of ``count`` by ascending ``value`` within
     ``group``) and ``_n`` (group total), without putting a group in one task.
 
@@ -41,10 +45,7 @@ def running_counts(counts: DataFrame, group: list[str], value: str, count: str)
         part = Window.partitionBy(*group)
         running = part.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return counts.withColumn("_end", F.sum(count).over(running)).withColumn("_n", F.sum(count).over(part))
-    try:
-        slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    except ValueError:
-        slices = 200
+    slices = slices or slice_count(counts)
     local = counts.repartitionByRange(slices, *group, value).withColumn("_slice", F.spark_partition_id())
     within = Window.partitionBy("_slice", *group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = local.withColumn("_local_end", F.sum(count).over(within))
@@ -65,6 +66,7 @@ def percentile_numerators(
     keys: list[str],
     measures: Mapping[str, str | Column],
     requests: Mapping[str, tuple[str, int]],
+    slices: int | None = None,
 ) -> DataFrame:
     """One row per key combination present in ``df``.
 
@@ -95,7 +97,7 @@ def percentile_numerators(
         .where("_v IS NOT NULL")
     )
     counts = tall.groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running_counts(counts, [*keys, "_m"], "_v", "_c")
+    ranked = running_counts(counts, [*keys, "_m"], "_v", "_c", slices)
 
     aggs = []
     for out, (measure, p) in requests.items():

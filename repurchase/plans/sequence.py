@@ -19,31 +19,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizing import slice_count
+
 SLICE = "_slice"
 TAIL = "_slice_tail"
 HAS_NEXT = "_has_next"
 
 
-TARGET_SLICE_BYTES = 128 * 1024 * 1024
-MAX_SLICES = 100_000
-
-
-def _default_slices(df: DataFrame) -> int:
-    """Slices for the range shuffle: at least the session's shuffle
-    partitions, and enough that each holds about 128 MB of input by the
-    optimizer's size estimate (no action runs). Capped so the broadcast
-    boundary table stays small."""
-    try:
-        base = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    except ValueError:
-        base = 200
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimate unavailable: fall back to the session setting
-        size = 0
-    return int(min(MAX_SLICES, max(base, -(-size // TARGET_SLICE_BYTES))))
-
-
 def _sort_key(cols: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in cols]
 
@@ -67,7 +49,7 @@ def next_in_group(
         # The slice ids of both branches below come from one shared range
         # shuffle; without exchange reuse they could come from two samples.
         return _window_lead(df, keys, order, carry, prefix)
-    n = slices or _default_slices(df)
+    n = slices or slice_count(df)
     sort = _sort_key(keys + order)
     ranged = df.repartitionByRange(n, *sort)
 

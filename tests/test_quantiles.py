@@ -16,13 +16,17 @@ def percentile_cont(values, p):
     return v[lo] + (v[hi] - v[lo]) * (pos - lo)
 
 
-def test_matches_definition_with_groups_nulls_and_ties(spark):
+import pytest
+
+
+@pytest.mark.parametrize("slices", [None, 1, 7])
+def test_matches_definition_with_groups_nulls_and_ties(spark, slices):
     rnd = random.Random(7)
     rows = []
     for g in ["a", "b", "c"]:
         n = {"a": 1, "b": 2, "c": 500}[g]
         for _ in range(n):
-            v = rnd.choice([None, rnd.randint(-50, 50), 7])
+            v = rnd.choice([None, rnd.randint(-5000, 5000), 7])
             rows.append((g, v))
     rows.append(("d", None))
     df = spark.createDataFrame(rows, "g string, v long")
@@ -30,6 +34,7 @@ def test_matches_definition_with_groups_nulls_and_ties(spark):
     out = percentile_numerators(
         df, ["g"], {"m": "v", "neg": "CASE WHEN v < 0 THEN v END"},
         {f"p{p}": ("m", p) for p in probs} | {"n50": ("neg", 50)},
+        slices=slices,
     )
     got = {r.g: r for r in out.collect()}
     for g in ["a", "b", "c"]:
