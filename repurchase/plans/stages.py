@@ -4,8 +4,8 @@ Every report reads the same few stages (delivered orders, people, mature
 people, their orders, the per-order base). Recomputing them per report
 would repeat the same joins and shuffles dozens of times; instead each
 stage is written once to the shared folder and read back. A stage is keyed
-by the source snapshot and the parameters, and counts as present only after
-its write committed (``_SUCCESS``). Reading files back also cuts lineage, so
+by the source snapshot, the parameters and the code version, and counts as
+present only after its write committed (``_SUCCESS``). Reading files back also cuts lineage, so
 a lost executor re-reads a file instead of recomputing the cohort.
 """
 
@@ -17,6 +17,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+def code_fingerprint() -> str:
+    """Hash of the source of every module that shapes a stored table, so a
+    changed operator never reads stages written by an older version."""
+    import pathlib
+
+    root = pathlib.Path(__file__).resolve().parent.parent
+    h = hashlib.sha1()
+    for sub in ("functions", "operators", "sources", "plans"):
+        for f in sorted((root / sub).glob("*.py")):
+            h.update(f.name.encode())
+            h.update(f.read_bytes())
+    return h.hexdigest()[:16]
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -31,7 +45,8 @@ class StageStore:
         if folder is not None:
             self.base = folder.rstrip("/")
         else:
-            self.base = f"{root.rstrip('/')}/stages/{hashlib.sha1(str(key).encode()).hexdigest()[:16]}"
+            digest = hashlib.sha1(f"{key}|{code_fingerprint()}".encode()).hexdigest()[:16]
+            self.base = f"{root.rstrip('/')}/stages/{digest}"
 
     def get(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         path = f"{self.base}/{name}"

@@ -176,8 +176,9 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    """Identity of the source files: path, sizes and modification times."""
-    parts = [sf_dir.rstrip("/")]
+    """Identity of the source files (path, sizes, modification times) and
+    of the derivation code."""
+    parts = [sf_dir.rstrip("/"), hashlib.sha1(open(__file__, "rb").read()).hexdigest()]
     for name in FixtureTables.BASE:
         fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
         st = fs.getFileStatus(p)
