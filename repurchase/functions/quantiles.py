@@ -40,12 +40,14 @@ def running_counts(
     slice and group, gives each slice the count of all earlier slices.
     """
     spark = counts.sparkSession
-    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() == "false":
-        # Both uses of the slice id below must read one shared range shuffle.
+    slices = slices or slice_count(counts)
+    # One slice means the whole input fits one slice, so a plain window per
+    # group is bounded too. Without exchange reuse the two uses of the slice
+    # id below could read two different range shuffles: use the plain form.
+    if slices == 1 or spark.conf.get("spark.sql.exchange.reuse", "true").lower() == "false":
         part = Window.partitionBy(*group)
         running = part.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return counts.withColumn("_end", F.sum(count).over(running)).withColumn("_n", F.sum(count).over(part))
-    slices = slices or slice_count(counts)
     local = counts.repartitionByRange(slices, *group, value).withColumn("_slice", F.spark_partition_id())
     within = Window.partitionBy("_slice", *group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = local.withColumn("_local_end", F.sum(count).over(within))

@@ -87,15 +87,10 @@ def state_retention(mature: DataFrame) -> DataFrame:
     )
 
 
-def _state_orders(base: DataFrame) -> DataFrame:
-    return base.groupBy("buyer_state").agg(F.countDistinct("order_id").alias("total_orders_mature"))
-
-
-def _attach(retention: DataFrame, base: DataFrame, logistics: DataFrame) -> DataFrame:
-    """Retention LEFT JOIN order counts LEFT JOIN logistics, on plain state
-    equality (a null state never matches, as in the reference)."""
-    counts = _state_orders(base)
-    return retention.join(counts, on="buyer_state", how="left").join(logistics, on="buyer_state", how="left")
+def _attach(retention: DataFrame, logistics: DataFrame) -> DataFrame:
+    """Retention LEFT JOIN logistics (which carries the order count), on
+    plain state equality (a null state never matches, as in the reference)."""
+    return retention.join(logistics, on="buyer_state", how="left")
 
 
 INTRA_SQL = "is_cross_state = 0"
@@ -116,6 +111,7 @@ def state_mart(mature: DataFrame, base: DataFrame) -> DataFrame:
     """
     plain = base.groupBy("buyer_state").agg(
         *_agg(
+            total_orders_mature="count(DISTINCT order_id)",
             _n="count(1)",
             _price="sum(CAST(price_cents AS DECIMAL(38,0)))",
             _freight="sum(CAST(freight_cents AS DECIMAL(38,0)))",
@@ -153,6 +149,7 @@ def state_mart(mature: DataFrame, base: DataFrame) -> DataFrame:
     money_units, day_units, day = 100 * 100, 100 * US_PER_DAY, US_PER_DAY
     lg = plain.join(pcts, on="buyer_state", how="inner").select(
         "buyer_state",
+        "total_orders_mature",
         round_ratio("_price", "_n * 100", 2).alias("avg_order_price"),
         round_ratio("_freight", "_n * 100", 2).alias("avg_freight_value"),
         round_ratio("_median_freight", money_units, 2).alias("median_freight_value"),
@@ -169,7 +166,7 @@ def state_mart(mature: DataFrame, base: DataFrame) -> DataFrame:
         round_ratio_int("_cross_us", f"_cross_n * {day}", 1).alias("_cross_avg"),
         round_ratio_int("_cross_median_days", day_units, 1).alias("_cross_md"),
     )
-    out = _attach(state_retention(mature), base, lg)
+    out = _attach(state_retention(mature), lg)
     return out.select(
         "buyer_state",
         "total_customers_mature",
@@ -207,6 +204,7 @@ def state_mart_reviews(mature: DataFrame, base_reviews: DataFrame, low_review_ma
     rated = "order_review_score IS NOT NULL"
     plain = base_reviews.groupBy("buyer_state").agg(
         *_agg(
+            total_orders_mature="count(DISTINCT order_id)",
             _n="count(1)",
             _cross=f"count_if({CROSS_SQL})",
             _inverse="count_if(freight_cents > price_cents)",
@@ -237,6 +235,7 @@ def state_mart_reviews(mature: DataFrame, base_reviews: DataFrame, low_review_ma
     money_units, day_units = 100 * 100, 100 * US_PER_DAY
     lg = plain.join(pcts, on="buyer_state", how="inner").select(
         "buyer_state",
+        "total_orders_mature",
         pct("_cross", "_n").alias("cross_state_ratio_percentage"),
         pct("_inverse", "_n").alias("freight_inverse_order_ratio_percentage"),
         round_ratio("_intra_median_freight", money_units, 2).alias("intra_median_freight"),
@@ -247,7 +246,7 @@ def state_mart_reviews(mature: DataFrame, base_reviews: DataFrame, low_review_ma
         round_ratio_int("_intra_low * 100", "_intra_rated", 2).alias("_il"),
         round_ratio_int("_cross_low * 100", "_cross_rated", 2).alias("_cl"),
     )
-    out = _attach(state_retention(mature), base_reviews, lg)
+    out = _attach(state_retention(mature), lg)
     return out.select(
         "buyer_state",
         "total_customers_mature",

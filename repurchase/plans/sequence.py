@@ -45,11 +45,12 @@ def next_in_group(
     ``_has_next`` (a successor row exists, even when its values are null).
     """
     keys, order, carry = list(keys), list(order), list(carry)
-    if df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() == "false":
-        # The slice ids of both branches below come from one shared range
-        # shuffle; without exchange reuse they could come from two samples.
-        return _window_lead(df, keys, order, carry, prefix)
     n = slices or slice_count(df)
+    # One slice: the whole input fits one slice, so a plain window is bounded
+    # too. Without exchange reuse the slice ids of the two branches below
+    # could come from two range samples: use the plain form as well.
+    if n == 1 or df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() == "false":
+        return _window_lead(df, keys, order, carry, prefix)
     sort = _sort_key(keys + order)
     ranged = df.repartitionByRange(n, *sort)
 
@@ -97,7 +98,8 @@ def next_in_group(
 
 
 def _window_lead(df: DataFrame, keys: list[str], order: list[str], carry: list[str], prefix: str) -> DataFrame:
-    """Plain window LEAD (exact; a hot group lands in one task)."""
+    """Plain window LEAD (exact; a group lands in one task, so only for
+    inputs that fit one slice)."""
     w = Window.partitionBy(*keys).orderBy(*_sort_key(order))
     out = df.withColumn(HAS_NEXT, F.lead(F.lit(True)).over(w).isNotNull())
     for c in carry:
