@@ -12,6 +12,7 @@ a lost executor re-reads a file instead of recomputing the cohort.
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,17 @@ def code_fingerprint() -> str:
     return h.hexdigest()[:16]
 
 
+_LOCKS: dict[str, threading.Lock] = {}
+_LOCKS_GUARD = threading.Lock()
+
+
+def path_lock(path: str) -> threading.Lock:
+    """One lock per output path, so threads of one driver never write the
+    same table twice at once (separate drivers should use separate roots)."""
+    with _LOCKS_GUARD:
+        return _LOCKS.setdefault(path, threading.Lock())
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -50,6 +62,7 @@ class StageStore:
 
     def get(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         path = f"{self.base}/{name}"
-        if not _exists(self.spark, f"{path}/_SUCCESS"):
-            build().write.mode("overwrite").parquet(path)
+        with path_lock(path):
+            if not _exists(self.spark, f"{path}/_SUCCESS"):
+                build().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)

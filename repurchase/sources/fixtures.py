@@ -215,9 +215,12 @@ class _StoredTables(Mapping):
             path = f"{self.base}/{name}"
             key = (self._spark.sparkContext.applicationId, path)
             if key not in _OPENED:
-                fs, marker = _fs(self._spark, f"{path}/_SUCCESS")
-                if not fs.exists(marker):
-                    getattr(self._source(), name).write.mode("overwrite").parquet(path)
+                from ..plans.stages import path_lock
+
+                with path_lock(path):
+                    fs, marker = _fs(self._spark, f"{path}/_SUCCESS")
+                    if not fs.exists(marker):
+                        getattr(self._source(), name).write.mode("overwrite").parquet(path)
                 _OPENED[key] = self._spark.read.parquet(path)
             self._frames[name] = _OPENED[key]
         return self._frames[name]
