@@ -15,10 +15,12 @@ def test_orphan_checks_use_anti_joins(spark):
         assert "LeftAnti" in p, name
 
 
-def test_no_row_at_a_time_python_anywhere(spark):
+def test_no_python_and_no_cross_join_anywhere(spark):
     for name, fn in E.queries().items():
         p = plan(fn(spark, SMALL))
-        assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+        for op in ("BatchEvalPython", "ArrowEvalPython", "MapInArrow", "MapInPandas", "FlatMapGroupsInPandas"):
+            assert op not in p, (name, op)
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
 
 
 def test_scan_prunes_columns_and_pushes_filters(spark):
