@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import US_PER_DAY, days_at_most, micros_between, pct, round_ratio, round_ratio_int, tier, with_share
 from ..plans.params import GAP_TIER_REST, GAP_TIERS, GEOGRAPHY_LABELS, SELLER_COUNT_LABELS
 from ..plans.sequence import next_in_group
+from ..sources.tables import storage_root
 from .cohort import PERSON
 
 TS = "order_purchase_timestamp"
@@ -191,7 +192,8 @@ def longest_gaps(
     only the items of those n orders: their ids (at most n, a parameter) are
     broadcast to filter the item table without shuffling it. Because the
     item join can only add rows, the top n joined rows all come from the
-    top n gaps. Ties sort by person, order ids and category.
+    top n gaps. Ties sort by person, order ids and category. The top n rows
+    are checkpointed, so the gap sequence is computed once.
     """
     gaps = order_sequences(effective).select(
         F.col(PERSON).alias("buyer_id"),
@@ -202,7 +204,10 @@ def longest_gaps(
         round_ratio_int("gap_us", F.lit(US_PER_DAY), 1).alias("_gap_tenths"),
     )
     rank = [F.col("_gap_tenths").desc(), F.col("buyer_id").asc(), F.col("first_order_id").asc(), F.col("second_order_id").asc()]
-    top = gaps.orderBy(*rank).limit(n)
+    # At most n rows, used by two branches below: checkpoint once (to the
+    # session's shared checkpoint folder) so the sequence runs only once.
+    storage_root(effective.sparkSession)
+    top = gaps.orderBy(*rank).limit(n).checkpoint(eager=True)
     ids = top.select(F.col("first_order_id").alias("order_id"))
     first_items = (
         items.where(F.col("order_item_id") == 1)
