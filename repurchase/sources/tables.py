@@ -61,7 +61,7 @@ def storage_root(spark: SparkSession) -> str:
     session without a shared folder is an error, never a machine-local path.
     """
     sc = spark.sparkContext
-    conf = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(conf)
