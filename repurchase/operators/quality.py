@@ -173,45 +173,48 @@ def constraint_report(
     e.g. a reference left unenforced) or ``fail``.
     """
     allowed = list(expected_failures)
+    cols = ["constraint_name", "constraint_type", "table_name", "duplicate_keys", "null_key_rows", "orphan_rows"]
     parts = []
     for pk in pks:
         # One shuffle per table: key groups give both the duplicate keys and
         # the rows whose key has a null part (nulls group together).
+        nulls = " OR ".join(f"`{k}` IS NULL" for k in pk.keys)
         groups = tables[pk.table].groupBy(*pk.keys).agg(F.count(F.lit(1)).alias("_n"))
-        row = groups.agg(
-            F.count_if(F.col("_n") > 1).alias("duplicate_keys"),
-            F.coalesce(F.sum(F.when(_any_null(pk.keys), F.col("_n"))), F.lit(0)).cast("long").alias("null_key_rows"),
-        )
         parts.append(
-            row.select(
-                F.lit(pk.name).alias("constraint_name"),
-                F.lit("PRIMARY KEY").alias("constraint_type"),
-                F.lit(pk.table).alias("table_name"),
-                "duplicate_keys",
-                "null_key_rows",
-                F.lit(0).cast("long").alias("orphan_rows"),
+            groups.selectExpr(
+                f"{_sql_str(pk.name)} AS constraint_name",
+                "'PRIMARY KEY' AS constraint_type",
+                f"{_sql_str(pk.table)} AS table_name",
+                "count_if(_n > 1) AS duplicate_keys",
+                f"CAST(coalesce(sum(CASE WHEN {nulls} THEN _n END), 0) AS BIGINT) AS null_key_rows",
+                "CAST(0 AS BIGINT) AS orphan_rows",
             )
         )
     for fk in fks:
         o = fk_orphans(tables[fk.child], tables[fk.parent], fk.child_key, fk.parent_key, distinct=False, exclude_null=True)
         parts.append(
-            o.agg(F.count(F.lit(1)).alias("orphan_rows")).select(
-                F.lit(fk.name).alias("constraint_name"),
-                F.lit("FOREIGN KEY").alias("constraint_type"),
-                F.lit(fk.child).alias("table_name"),
-                F.lit(0).cast("long").alias("duplicate_keys"),
-                F.lit(0).cast("long").alias("null_key_rows"),
-                "orphan_rows",
+            o.selectExpr(
+                f"{_sql_str(fk.name)} AS constraint_name",
+                "'FOREIGN KEY' AS constraint_type",
+                f"{_sql_str(fk.child)} AS table_name",
+                "CAST(0 AS BIGINT) AS duplicate_keys",
+                "CAST(0 AS BIGINT) AS null_key_rows",
+                "count(1) AS orphan_rows",
             )
         )
-    rep = reduce(DataFrame.unionByName, parts)
-    violations = F.col("duplicate_keys") + F.col("null_key_rows") + F.col("orphan_rows")
-    status = (
-        F.when(violations == 0, F.lit("pass"))
-        .when(F.col("constraint_name").isin(*allowed) if allowed else F.lit(False), F.lit("expected_failure"))
-        .otherwise(F.lit("fail"))
+    # Every part has the same columns in the same order: positional union.
+    rep = reduce(DataFrame.union, parts)
+    allow = ", ".join(_sql_str(a) for a in allowed) or "NULL"
+    return rep.selectExpr(
+        *cols,
+        "duplicate_keys + null_key_rows + orphan_rows AS violations",
+        "CASE WHEN duplicate_keys + null_key_rows + orphan_rows = 0 THEN 'pass' "
+        f"WHEN constraint_name IN ({allow}) THEN 'expected_failure' ELSE 'fail' END AS status",
     )
-    return rep.withColumn("violations", violations).withColumn("status", status)
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 class ConstraintError(RuntimeError):
