@@ -59,7 +59,10 @@ def running_counts(
         F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"),
         F.sum("_t").over(Window.partitionBy(*group)).alias("_n"),
     )
-    joined = local.join(offsets, on=["_slice", *group], how="inner")
+    # Null-safe on the group columns: a null key is a group of its own.
+    renamed = offsets.select(*[F.col(c).alias(f"_o{c}") for c in ["_slice", *group]], "_off", "_n")
+    cond = [local[c].eqNullSafe(renamed[f"_o{c}"]) for c in ["_slice", *group]]
+    joined = local.join(renamed, on=cond, how="inner").drop(*[f"_o{c}" for c in ["_slice", *group]])
     return joined.withColumn("_end", F.col("_off") + F.col("_local_end")).drop("_slice", "_local_end", "_off")
 
 

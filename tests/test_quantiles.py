@@ -23,8 +23,8 @@ import pytest
 def test_matches_definition_with_groups_nulls_and_ties(spark, slices):
     rnd = random.Random(7)
     rows = []
-    for g in ["a", "b", "c"]:
-        n = {"a": 1, "b": 2, "c": 500}[g]
+    for g in ["a", "b", "c", None]:
+        n = {"a": 1, "b": 2, "c": 500, None: 40}[g]
         for _ in range(n):
             v = rnd.choice([None, rnd.randint(-5000, 5000), 7])
             rows.append((g, v))
@@ -37,7 +37,7 @@ def test_matches_definition_with_groups_nulls_and_ties(spark, slices):
         slices=slices,
     )
     got = {r.g: r for r in out.collect()}
-    for g in ["a", "b", "c"]:
+    for g in ["a", "b", "c", None]:
         vals = [v for gg, v in rows if gg == g and v is not None]
         if not vals:
             assert g not in got
