@@ -22,9 +22,10 @@ def input_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def slice_count(df: DataFrame, target: int = TARGET_SLICE_BYTES) -> int:
+def slice_count(df: DataFrame, target: int | None = None) -> int:
     """ceil(input bytes / target), clamped to [1, MAX_SLICES]; falls back to
     the session's shuffle partitions when no estimate is available."""
+    target = target or TARGET_SLICE_BYTES
     size = input_bytes(df)
     if size is None:
         try:
