@@ -1,6 +1,6 @@
 """Run the whole analysis: load, check keys, publish marts, write reports.
 
-    python -m repurchase --tables /data/olist --out /shared/olist-run \\
+    python -m repurchase --tables /data/retail --out /shared/retention-run \\
         [--cutoff 2018-03-07] [--state MT] [--allow NAME,...]
 
 The session comes from ``SparkSession.builder.getOrCreate()``, so master and
