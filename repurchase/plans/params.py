@@ -52,6 +52,8 @@ CONSISTENCY_TABLES = (
 
 @dataclass(frozen=True)
 class Params:
+    """Parameters of one run; defaults are the reference's values."""
+
     delivered_status: str = "delivered"
     maturity_cutoff: str = "2018-03-07 00:00:00"
     tier_edges: tuple[float, float, float] = (4.0, 3.0, 2.0)
@@ -62,6 +64,8 @@ class Params:
     top_gaps: int = 200
     top_categories: int = 10
     low_review_max: int = 2
+    # The two category rows the analysis back-fills before
+    # adding the category reference.
     backfill_categories: tuple[tuple[str, str], ...] = (
         ("portateis_cozinha_e_preparadores_de_alimentos", "portable_kitchen_and_food_preparers"),
         ("pc_gamer", "pc_gamer"),
