@@ -23,7 +23,7 @@ from .operators import cohort, explore, logistics, marts, quality
 from .plans.params import REFERENCE
 from .plans.pipeline import Analysis, publish
 from .plans.stages import StageStore
-from .sources import REFERENCE_TABLES, load_tables, write_table
+from .sources import REFERENCE_TABLES, load_tables, normalize_types, write_table
 
 
 def reports(a: Analysis) -> dict:
@@ -90,7 +90,7 @@ def main(argv: list[str] | None = None) -> None:
         params = replace(params, expected_failures=params.expected_failures | extra)
 
     spark = SparkSession.builder.appName("repurchase").getOrCreate()
-    tables = load_tables(spark, args.tables, REFERENCE_TABLES)
+    tables = normalize_types(load_tables(spark, args.tables, REFERENCE_TABLES))
     tables["product_category_name_translation"] = Analysis(tables, params).translation_filled
     out = args.out.rstrip("/")
     publish(tables, params, f"{out}/published")

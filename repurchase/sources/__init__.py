@@ -1,7 +1,15 @@
 """Sources and sinks: parquet load, table write, dimension back-fill, fixtures."""
 
 from .fixtures import FixtureTables, fixture_tables, ingest_fixture_tables
-from .tables import REFERENCE_TABLES, backfill_dim, load_tables, storage_root, table_inventory, write_table
+from .tables import (
+    REFERENCE_TABLES,
+    backfill_dim,
+    load_tables,
+    normalize_types,
+    storage_root,
+    table_inventory,
+    write_table,
+)
 
 __all__ = [
     "FixtureTables",
@@ -10,6 +18,7 @@ __all__ = [
     "fixture_tables",
     "ingest_fixture_tables",
     "load_tables",
+    "normalize_types",
     "storage_root",
     "table_inventory",
     "write_table",

@@ -47,6 +47,41 @@ def load_tables(
     return out
 
 
+# Columns whose type the operators rely on: timestamps (often stored as
+# text), money (often floating point) and review scores.
+TIMESTAMP_COLUMNS = {
+    "orders": ("order_purchase_timestamp", "order_delivered_carrier_date", "order_delivered_customer_date"),
+}
+MONEY_COLUMNS = {"order_items": ("price", "freight_value")}
+INTEGER_COLUMNS = {"order_reviews": ("review_score",), "order_items": ("order_item_id",)}
+
+
+def normalize_types(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Give the columns the operators compute with their working types.
+
+    Text timestamps become ``timestamp_ntz`` with ``try_cast`` (dirty text
+    becomes null instead of failing the job, as a missing date); floating
+    money becomes ``decimal(12,2)`` once, before any sum, so totals do not
+    depend on summation order; scores and item numbers become integers.
+    Columns already of the right type are left alone.
+    """
+    out = dict(tables)
+    for name, df in tables.items():
+        casts = {}
+        for c in TIMESTAMP_COLUMNS.get(name, ()):
+            if c in df.columns and df.schema[c].dataType.simpleString() != "timestamp_ntz":
+                casts[c] = F.col(c).try_cast("timestamp_ntz")
+        for c in MONEY_COLUMNS.get(name, ()):
+            if c in df.columns and df.schema[c].dataType.simpleString() != "decimal(12,2)":
+                casts[c] = F.col(c).cast("decimal(12,2)")
+        for c in INTEGER_COLUMNS.get(name, ()):
+            if c in df.columns and df.schema[c].dataType.simpleString() not in ("int", "bigint"):
+                casts[c] = F.col(c).try_cast("int")
+        if casts:
+            out[name] = df.withColumns(casts)
+    return out
+
+
 def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per table: name and row count (the load report of S1)."""
     parts = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count") for name, df in tables.items()]
