@@ -22,7 +22,6 @@ from pyspark.sql import SparkSession
 from .operators import cohort, explore, logistics, marts, quality
 from .plans.params import REFERENCE
 from .plans.pipeline import Analysis, publish
-from .plans.stages import StageStore
 from .sources import REFERENCE_TABLES, load_tables, normalize_types, write_table
 
 
@@ -93,8 +92,8 @@ def main(argv: list[str] | None = None) -> None:
     tables = normalize_types(load_tables(spark, args.tables, REFERENCE_TABLES))
     tables["product_category_name_translation"] = Analysis(tables, params).translation_filled
     out = args.out.rstrip("/")
-    publish(tables, params, f"{out}/published")
-    staged = Analysis(tables, params, StageStore(spark, out, folder=f"{out}/published"))
+    published = publish(tables, params, f"{out}/published")
+    staged = Analysis.with_stages(tables, params, published)
     for name, df in reports(staged).items():
         write_table(df, f"{out}/reports/{name}")
 

@@ -32,6 +32,15 @@ class Analysis:
         self.p = params
         self.store = store
 
+    @classmethod
+    def with_stages(cls, tables: Mapping[str, DataFrame], params: Params, stages: Mapping[str, DataFrame]) -> "Analysis":
+        """An analysis whose cohort stages are given (e.g. as published)."""
+        a = cls(tables, params)
+        for name in STAGES:
+            if name in stages:
+                a.__dict__[name] = stages[name]
+        return a
+
     def _stage(self, name: str, build) -> DataFrame:
         return self.store.get(name, build) if self.store is not None else build()
 

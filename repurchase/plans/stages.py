@@ -32,6 +32,7 @@ def code_fingerprint() -> str:
     return h.hexdigest()[:16]
 
 
+_OPENED: dict[tuple[str, str], DataFrame] = {}
 _LOCKS: dict[str, threading.Lock] = {}
 _LOCKS_GUARD = threading.Lock()
 
@@ -54,6 +55,10 @@ class StageStore:
 
     def __init__(self, spark: SparkSession, root: str, key: str | None = None, folder: str | None = None):
         self.spark = spark
+        # Only content-keyed stores may reuse stages written earlier; a store
+        # on an explicit folder (a publish target) writes each stage afresh.
+        self.reuse = folder is None
+        self._written: dict[str, DataFrame] = {}
         if folder is not None:
             self.base = folder.rstrip("/")
         else:
@@ -62,7 +67,18 @@ class StageStore:
 
     def get(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         path = f"{self.base}/{name}"
+        if not self.reuse:
+            with path_lock(path):
+                if name not in self._written:
+                    build().write.mode("overwrite").parquet(path)
+                    self._written[name] = self.spark.read.parquet(path)
+            return self._written[name]
+        # A committed stage never changes (its path encodes source, parameters
+        # and code), so one opened frame serves the whole application.
+        key = (self.spark.sparkContext.applicationId, path)
         with path_lock(path):
-            if not _exists(self.spark, f"{path}/_SUCCESS"):
-                build().write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+            if key not in _OPENED:
+                if not _exists(self.spark, f"{path}/_SUCCESS"):
+                    build().write.mode("overwrite").parquet(path)
+                _OPENED[key] = self.spark.read.parquet(path)
+        return _OPENED[key]

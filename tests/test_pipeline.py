@@ -40,3 +40,15 @@ def test_write_table_replaces(spark):
     write_table(df, f"{folder}/t")
     again = write_table(spark.createDataFrame([(2, "b"), (3, "c")], "k long, v string"), f"{folder}/t")
     assert sorted(r.k for r in again.collect()) == [2, 3]
+
+
+def test_republishing_rebuilds_stages(spark):
+    from repurchase.plans.params import FIXTURE
+    from dataclasses import replace
+
+    tables = ingest_fixture_tables(spark, SMALL)
+    folder = tempfile.mkdtemp(prefix="publish-")
+    first = publish(tables, FIXTURE, folder)["mature"].count()
+    later = replace(FIXTURE, maturity_cutoff="1995-06-01 00:00:00")
+    second = publish(tables, later, folder)["mature"].count()
+    assert second < first  # the earlier cohort was not reused
