@@ -29,3 +29,40 @@ def test_backfill_is_idempotent(spark):
     once = backfill_dim(dim, [("a", "X"), ("b", "B")], "k")
     twice = backfill_dim(once, [("a", "X"), ("b", "B")], "k")
     assert sorted(tuple(r) for r in twice.collect()) == [("a", "A"), ("b", "B")]
+
+
+class _Conf:
+    def __init__(self, values):
+        self.values = values
+
+    def get(self, key, default=None):
+        return self.values.get(key, default)
+
+
+class _Context:
+    def __init__(self, master, checkpoint=None):
+        self.master = master
+        self._checkpoint = checkpoint
+
+    def getCheckpointDir(self):
+        return self._checkpoint
+
+    def setCheckpointDir(self, d):
+        self._checkpoint = d
+
+
+class _Session:
+    def __init__(self, master, conf=None, checkpoint=None):
+        self.conf = _Conf(conf or {})
+        self.sparkContext = _Context(master, checkpoint)
+
+
+def test_cluster_session_without_shared_folder_refuses():
+    import pytest
+
+    from repurchase.sources import storage_root
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage_root(_Session("yarn"))
+    assert storage_root(_Session("yarn", {"spark.checkpoint.dir": "hdfs://nn/shared/ckpt/"})) == "hdfs://nn/shared/ckpt"
+    assert storage_root(_Session("yarn", checkpoint="hdfs://nn/ckpt/abc")) == "hdfs://nn/ckpt/abc"
