@@ -19,9 +19,9 @@ def with_share(df: DataFrame, count_col: str, out: str, dp: int = 2) -> DataFram
     return df.withColumn(out, pct(F.col(count_col), total, dp))
 
 
-def tier(value: Column, edges: list[tuple[Column, str]], default: str) -> Column:
-    """Ordered CASE: first matching condition wins, else ``default``."""
+def tier(cases: list[tuple[Column, str]], default: str) -> Column:
+    """Ordered CASE: the first matching condition's label, else ``default``."""
     expr = None
-    for cond, label in edges:
+    for cond, label in cases:
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
     return F.lit(default) if expr is None else expr.otherwise(F.lit(default))

@@ -127,8 +127,8 @@ def retention_tiers(state_metrics: DataFrame, edges: Sequence[float] = (4.0, 3.0
     labels = tier_labels(edges)
     rate = F.col("repeat_customer_ratio_percentage")
     conds = [rate >= hi, (rate >= mid) & (rate < hi), (rate >= lo) & (rate < mid)]
-    label = tier(rate, list(zip(conds, labels[:3])), labels[3])
-    order = tier(rate, list(zip(conds, ["1", "2", "3"])), "4").cast("int")
+    label = tier(list(zip(conds, labels[:3])), labels[3])
+    order = tier(list(zip(conds, ["1", "2", "3"])), "4").cast("int")
     rate_units = F.round(rate * F.lit(100)).cast("long")
     g = state_metrics.groupBy(label.alias("retention_tier"), order.alias("tier_sort_order")).agg(
         F.count(F.lit(1)).alias("number_of_states"),
@@ -163,7 +163,6 @@ def order_sequences(effective: DataFrame) -> DataFrame:
 
 def gap_tier_column(us: str = "gap_us") -> F.Column:
     return tier(
-        F.col(us),
         [(days_at_most(us, d), label) for d, label in GAP_TIERS],
         GAP_TIER_REST,
     )
@@ -250,7 +249,6 @@ def sellers_per_order(orders: DataFrame, items: DataFrame, status: str = "delive
         F.countDistinct("seller_id").alias("n")
     )
     label = tier(
-        F.col("n"),
         [(F.col("n") == i + 1, lab) for i, lab in enumerate(SELLER_COUNT_LABELS[:3])],
         SELLER_COUNT_LABELS[3],
     )
@@ -281,7 +279,6 @@ def multi_seller_geography(
     )
     one, many = F.col("n_states") == 1, F.col("n_states") > 1
     label = tier(
-        F.col("n_states"),
         [
             (one & (F.col("min_state") == F.col("buyer_state")), GEOGRAPHY_LABELS[0]),
             (many & (F.col("matched") == F.lit(True)), GEOGRAPHY_LABELS[1]),

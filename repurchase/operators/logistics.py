@@ -142,7 +142,7 @@ def review_distribution(mature_orders: DataFrame, reviews: DataFrame) -> DataFra
     rows = mature_orders.select("order_id").join(order_review_scores(reviews), on="order_id", how="left")
     score = F.coalesce(F.col("review_score"), F.lit(0))
     g = rows.groupBy(score.alias("_score")).agg(F.count(F.lit(1)).alias("order_count"))
-    label = tier(F.col("_score"), [(F.col("_score") == s, lab) for s, lab in REVIEW_LABELS], REVIEW_NONE)
+    label = tier([(F.col("_score") == s, lab) for s, lab in REVIEW_LABELS], REVIEW_NONE)
     g = with_share(g, "order_count", "pct_of_total_orders")
     return g.orderBy(F.col("_score").desc()).select(label.alias("review_score_tier"), "order_count", "pct_of_total_orders")
 

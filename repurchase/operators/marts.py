@@ -284,7 +284,7 @@ def mart_consistency(mature: DataFrame, mart: DataFrame, mart_reviews: DataFrame
 def filter_reasons(mature_orders: DataFrame) -> DataFrame:
     """M4: why each cohort order is kept or dropped by the marts."""
     missing = F.col("order_delivered_carrier_date").isNull() | F.col("order_delivered_customer_date").isNull()
-    reason = tier(F.lit(None), [(missing, FILTER_REASONS[0]), (ship_us() < 0, FILTER_REASONS[1])], FILTER_REASONS[2])
+    reason = tier([(missing, FILTER_REASONS[0]), (ship_us() < 0, FILTER_REASONS[1])], FILTER_REASONS[2])
     g = mature_orders.groupBy(reason.alias("filter_reason")).agg(F.count(F.lit(1)).alias("order_count"))
     return with_share(g, "order_count", "pct_of_orders").orderBy("filter_reason")
 
