@@ -272,7 +272,11 @@ def multi_seller_geography(
         .agg(
             F.countDistinct("seller_id").alias("n_sellers"),
             F.countDistinct("seller_state").alias("n_states"),
-            F.min("seller_state").alias("min_state"),
+            # With one distinct seller state, "that state = buyer state" is
+            # bool_and over the items (nulls skipped, as MIN skips them); a
+            # boolean buffer keeps the aggregate hash-based, where MIN over
+            # a string would force a sort-based aggregate.
+            F.bool_and(F.col("seller_state") == F.col("buyer_state")).alias("all_match"),
             F.bool_or(F.col("seller_state") == F.col("buyer_state")).alias("matched"),
         )
         .where(F.col("n_sellers") >= 2)
@@ -280,9 +284,9 @@ def multi_seller_geography(
     one, many = F.col("n_states") == 1, F.col("n_states") > 1
     label = tier(
         [
-            (one & (F.col("min_state") == F.col("buyer_state")), GEOGRAPHY_LABELS[0]),
+            (one & (F.col("all_match") == F.lit(True)), GEOGRAPHY_LABELS[0]),
             (many & (F.col("matched") == F.lit(True)), GEOGRAPHY_LABELS[1]),
-            (one & (F.col("min_state") != F.col("buyer_state")), GEOGRAPHY_LABELS[2]),
+            (one & (F.col("all_match") == F.lit(False)), GEOGRAPHY_LABELS[2]),
         ],
         GEOGRAPHY_LABELS[3],
     )
