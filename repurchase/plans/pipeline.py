@@ -147,7 +147,8 @@ def publish(tables: Mapping[str, DataFrame], params: Params, folder: str) -> dic
 
     Raises ``ConstraintError`` before writing anything when a constraint
     fails that is not allow-listed. Stages and marts are written under
-    ``folder`` (use the cluster's shared folder) and returned read back.
+    ``folder`` (use the cluster's shared folder), replacing an earlier
+    publish there, and returned read back.
     """
     quality.assert_constraints(Analysis(tables, params).constraint_report())
     spark = next(iter(tables.values())).sparkSession
