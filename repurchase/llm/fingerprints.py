@@ -89,9 +89,10 @@ def with_next(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_co
     """Add ``next_<c>`` for each carried column: the value of the document
     that follows by descending id (null ids last; after the last, the first).
 
-    Rows are dealt into equal ranges of ids, and each range also gets the
-    first row of the range that follows, so no task sorts the whole table.
-    Repeated ids follow each other by text hash.
+    Rows are dealt into equal ranges of ids and sorted there, so no task sorts
+    the whole table; the last row of each range then takes its values from the
+    first one of the range that follows. Repeated ids follow each other by
+    text hash.
     """
     low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
     if not n:
@@ -100,19 +101,19 @@ def with_next(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_co
     low, high = (0, 0) if low is None else (low, high)
     width = (high - low) // buckets + 1
     bucket = F.coalesce(F.floor((F.col(id_col) - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
-    rows = docs.withColumns({"_bucket": bucket, "_tie": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), "_guest": F.lit(0)})
-    head = F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), F.col("_tie").alias("tie"))
-    # One short row per range.
-    heads = rows.groupBy("_bucket").agg(F.max(head).alias("head"))
-    after = Window.orderBy(F.desc("_bucket"))
-    heads = heads.withColumn("to", F.coalesce(F.lag("_bucket").over(after), F.min("_bucket").over(Window.partitionBy())))
-    heads = heads.select(F.col("_bucket").alias("_from"), F.col("head.id").alias("_hid"), F.col("head.tie").alias("_htie"), "to")
-    match = (F.col("_bucket") == F.col("_from")) & F.col(id_col).eqNullSafe(F.col("_hid")) & (F.col("_tie") == F.col("_htie"))
-    guests = rows.join(heads, match).dropDuplicates(["to"])
-    guests = guests.withColumns({"_bucket": F.col("to"), "_guest": F.lit(1)}).select(*rows.columns)
-    order = Window.partitionBy("_bucket").orderBy("_guest", F.col(id_col).desc_nulls_last(), F.desc("_tie"))
-    out = rows.unionByName(guests).withColumns({f"next_{c}": F.lead(c).over(order) for c in carry})
-    return out.where(F.col("_guest") == 0).drop("_bucket", "_tie", "_guest")
+    rows = docs.withColumns({"_bucket": bucket, "_tie": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    order = Window.partitionBy("_bucket").orderBy(F.col(id_col).desc_nulls_last(), F.desc("_tie"))
+    # The markers are lags and leads, so both readers of the sorted ranges
+    # share one shuffle.
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in carry} | {"_up": F.lag(F.lit(1)).over(order), "_down": F.lead(F.lit(1)).over(order)})
+    names = [*docs.columns, *(f"next_{c}" for c in carry)]
+    ranges = docs.select(bucket.alias("_bucket")).distinct()
+    after = Window.orderBy(F.desc("_bucket"))  # one short row per range
+    ranges = ranges.withColumn("_next", F.coalesce(F.lead("_bucket").over(after), F.max("_bucket").over(Window.partitionBy())))
+    heads = rows.where(F.col("_up").isNull()).select(F.col("_bucket").alias("_next"), *(F.col(c).alias(f"_head_{c}") for c in carry))
+    tails = rows.where(F.col("_down").isNull()).drop(*(f"next_{c}" for c in carry)).join(ranges, "_bucket").join(heads, "_next")
+    tails = tails.withColumnsRenamed({f"_head_{c}": f"next_{c}" for c in carry})
+    return rows.where(F.col("_down").isNotNull()).select(*names).unionByName(tails.select(*names))
 
 
 def edited_text(text: Column, following: Column) -> Column:
