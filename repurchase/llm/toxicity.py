@@ -4,7 +4,8 @@ Grades: 0 for documents labelled clean; labelled toxic ones get 1 or 2, 2 for
 those that use marker terms (terms far more frequent in toxic than in clean
 labelled documents) more often than the median toxic document does. The model
 is P(grade <= j) = sigmoid(theta_j - w.x), with one weight vector for both
-thresholds and x = log(1 + count) of the chosen terms. It yields P(grade >= 1)
+thresholds and x = log(1 + count) of the chosen terms: words, and beginnings
+of words (``PREFIXES`` letters, marked by a star). It yields P(grade >= 1)
 and the expected severity sum_j P(grade >= j), from 0 to 2.
 
 It is fitted on the ``FIT_ROWS`` labelled rows of smallest id hash, with at
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,10 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIT_ROWS = 8000
-MAX_TERMS = 400
+MAX_TERMS = 3000
 MIN_DOCS = 4
-MIN_Z = 4.0
-REJECT_AT = 0.5
+PREFIXES = range(3, 8)
+MIN_Z = 3.0
+REJECT_AT = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -41,8 +44,24 @@ class Model:
     thresholds: tuple[float, ...] = (20.0, 21.0)
 
 
-def term_counts(text: str | None) -> Counter:
-    return Counter(_WORD.findall(text.lower())) if text else Counter()
+def first_letters(terms: Iterable[str]) -> frozenset[str]:
+    """Beginnings that a word must have to hold one of the terms."""
+    return frozenset(t.rstrip("*")[: PREFIXES[0]] for t in terms)
+
+
+def term_counts(text: str | None, among: dict[str, float] | None = None, starts: frozenset[str] | None = None) -> Counter:
+    """Terms of one text, of all or of those in ``among``."""
+    if not text:
+        return Counter()
+    found = _WORD.findall(text.lower())
+    if starts is not None:
+        found = [w for w in found if w[: PREFIXES[0]] in starts]
+    terms = Counter(found)
+    for w, n in list(terms.items()):
+        for k in PREFIXES:
+            if len(w) > k:
+                terms[w[:k] + "*"] += n
+    return terms if among is None else Counter({t: n for t, n in terms.items() if t in among})
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
@@ -84,7 +103,7 @@ def choose_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[st
     odds = F.log(a / (F.lit(toxic + 1.0) - a)) - F.log(b / (F.lit(clean + 1.0) - b))
     z = odds / F.sqrt(1 / a + 1 / b)
     per = per.where(F.col("a") + F.col("b") >= MIN_DOCS).select("term", odds.alias("odds"), z.alias("z"))
-    rows = per.where(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "term").limit(max_terms).collect()
+    rows = per.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(max_terms).collect()
     return [(r["term"], r["odds"]) for r in rows]
 
 
@@ -94,10 +113,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int
     if not chosen:
         return Model()
     index = {t: i for i, (t, _) in enumerate(chosen)}
+    index_starts = first_letters(index)
 
     def features(batches):
         for b in batches:
-            counts = [{index[t]: n for t, n in term_counts(x).items() if t in index} for x in b["text"]]
+            counts = [{index[t]: n for t, n in term_counts(x, index, index_starts).items()} for x in b["text"]]
             yield pd.DataFrame({"toxic": b["toxic"], "i": [list(c) for c in counts], "n": [list(c.values()) for c in counts]})
 
     got = sample.mapInPandas(features, "toxic int, i array<int>, n array<long>").toPandas()
@@ -113,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int
     return Model({t: float(w[i]) for t, i in index.items()}, tuple(map(float, thresholds)))
 
 
-def fit_ordinal(row, col, x, grade, width: int, top: int, l2: float = 1e-3, steps: int = 600, rate: float = 0.05):
+def fit_ordinal(row, col, x, grade, width: int, top: int, l2: float = 1e-4, steps: int = 800, rate: float = 0.05):
     """Weights and ``top`` increasing thresholds of the cumulative-link model,
     by Adam on the mean negative log-likelihood of sparse rows."""
     n = len(grade)
@@ -147,15 +167,14 @@ def fit_ordinal(row, col, x, grade, width: int, top: int, l2: float = 1e-3, step
 
 def linear_score(text: Column, model: Model) -> Column:
     """w.x of each whole text."""
-    terms = model.terms
+    terms, starts = model.terms, first_letters(model.terms)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         out = np.zeros(len(texts))
         for i, t in enumerate(texts):
             if t and terms:
-                hits = Counter(w for w in _WORD.findall(t.lower()) if w in terms)
-                out[i] = sum(terms[w] * np.log1p(n) for w, n in hits.items())
+                out[i] = sum(terms[w] * np.log1p(n) for w, n in term_counts(t, terms, starts).items())
         return pd.Series(out)
 
     return score(text)
