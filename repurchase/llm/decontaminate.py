@@ -176,7 +176,7 @@ def segments(benchmark: DataFrame) -> DataFrame:
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             parts = [(i, s) for i, t in zip(b["item_id"], b["text"], strict=True) for s in cut(normalise(t))]
-            yield pd.DataFrame(parts, columns=["item_id", "segment"]).astype({"item_id": "object"})
+            yield pd.DataFrame(parts, columns=["item_id", "segment"])
 
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     return rows.mapInPandas(split, "item_id string, segment string")
@@ -198,8 +198,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     and end_char (in the normalised text, over all segments found)."""
     spark = docs.sparkSession
     kind = dict(benchmark.dtypes)["item_id"]
-    rows = docs.select("doc_id", "text")
-    out = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id string, n_segments long, edits long, first_char long, end_char long"
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    id_kind = dict(docs.dtypes)["doc_id"]
+    out = "doc_id string, item_id string, n_segments long, edits long, first_char long, end_char long"
 
     def of(index: Index) -> DataFrame:
         shared = spark.sparkContext.broadcast((index.items, index.texts))
@@ -208,16 +209,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             known = build_index(*shared.value)
             for b in batches:
                 hits = [(d, known.items[s], 1, e, x, y) for d, t in zip(b["doc_id"], b["text"], strict=True) for s, e, x, y in find(t, known)]
-                yield pd.DataFrame(hits, columns=["doc_id", "item_id", "n_segments", "edits", "first_char", "end_char"]).astype({"item_id": "object"})
+                yield pd.DataFrame(hits, columns=["doc_id", "item_id", "n_segments", "edits", "first_char", "end_char"])
 
         return rows.mapInPandas(scan, out)
 
     parts = [of(index) for index in blocks(benchmark)]
     if not parts:
-        return spark.createDataFrame([], out).withColumn("item_id", F.col("item_id").cast(kind))
+        return spark.createDataFrame([], out).withColumns({"doc_id": F.col("doc_id").cast(id_kind), "item_id": F.col("item_id").cast(kind)})
     found = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id")
     found = found.agg(F.sum("n_segments").alias("n_segments"), F.min("edits").alias("edits"), F.min("first_char").alias("first_char"), F.max("end_char").alias("end_char"))
-    return found.withColumn("item_id", F.col("item_id").cast(kind))
+    return found.withColumns({"doc_id": F.col("doc_id").cast(id_kind), "item_id": F.col("item_id").cast(kind)})
 
 
 def holds(text: Column, index: Index, spark) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, licenses, mixing, pii, simhash, toxicity
+from . import decontaminate, fingerprints, fmindex, licenses, mixing, pii, simhash, suffix, toxicity
 from .common import read_table
 
 
@@ -22,6 +22,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +38,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(read_table(spark, sf_dir, "documents"))
 
 
+def op9_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.grade_documents(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -43,9 +51,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
     "op2_simhash": op2_simhash,
     "op3_license_scan": op3_license_scan,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_mixing": op8_mixing,
+    "op9_fm_dedup": op9_fm_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
