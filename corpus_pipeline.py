@@ -1,20 +1,52 @@
-"""Corpus pipeline: the training-data operators applied to ``documents``."""
+"""Corpus pipeline: training-data operators applied to ``documents`` in turn.
+
+Each stage takes the documents its predecessor kept, stored as Parquet, and
+returns them with the columns of ``documents``; the last returns the schedule
+of copies to read.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repurchase.llm import mixing
+from repurchase.llm import decontaminate, mixing, pii, simhash, toxicity
 from repurchase.llm.common import read_table, stash
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model, fitted on ``labels``, rejects go."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays."""
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of ``benchmark`` go."""
+    return decontaminate.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts are replaced by their kind."""
+    return pii.redact(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Schedule the copies to read, by source weight."""
+    """The copies of documents to read, by source weight."""
     return mixing.schedule(docs)
 
 
-STAGES = [("mixing", mix_sources)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", redact_personal_data),
+    ("mixing", mix_sources),
+]
 
+#: Models and fingerprints are beyond SQL; a brute-force version is in the tests.
 ORACLE_SQL = None
 
 
