@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import free_name, stash
 from .components import components
 
 SHINGLE = 3
@@ -228,7 +228,8 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, bits: int = MAX_BITS) -> Data
     rows = stash(rows, "simhash")
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_mark")).alias("pick")
     best = rows.join(group_rows(rows, bits), "fp").groupBy("root").agg(pick)
-    best = best.select(F.col("pick.doc_id").alias("_id"), F.col("pick._mark").alias("_m"))
-    names = docs.columns
-    kept = docs.withColumn("_mark", mark).join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_mark"]).select(*names)
+    own, ident, least = (free_name(docs, x) for x in ("_mark", "_id", "_least"))
+    best = best.select(F.col("pick.doc_id").alias(ident), F.col("pick._mark").alias(least))
+    marked = docs.withColumn(own, mark)
+    kept = marked.join(best, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(own) == F.col(least)), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).drop(own)

@@ -192,7 +192,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarr
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
     place = np.arange(n)
-    before = np.where((place > 0) & (phi > 0), t[place - 1] == t[phi - 1], False)
+    before = np.where((place > 0) & (phi > 0), t[place - 1] == t[np.maximum(phi - 1, 0)], False)
     start = np.flatnonzero(~before & (phi >= 0))
     padded = np.concatenate([t, np.zeros(8, t.dtype)]).astype(np.uint64)
     word = np.zeros(n, np.uint64)

@@ -84,8 +84,8 @@ def _sample_terms(sample: DataFrame) -> DataFrame:
                 {
                     "row": row,
                     "toxic": np.repeat(b["toxic"].to_numpy(), n),
-                    "term": [t for c in counts for t in c],
-                    "n": [k for c in counts for k in c.values()],
+                    "term": np.array([t for c in counts for t in c], object),
+                    "n": np.array([k for c in counts for k in c.values()], np.int64),
                 }
             )
 
