@@ -31,6 +31,7 @@ def reports(a: Analysis) -> dict:
     return {
         "V1_pk_duplicates": quality.pk_duplicate_report(a.t),
         "V2_pk_nulls": quality.pk_null_report(a.t),
+        "V2_pk_null_rows": quality.pk_null_rows(a.t),
         "V3_fk_orphans": quality.fk_orphan_report(a.t),
         "V4_fk_orphan_summary": quality.fk_summary_report(a.t),
         "V5_constraint_gate": a.constraint_report(),
@@ -51,7 +52,7 @@ def reports(a: Analysis) -> dict:
         ),
         "C3_order_count_distribution": cohort.order_count_distribution(a.people),
         "C5b_mature_order_count_distribution": cohort.order_count_distribution(a.mature),
-        "C6_cohort_grain_check": cohort.cohort_grain(a.mature, a.customers, a.orders, p.delivered_status),
+        "C6_cohort_grain_check": cohort.cohort_grain(a.mature_orders),
         "L1_shipping_profile": logistics.shipping_profile(a.mature_orders, p.slow_shipping_days),
         "L2_slow_orders_by_state": logistics.slow_orders_by_state(a.mature_orders, p.slow_delivery_days),
         "L3_orders_without_items": logistics.orders_without_items(a.mature_orders, a.items),
@@ -62,7 +63,7 @@ def reports(a: Analysis) -> dict:
         "G1_multi_state_people": logistics.multi_state_people(a.mature_orders),
         "G2_cross_state_by_state": logistics.cross_state_by_state(a.mature_orders, a.items, a.sellers),
         "M2b_state_mart_reviews_dedup": a.state_mart_reviews(dedupe=True),
-        "M3_mart_consistency": marts.mart_consistency(a.mature, a.state_mart(), a.state_mart_reviews()),
+        "M3_mart_consistency": marts.mart_consistency(a.mature, *a.stored_marts),
         "M4_filter_reasons": marts.filter_reasons(a.mature_orders),
         "M6_top_categories": marts.top_categories(
             a.customers, a.orders, a.items, a.products, a.translation, p.focus_state, p.top_categories

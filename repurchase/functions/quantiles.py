@@ -23,47 +23,40 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.sizing import slice_count
-
 _WIDE = "decimal(38,0)"
 
 
-def running_counts(
-    counts: DataFrame, group: list[str], value: str, count: str, slices: int | None = None
-) -> DataFrame:
+def value_bucket(value: str) -> Column:
+    """Bucket that never falls where the value grows: 1/256 of an octave of
+    its distance from zero. A group has some 30,000 at most, whatever its
+    number of values."""
+    v = F.col(value)
+    octave = F.log2(F.abs(v.cast("double")) + F.lit(1.0)) * F.lit(256.0)
+    return F.when(v < 0, -F.ceil(octave)).otherwise(F.floor(octave)).cast("long")
+
+
+def running_counts(counts: DataFrame, group: list[str], value: str, count: str) -> DataFrame:
     """Add ``_end`` (running sum of ``count`` by ascending ``value`` within
     ``group``) and ``_n`` (group total), without putting a group in one task.
 
-    The (group, value) rows are range-partitioned on (group, value), so one
-    group's values spread over consecutive slices. Each slice takes running
-    sums locally; a table of per-(slice, group) totals, at most one row per
-    slice and group, gives each slice the count of all earlier slices.
+    A group is cut into buckets of its values. Each bucket takes running sums
+    of its own; the totals of a group's buckets, a bounded number of rows,
+    give each the count of all earlier ones.
     """
-    spark = counts.sparkSession
-    slices = slices or slice_count(counts)
-    # One slice means the whole input fits one slice, so a plain window per
-    # group is bounded too. Without exchange reuse the two uses of the slice
-    # id below could read two different range shuffles: use the plain form.
-    if slices == 1 or spark.conf.get("spark.sql.exchange.reuse", "true").lower() == "false":
-        part = Window.partitionBy(*group)
-        running = part.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return counts.withColumn("_end", F.sum(count).over(running)).withColumn("_n", F.sum(count).over(part))
-    local = counts.repartitionByRange(slices, *group, value).withColumn("_slice", F.spark_partition_id())
-    within = Window.partitionBy("_slice", *group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = local.withColumn("_local_end", F.sum(count).over(within))
-    totals = local.groupBy("_slice", *group).agg(F.sum(count).alias("_t"))
-    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    rows = counts.withColumn("_bucket", value_bucket(value))
+    within = Window.partitionBy(*group, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumn("_local_end", F.sum(count).over(within))
+    totals = rows.groupBy(*group, "_bucket").agg(F.sum(count).alias("_t"))
+    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_slice",
-        *group,
+        *[F.col(c).alias(f"_o{c}") for c in [*group, "_bucket"]],
         F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"),
         F.sum("_t").over(Window.partitionBy(*group)).alias("_n"),
     )
     # Null-safe on the group columns: a null key is a group of its own.
-    renamed = offsets.select(*[F.col(c).alias(f"_o{c}") for c in ["_slice", *group]], "_off", "_n")
-    cond = [local[c].eqNullSafe(renamed[f"_o{c}"]) for c in ["_slice", *group]]
-    joined = local.join(renamed, on=cond, how="inner").drop(*[f"_o{c}" for c in ["_slice", *group]])
-    return joined.withColumn("_end", F.col("_off") + F.col("_local_end")).drop("_slice", "_local_end", "_off")
+    cond = [F.col(c).eqNullSafe(F.col(f"_o{c}")) for c in [*group, "_bucket"]]
+    joined = local.join(offsets, on=cond, how="inner").drop(*[f"_o{c}" for c in [*group, "_bucket"]])
+    return joined.withColumn("_end", F.col("_off") + F.col("_local_end")).drop("_bucket", "_local_end", "_off")
 
 
 def percentile_numerators(
@@ -71,9 +64,9 @@ def percentile_numerators(
     keys: list[str],
     measures: Mapping[str, str | Column],
     requests: Mapping[str, tuple[str, int]],
-    slices: int | None = None,
 ) -> DataFrame:
-    """One row per key combination present in ``df``.
+    """One row per key combination with a non-null value of any measure (a
+    caller that needs the other combinations joins them from the left).
 
     ``measures`` maps a name to an integral SQL expression or Column (nulls
     are ignored, as in SQL). ``requests`` maps an output name to (measure
@@ -102,7 +95,7 @@ def percentile_numerators(
         .where("_v IS NOT NULL")
     )
     counts = tall.groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running_counts(counts, [*keys, "_m"], "_v", "_c", slices)
+    ranked = running_counts(counts, [*keys, "_m"], "_v", "_c")
 
     aggs = []
     for out, (measure, p) in requests.items():

@@ -8,6 +8,8 @@ per map task before the shuffle instead of in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,12 +94,11 @@ def mature_orders(
     return delivered_orders(orders, customers, status).join(m, on=PERSON, how="inner")
 
 
-def cohort_grain(mature: DataFrame, customers: DataFrame, orders: DataFrame, status: str = "delivered") -> DataFrame:
-    """Distinct people, customer records, orders, and joined rows."""
-    rows = mature_orders(mature, customers, orders, status)
-    return rows.agg(
-        F.countDistinct(PERSON).alias("unique_customers"),
-        F.countDistinct("customer_id").alias("customer_records"),
-        F.countDistinct("order_id").alias("total_orders"),
-        F.count(F.lit(1)).alias("joined_rows"),
-    )
+def cohort_grain(mature_orders: DataFrame) -> DataFrame:
+    """Distinct people, customer records, orders, and joined rows, from
+    the stored cohort orders; each key is reduced on its own."""
+    names = {PERSON: "unique_customers", "customer_id": "customer_records", "order_id": "total_orders"}
+    parts = [mature_orders.select(c).distinct().agg(F.count(c).alias(n)) for c, n in names.items()]
+    parts.append(mature_orders.agg(F.count(F.lit(1)).alias("joined_rows")))
+    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return merged.agg(*[F.max(n).alias(n) for n in [*names.values(), "joined_rows"]])

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import US_PER_DAY, days_at_most, micros_between, pct, round_ratio, round_ratio_int, tier, with_share
 from ..plans.params import GAP_TIER_REST, GAP_TIERS, GEOGRAPHY_LABELS, SELLER_COUNT_LABELS
 from ..plans.sequence import next_in_group
-from ..sources.tables import storage_root
 from .cohort import PERSON
 
 TS = "order_purchase_timestamp"
@@ -132,7 +131,8 @@ def retention_tiers(state_metrics: DataFrame, edges: Sequence[float] = (4.0, 3.0
     rate_units = F.round(rate * F.lit(100)).cast("long")
     g = state_metrics.groupBy(label.alias("retention_tier"), order.alias("tier_sort_order")).agg(
         F.count(F.lit(1)).alias("number_of_states"),
-        F.array_join(F.array_sort(F.collect_list("buyer_state")), ", ").alias("included_states"),
+        # Null, not an empty text, where a tier has no named state.
+        F.nullif(F.array_join(F.array_sort(F.collect_list("buyer_state")), ", "), F.lit("")).alias("included_states"),
         F.sum("total_unique_customers").cast("long").alias("total_customers"),
         F.sum("one_time_customers").cast("long").alias("one_time_customers"),
         F.sum("repeat_customers").cast("long").alias("repeat_customers"),
@@ -188,11 +188,9 @@ def longest_gaps(
     """The ``n`` longest gaps with the category of the first order's item 1.
 
     Top-k runs first (each task keeps n candidates); the lookups then touch
-    only the items of those n orders: their ids (at most n, a parameter) are
-    broadcast to filter the item table without shuffling it. Because the
-    item join can only add rows, the top n joined rows all come from the
-    top n gaps. Ties sort by person, order ids and category. The top n rows
-    are checkpointed, so the gap sequence is computed once.
+    only the items of those n orders. Because the item join can only add rows,
+    the top n joined rows all come from the top n gaps. Ties sort by person,
+    order ids and category.
     """
     gaps = order_sequences(effective).select(
         F.col(PERSON).alias("buyer_id"),
@@ -203,22 +201,11 @@ def longest_gaps(
         round_ratio_int("gap_us", F.lit(US_PER_DAY), 1).alias("_gap_tenths"),
     )
     rank = [F.col("_gap_tenths").desc(), F.col("buyer_id").asc(), F.col("first_order_id").asc(), F.col("second_order_id").asc()]
-    # At most n rows, used by two branches below: checkpoint once (to the
-    # session's shared checkpoint folder) so the sequence runs only once.
-    storage_root(effective.sparkSession)
-    top = gaps.orderBy(*rank).limit(n).checkpoint(eager=True)
-    ids = top.select(F.col("first_order_id").alias("order_id"))
-    first_items = (
-        items.where(F.col("order_item_id") == 1)
-        .join(F.broadcast(ids), on="order_id", how="left_semi")
-        .select(F.col("order_id").alias("first_order_id"), "product_id")
-    )
+    top = gaps.orderBy(*rank).limit(n)
+    first_items = items.where(F.col("order_item_id") == 1).select(F.col("order_id").alias("first_order_id"), "product_id")
     cats = products.join(translation, on="product_category_name", how="inner").select(
         "product_id", F.col("product_category_name_english").alias("first_order_category")
     )
-    # No hint here: without an enforced item key, one order could carry
-    # any number of item-1 rows, so the planner sizes this side at run time.
-    cats = cats.join(first_items.select("product_id"), on="product_id", how="left_semi")
     out = (
         top.join(first_items, on="first_order_id", how="left")
         .join(cats, on="product_id", how="left")
@@ -265,13 +252,15 @@ def multi_seller_geography(
         .select("order_id", "customer_id")
         .join(customers.select("customer_id", F.col("customer_state").alias("buyer_state")), on="customer_id")
     )
-    sold = items.select("order_id", "seller_id").join(sellers, on="seller_id")
-    rows = o.join(sold, on="order_id")
+    # The cohort's orders cut the items down before sellers are looked up, and
+    # each (order, seller) meets its seller once; sellers are unique by key.
+    rows = o.join(items.select("order_id", "seller_id"), on="order_id").distinct().join(sellers, on="seller_id")
+    by_state = rows.groupBy("order_id", "buyer_state", "seller_state").agg(F.count("seller_id").alias("n"))
     per = (
-        rows.groupBy("order_id", "buyer_state")
+        by_state.groupBy("order_id", "buyer_state")
         .agg(
-            F.countDistinct("seller_id").alias("n_sellers"),
-            F.countDistinct("seller_state").alias("n_states"),
+            F.sum("n").alias("n_sellers"),
+            F.count("seller_state").alias("n_states"),
             # With one distinct seller state, "that state = buyer state" is
             # bool_and over the items (nulls skipped, as MIN skips them); a
             # boolean buffer keeps the aggregate hash-based, where MIN over

@@ -165,8 +165,8 @@ def cross_state_by_state(mature_orders: DataFrame, items: DataFrame, sellers: Da
     A seller in another state than the person's latest state makes an item
     cross-state; a null state on either side counts as neither.
     """
-    sold = items.select("order_id", "seller_id").join(sellers, on="seller_id")
-    rows = mature_orders.select("order_id", "buyer_state").join(sold, on="order_id")
+    # The cohort's orders cut the items down before sellers are looked up.
+    rows = mature_orders.select("order_id", "buyer_state").join(items.select("order_id", "seller_id"), on="order_id").join(sellers, on="seller_id")
     per = rows.groupBy("order_id", "buyer_state").agg(
         F.count(F.lit(1)).alias("total_items"),
         F.count_if(F.col("buyer_state") != F.col("seller_state")).alias("cross_items"),

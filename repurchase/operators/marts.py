@@ -49,10 +49,8 @@ def order_base(
     o = mature_orders.where(
         F.col("order_delivered_carrier_date").isNotNull() & F.col("order_delivered_customer_date").isNotNull()
     ).select("order_id", PERSON, "buyer_state", ship_us().alias("_ship_us"))
-    # Items meet sellers first; the order-keyed joins and the per-order
-    # aggregate then share one hash partitioning on order_id.
-    sold = items.select("order_id", "seller_id", "price", "freight_value").join(sellers, on="seller_id")
-    rows = o.join(sold, on="order_id")
+    # The cohort's orders cut the items down before sellers are looked up.
+    rows = o.join(items.select("order_id", "seller_id", "price", "freight_value"), on="order_id").join(sellers, on="seller_id")
     aggs = [
         cents(F.sum("price")).alias("price_cents"),
         cents(F.sum("freight_value")).alias("freight_cents"),
@@ -147,7 +145,7 @@ def state_mart(mature: DataFrame, base: DataFrame) -> DataFrame:
         },
     )
     money_units, day_units, day = 100 * 100, 100 * US_PER_DAY, US_PER_DAY
-    lg = plain.join(pcts, on="buyer_state", how="inner").select(
+    lg = plain.join(pcts, on="buyer_state", how="left").select(
         "buyer_state",
         "total_orders_mature",
         round_ratio("_price", "_n * 100", 2).alias("avg_order_price"),
@@ -233,7 +231,7 @@ def state_mart_reviews(mature: DataFrame, base_reviews: DataFrame, low_review_ma
         },
     )
     money_units, day_units = 100 * 100, 100 * US_PER_DAY
-    lg = plain.join(pcts, on="buyer_state", how="inner").select(
+    lg = plain.join(pcts, on="buyer_state", how="left").select(
         "buyer_state",
         "total_orders_mature",
         pct("_cross", "_n").alias("cross_state_ratio_percentage"),

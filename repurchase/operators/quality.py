@@ -34,7 +34,7 @@ class ForeignKey:
     exclude_null: bool = True
 
 
-# The analysis' keys, in the order it checks them.
+# The analysis' keys, in the order it checks them.
 PRIMARY_KEYS = (
     PrimaryKey("pk_orders", "orders", ("order_id",)),
     PrimaryKey("pk_order_items", "order_items", ("order_id", "order_item_id")),
@@ -112,7 +112,8 @@ def fk_orphan_summary(child: DataFrame, parent: DataFrame, child_key: str, paren
 
 
 def _key_text(keys: Sequence[str]) -> Column:
-    return F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    """Key as one text; a null part reads ``<null>``, so it keeps its place."""
+    return F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("<null>")) for k in keys])
 
 
 def pk_duplicate_report(tables: Mapping[str, DataFrame], pks: Iterable[PrimaryKey] = PRIMARY_KEYS) -> DataFrame:
@@ -137,6 +138,15 @@ def pk_null_report(tables: Mapping[str, DataFrame], pks: Iterable[PrimaryKey] =
     return reduce(DataFrame.unionByName, parts)
 
 
+def pk_null_rows(tables: Mapping[str, DataFrame], pks: Iterable[PrimaryKey] = PRIMARY_KEYS) -> DataFrame:
+    """V2 as rows: constraint and key text of every row with a null key part."""
+    parts = [
+        pk_nulls(tables[pk.table], pk.keys).select(F.lit(pk.name).alias("constraint_name"), _key_text(pk.keys).alias("key_value"))
+        for pk in pks
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fk_orphan_report(tables: Mapping[str, DataFrame], fks: Iterable[ForeignKey] = FOREIGN_KEYS) -> DataFrame:
     """V3 over every foreign key: constraint and orphan key (as text)."""
     parts = [

@@ -82,7 +82,6 @@ FIXTURE = replace(
     tier_edges=(92.0, 90.0, 88.0),
     high_freight=3000,
     focus_state="S7",
-    backfill_categories=(("Brand#24", "en_Brand#24"), ("Brand#25", "en_Brand#25")),
     expected_failures=frozenset(
         {"fk_leads_closed_seller_id", "fk_leads_closed_mql_id", "pk_order_items", "pk_order_payments"}
     ),

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import cohort, marts, quality
 from ..sources.tables import backfill_dim, write_table
-from .params import FIXTURE, Params
+from .params import CONSISTENCY_TABLES, FIXTURE, Params
 from .stages import StageStore
 
 
@@ -39,6 +39,8 @@ class Analysis:
         for name in STAGES:
             if name in stages:
                 a.__dict__[name] = stages[name]
+        if all(name in stages for name in CONSISTENCY_TABLES[1:]):
+            a.__dict__["stored_marts"] = tuple(stages[name] for name in CONSISTENCY_TABLES[1:])
         return a
 
     def _stage(self, name: str, build) -> DataFrame:
@@ -75,7 +77,12 @@ class Analysis:
 
     @cached_property
     def translation_filled(self) -> DataFrame:
-        return backfill_dim(self.translation, self.p.backfill_categories, "product_category_name")
+        return backfill_dim(
+            self.translation,
+            self.p.backfill_categories,
+            "product_category_name",
+            ["product_category_name", "product_category_name_english"],
+        )
 
     @cached_property
     def tables_filled(self) -> dict[str, DataFrame]:
@@ -85,18 +92,18 @@ class Analysis:
     @cached_property
     def effective(self) -> DataFrame:
         return self._stage(
-            "step1_effective_orders",
+            "delivered",
             lambda: cohort.effective_orders(self.orders, self.customers, self.p.delivered_status),
         )
 
     @cached_property
     def people(self) -> DataFrame:
-        return self._stage("step2_unique_customers", lambda: cohort.unique_customers(self.effective))
+        return self._stage("people", lambda: cohort.unique_customers(self.effective))
 
     @cached_property
     def mature(self) -> DataFrame:
         return self._stage(
-            "step3_mature_customers", lambda: cohort.mature_customers(self.people, self.p.maturity_cutoff)
+            "mature_people", lambda: cohort.mature_customers(self.people, self.p.maturity_cutoff)
         )
 
     @cached_property
@@ -132,6 +139,21 @@ class Analysis:
         base = self.base_reviews_dedup if dedupe else self.base_reviews
         return marts.state_mart_reviews(self.mature, base, self.p.low_review_max)
 
+    @cached_property
+    def stored_marts(self) -> tuple[DataFrame, DataFrame]:
+        """Both state marts as stored tables (plans without a store)."""
+        return (
+            self._stage("mart_state", self.state_mart),
+            self._stage("mart_state_reviews", self.state_mart_reviews),
+        )
+
+    @cached_property
+    def stored_fact(self) -> DataFrame:
+        """The person-level fact as a table partitioned by state."""
+        if self.store is None:
+            return self.customer_order_fact()
+        return self.store.get("fact_customer_order_totals", self.customer_order_fact, partition_by="buyer_state")
+
     def customer_order_fact(self) -> DataFrame:
         return marts.customer_order_fact(self.mature_orders)
 
@@ -155,12 +177,8 @@ def publish(tables: Mapping[str, DataFrame], params: Params, folder: str) -> dic
     staged = Analysis(tables, params, StageStore(spark, folder, folder=folder))
     out = {name: getattr(staged, name) for name in STAGES}
     base = folder.rstrip("/")
-    out["dm_state_logistics_retention_summary"] = write_table(
-        staged.state_mart(), f"{base}/dm_state_logistics_retention_summary"
-    )
-    out["dm_state_logistics_retention_summary_with_reviews"] = write_table(
-        staged.state_mart_reviews(), f"{base}/dm_state_logistics_retention_summary_with_reviews"
-    )
+    for name, mart in zip(CONSISTENCY_TABLES[1:], (staged.state_mart, staged.state_mart_reviews)):
+        out[name] = write_table(mart(), f"{base}/{name}")
     out["fact_customer_order_totals"] = write_table(
         staged.customer_order_fact(), f"{base}/fact_customer_order_totals", ["buyer_state"]
     )

@@ -1,15 +1,13 @@
 """LEAD over a group without bringing a whole group into one task.
 
-``LEAD(x) OVER (PARTITION BY g ORDER BY t)`` in Spark puts every row of a
+``LEAD(x) OVER (PARTITION BY g ORDER BY t, ...)`` in Spark puts every row of a
 group in one task; one person holding a third of all orders would make that
-task a third of the job. Here the rows are range-partitioned on the full
-sort key (g, t, tiebreak), so a hot group is cut across consecutive slices.
-Inside a slice the successor is the next row (a window per slice, so a
-window partition never exceeds one slice). A group can only continue from
-the last row of a slice into the first row of the next non-empty slice;
-those first rows form a table with at most one row per slice, a bound fixed
-by the slice count, so it is broadcast to patch the slice tails. The result
-is exact, and everything stays in the JVM.
+task a third of the job. Here a group is cut by a bucket of its first order
+column (a day, or a run of numbers), which is an expression of the row, so
+every branch of the plan agrees on it. Inside a bucket the successor is the
+next row; the last row of a bucket continues with the first row of the group's
+next bucket. Those first rows are one per group and bucket, so even a hot
+group brings only its number of buckets into one task.
 """
 
 from __future__ import annotations
@@ -19,23 +17,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizing import slice_count
-
-SLICE = "_slice"
-TAIL = "_slice_tail"
 HAS_NEXT = "_has_next"
+_BUCKET, _FIRST, _B = "_lead_bucket", "_lead_first", "_lead_b_"
 
 
 def _sort_key(cols: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in cols]
 
 
+def default_bucket(df: DataFrame, column: str) -> Column:
+    """Days of a time column, runs of 1000 of a numeric one; it never falls
+    where the column grows, and is null where the column is."""
+    kind = dict(df.dtypes)[column]
+    if kind.startswith("timestamp") or kind == "date":
+        return F.date_trunc("DAY", F.col(column))
+    return F.floor(F.col(column) / 1000)
+
+
 def next_in_group(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     carry: Sequence[str],
-    slices: int | None = None,
+    bucket: Column | None = None,
     prefix: str = "next_",
 ) -> DataFrame:
     """Add ``{prefix}{c}`` = LEAD(c) OVER (PARTITION BY keys ORDER BY order).
@@ -43,65 +47,26 @@ def next_in_group(
     ``order`` is ascending with nulls last (PostgreSQL's default); include a
     unique tiebreak column to make the successor deterministic. Also adds
     ``_has_next`` (a successor row exists, even when its values are null).
+    ``bucket`` must not fall where the first order column grows. A null key is
+    a group of its own; all columns of ``df`` are kept.
     """
     keys, order, carry = list(keys), list(order), list(carry)
-    n = slices or slice_count(df)
-    # One slice: the whole input fits one slice, so a plain window is bounded
-    # too. Without exchange reuse the slice ids of the two branches below
-    # could come from two range samples: use the plain form as well.
-    if n == 1 or df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() == "false":
-        return _window_lead(df, keys, order, carry, prefix)
-    sort = _sort_key(keys + order)
-    ranged = df.repartitionByRange(n, *sort)
-
-    # Successor inside each slice: a window per slice, so a window partition
-    # is bounded by the slice size whatever the group sizes are.
-    in_slice = Window.partitionBy(SLICE).orderBy(*sort)
-    within = ranged.withColumn(SLICE, F.spark_partition_id())
-    nxt_key = [F.lead(k).over(in_slice) for k in keys]
-    exists = F.lead(F.lit(True)).over(in_slice)
-    same = F.coalesce(exists, F.lit(False))
-    for k, nk in zip(keys, nxt_key):
-        same = same & F.col(k).eqNullSafe(nk)
-    within = within.select(
-        *df.columns,
-        *[F.when(same, F.lead(c).over(in_slice)).alias(f"{prefix}{c}") for c in carry],
-        same.alias(HAS_NEXT),
-        F.col(SLICE),
-        exists.isNull().alias(TAIL),
+    bucket = default_bucket(df, order[0]) if bucket is None else bucket
+    rows = df.withColumn(_BUCKET, bucket)
+    inside = Window.partitionBy(*keys, _BUCKET).orderBy(*_sort_key(order))
+    payload = F.struct(*[F.col(c).alias(c) for c in carry])
+    within = rows.withColumn(_FIRST, F.lead(payload).over(inside))
+
+    key = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
+    heads = rows.groupBy(*keys, _BUCKET).agg(F.min_by(payload, key).alias(_FIRST))
+    after = F.lead(_FIRST).over(Window.partitionBy(*keys).orderBy(F.col(_BUCKET).asc_nulls_last()))
+    heads = heads.select(*[F.col(k).alias(f"{_B}{k}") for k in [*keys, _BUCKET]], after.alias(f"{_B}next"))
+
+    same = [F.col(k).eqNullSafe(F.col(f"{_B}{k}")) for k in [*keys, _BUCKET]]
+    joined = within.join(heads, on=same, how="inner")
+    found = F.coalesce(F.col(_FIRST), F.col(f"{_B}next"))
+    return joined.select(
+        *[F.col(c) for c in df.columns],
+        found.isNotNull().alias(HAS_NEXT),
+        *[found[c].alias(f"{prefix}{c}") for c in carry],
     )
-
-    # First row of every non-empty slice; at most `n` rows.
-    first_key = F.struct(*[x for c in keys + order for x in (F.col(c).isNull(), F.col(c))])
-    firsts = ranged.withColumn(SLICE, F.spark_partition_id()).groupBy(SLICE).agg(
-        F.min_by(F.struct(*[F.col(c).alias(c) for c in dict.fromkeys(keys + carry)]), first_key).alias("_first")
-    )
-    prev = F.lag(SLICE).over(Window.orderBy(SLICE))
-    patch = firsts.select(
-        prev.alias(SLICE),
-        F.lit(True).alias("_patched"),
-        *[F.col(f"_first.{k}").alias(f"_fk_{k}") for k in keys],
-        *[F.col(f"_first.{c}").alias(f"_fc_{c}") for c in carry],
-    ).where(F.col(SLICE).isNotNull())
-
-    joined = within.join(F.broadcast(patch), on=SLICE, how="left")
-    # A slice's last row continues into the next non-empty slice when that
-    # slice starts with the same group.
-    continues = F.col(TAIL) & F.coalesce(F.col("_patched"), F.lit(False))
-    for k in keys:
-        continues = continues & F.col(k).eqNullSafe(F.col(f"_fk_{k}"))
-    out = joined
-    for c in carry:
-        out = out.withColumn(f"{prefix}{c}", F.when(continues, F.col(f"_fc_{c}")).otherwise(F.col(f"{prefix}{c}")))
-    out = out.withColumn(HAS_NEXT, F.col(HAS_NEXT) | continues)
-    return out.drop(SLICE, TAIL, "_patched", *[f"_fk_{k}" for k in keys], *[f"_fc_{c}" for c in carry])
-
-
-def _window_lead(df: DataFrame, keys: list[str], order: list[str], carry: list[str], prefix: str) -> DataFrame:
-    """Plain window LEAD (exact; a group lands in one task, so only for
-    inputs that fit one slice)."""
-    w = Window.partitionBy(*keys).orderBy(*_sort_key(order))
-    out = df.withColumn(HAS_NEXT, F.lead(F.lit(True)).over(w).isNotNull())
-    for c in carry:
-        out = out.withColumn(f"{prefix}{c}", F.lead(c).over(w))
-    return out

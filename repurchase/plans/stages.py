@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import hashlib
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def code_fingerprint() -> str:
@@ -44,10 +46,33 @@ def path_lock(path: str) -> threading.Lock:
         return _LOCKS.setdefault(path, threading.Lock())
 
 
+def _fs_path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _fs_path(spark, path)
+    return fs.exists(p)
+
+
+def publish_once(df: DataFrame, path: str, partition_by: str | None = None):
+    """Write under a name of its own and rename to ``path`` if that is still
+    free: of several writers the first wins, and no reader sees half a table.
+    Rows of a partition are gathered in a few files. Returns the schema."""
+    part = f"{path}-{uuid.uuid4().hex}"
+    if partition_by:
+        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != partition_by]), F.lit(8))
+        df.repartition(partition_by, salt).write.partitionBy(partition_by).parquet(part)
+    else:
+        df.write.parquet(part)
+    jvm = df.sparkSession.sparkContext._jvm
+    fs, source, target = _fs_path(df.sparkSession, part)[0], jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(path)
+    if not fs.exists(target):
+        fs.rename(source, target)
+    if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+        raise RuntimeError(f"{path} exists without having been committed")
+    return df.schema
 
 
 class StageStore:
@@ -65,7 +90,7 @@ class StageStore:
             digest = hashlib.sha1(f"{key}|{code_fingerprint()}".encode()).hexdigest()[:16]
             self.base = f"{root.rstrip('/')}/stages/{digest}"
 
-    def get(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def get(self, name: str, build: Callable[[], DataFrame], partition_by: str | None = None) -> DataFrame:
         path = f"{self.base}/{name}"
         if not self.reuse:
             with path_lock(path):
@@ -79,6 +104,8 @@ class StageStore:
         with path_lock(path):
             if key not in _OPENED:
                 if not _exists(self.spark, f"{path}/_SUCCESS"):
-                    build().write.mode("overwrite").parquet(path)
-                _OPENED[key] = self.spark.read.parquet(path)
+                    schema = publish_once(build(), path, partition_by)
+                    _OPENED[key] = self.spark.read.schema(schema).parquet(path)
+                else:
+                    _OPENED[key] = self.spark.read.parquet(path)
         return _OPENED[key]

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # The eleven tables the analysis reads, in the order the key checks visit them.
 REFERENCE_TABLES = (
@@ -131,14 +132,17 @@ def write_table(
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def backfill_dim(dim: DataFrame, rows: Sequence[tuple], key: Sequence[str] | str) -> DataFrame:
+def backfill_dim(dim: DataFrame, rows: Sequence[tuple], key: Sequence[str] | str, columns: Sequence[str] | None = None) -> DataFrame:
     """Append literal dimension rows whose key is not present yet (S3).
 
-    Idempotent: running it twice adds nothing the second time. ``rows`` is a
-    short literal list, so it is small by construction.
+    ``columns`` names the values of a row, in their order (default: the
+    dimension's). Idempotent: running it twice adds nothing the second time.
+    ``rows`` is a short literal list, so it is small by construction.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    names = list(columns or dim.columns)
     spark = dim.sparkSession
-    extra = spark.createDataFrame(list(rows), schema=dim.schema) if rows else spark.createDataFrame([], dim.schema)
+    schema = StructType([dim.schema[c] for c in names])
+    extra = spark.createDataFrame(list(rows), schema=schema)
     new = extra.join(dim.select(*keys), on=keys, how="left_anti").dropDuplicates(keys)
-    return dim.unionByName(new)
+    return dim.unionByName(new, allowMissingColumns=True)

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from repurchase.plans.sequence import next_in_group
 
 
@@ -17,39 +20,53 @@ def expected(rows):
     return out
 
 
-def test_hot_group_split_across_slices(spark):
-    rnd = random.Random(3)
+def frame(spark, rnd, wide=50):
     rows = []
-    oid = 0
     for k in range(30):
-        n = 400 if k == 5 else rnd.randint(1, 6)  # key 5 holds most rows
-        for _ in range(n):
-            t = None if rnd.random() < 0.05 else rnd.randint(0, 50)
-            rows.append((k, t, oid))
-            oid += 1
-    df = spark.createDataFrame(rows, "k long, t long, i long")
-    out = next_in_group(df, ["k"], ["t", "i"], ["t", "i"], slices=9).collect()
+        for _ in range(400 if k == 5 else rnd.randint(1, 6)):  # key 5 holds most rows
+            rows.append((k, None if rnd.random() < 0.05 else rnd.randint(0, wide), len(rows)))
+    return rows, spark.createDataFrame(rows, "k long, t long, i long")
+
+
+def check(rows, out):
     want = expected(rows)
     assert len(out) == len(rows)
     for r in out:
         w = want[r.i]
-        if w is None:
-            assert not r._has_next and r.next_i is None
-        else:
-            assert r._has_next and (r.next_t, r.next_i) == w
+        assert r._has_next == (w is not None)
+        assert (r.next_t, r.next_i) == (w or (None, None))
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_hot_group_split_across_buckets(spark, width):
+    rows, df = frame(spark, random.Random(3))
+    check(rows, next_in_group(df, ["k"], ["t", "i"], ["t", "i"], F.floor(F.col("t") / width)).collect())
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_columns_that_are_neither_keys_nor_carried_are_kept(spark, reuse):
+    """Also without exchange reuse: buckets are expressions of the row."""
+    rows, df = frame(spark, random.Random(4), 5000)
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        wide = df.withColumn("more", F.col("i") * 3).repartition(13)
+        out = next_in_group(wide, ["k"], ["t", "i"], ["t", "i"], F.floor(F.col("t") / 100)).collect()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+    check(rows, out)
+    assert all(r.more == 3 * r.i for r in out)
 
 
-def test_single_slice_and_null_keys(spark):
-    rows = [(None, 1, 1), (None, 2, 2), (1, 5, 3), (1, None, 4), (1, 3, 5)]
+def test_null_keys_and_default_buckets(spark):
+    rows = [(None, 1, 1), (None, 2, 2), (1, 5, 3), (1, None, 4), (1, 3, 5), (1, 9000, 6)]
     df = spark.createDataFrame(rows, "k long, t long, i long")
-    got = {r.i: (r.next_t, r.next_i) for r in next_in_group(df, ["k"], ["t", "i"], ["t", "i"], slices=1).collect()}
-    assert got == {1: (2, 2), 2: (None, None), 5: (5, 3), 3: (None, 4), 4: (None, None)}
-    many = {r.i: (r.next_t, r.next_i) for r in next_in_group(df, ["k"], ["t", "i"], ["t", "i"], slices=5).collect()}
-    assert many == got
+    got = {r.i: (r.next_t, r.next_i) for r in next_in_group(df, ["k"], ["t", "i"], ["t", "i"]).collect()}
+    assert got == {1: (2, 2), 2: (None, None), 5: (5, 3), 3: (9000, 6), 6: (None, 4), 4: (None, None)}
 
 
-def test_plan_has_no_window_over_the_group_key(spark):
-    df = spark.createDataFrame([(1, 1, 1)], "k long, t long, i long")
-    plan = next_in_group(df, ["k"], ["t", "i"], ["t"], slices=4)._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning" in plan.lower()
-    assert "BatchEvalPython" not in plan  # no row-at-a-time Python
+def test_day_buckets_of_times(spark):
+    rows = [(1, f"2020-01-0{d} 0{h}:00:00", 10 * d + h) for d in (1, 2, 5) for h in (1, 2)]
+    df = spark.createDataFrame(rows, "k long, t string, i long").selectExpr("k", "CAST(t AS TIMESTAMP_NTZ) t", "i")
+    got = {r.i: r.next_i for r in next_in_group(df, ["k"], ["t", "i"], ["i"]).collect()}
+    assert got == {11: 12, 12: 21, 21: 22, 22: 51, 51: 52, 52: None}
