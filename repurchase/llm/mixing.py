@@ -20,6 +20,8 @@ are scheduled each.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,18 +46,14 @@ def _exponent(sources: DataFrame, repeat_limit: float | None, entropy: float | N
     for _ in range(ROUNDS):
         tries = [low + (high - low) * i / CUTS for i in range(CUTS + 1)]
         if entropy is None:
-            cells = [(F.max(F.col("p_max") / F.col("p"))).alias("r")]
-            row = shares.agg(*cells).first()
-            values = [float("inf") if row.r is None else row.r ** (1 - a) for a in tries]
-            fits = [v <= repeat_limit for v in values]
+            widest = shares.agg(F.max(F.col("p_max") / F.col("p"))).first()[0] or 1.0
+            fits = [widest ** (1 - a) <= repeat_limit for a in tries]
         else:
             cells = []
             for a in tries:
                 q = F.pow("p", F.lit(a))
                 cells += [F.sum(q), F.sum(q * F.log(q))]
             row = shares.agg(*cells).first()
-            import math
-
             values = [0.0 if row[2 * i] is None else math.log(row[2 * i]) - row[2 * i + 1] / row[2 * i] for i in range(len(tries))]
             fits = [v <= entropy for v in values]
         at = next((i for i, ok in enumerate(fits) if ok), CUTS)
@@ -83,9 +81,7 @@ def source_weights(tokens: DataFrame, repeat_limit: float | None = REPEAT_LIMIT,
 def schedule(docs: DataFrame, repeat_limit: float | None = REPEAT_LIMIT, entropy: float | None = None, block_docs: int = BLOCK_DOCS, seed: int = 42) -> DataFrame:
     """One row per copy of a document to read: doc_id, source, n_tokens,
     epoch, block, weight (of its source), slot."""
-    tokens = token_rows(docs)
-    if not docs.isStreaming:
-        tokens = stash(tokens, "mix-tokens")
+    tokens = stash(token_rows(docs), "mix-tokens")
     weights = source_weights(tokens, repeat_limit, entropy, block_docs)
     plan = weights.select(F.col("source").alias("_source"), "weight", "passes", "n_blocks")
     key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
