@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import stash
 
 Q = 12
-SEGMENT = 96
+SEGMENT = 64
 RATE = 0.06
 BAND = 32
 LEAST = 24
