@@ -22,7 +22,16 @@ from pyspark.sql import SparkSession
 from .operators import cohort, explore, logistics, marts, quality
 from .plans.params import REFERENCE
 from .plans.pipeline import Analysis, publish
-from .sources import REFERENCE_TABLES, load_tables, normalize_types, write_table
+from .sources import (
+    REFERENCE_TABLES,
+    REQUIRED_COLUMNS,
+    cast_losses,
+    list_tables,
+    load_tables,
+    normalize_types,
+    table_inventory,
+    write_table,
+)
 
 
 def reports(a: Analysis) -> dict:
@@ -90,12 +99,19 @@ def main(argv: list[str] | None = None) -> None:
         params = replace(params, expected_failures=params.expected_failures | extra)
 
     spark = SparkSession.builder.appName("repurchase").getOrCreate()
-    tables = normalize_types(load_tables(spark, args.tables, REFERENCE_TABLES))
+    found = list_tables(spark, args.tables)
+    absent = sorted(set(REFERENCE_TABLES) - set(found))
+    if absent:
+        ap.error(f"{args.tables} lacks the tables {', '.join(absent)}")
+    loaded = load_tables(spark, args.tables, found, REQUIRED_COLUMNS)
+    raw = {name: loaded[name] for name in REFERENCE_TABLES}
+    tables = normalize_types(raw)
+    checks = {"S1_load_tables": table_inventory(loaded), "S1_cast_losses": cast_losses(raw, tables)}
     tables["product_category_name_translation"] = Analysis(tables, params).translation_filled
     out = args.out.rstrip("/")
     published = publish(tables, params, f"{out}/published")
     staged = Analysis.with_stages(tables, params, published)
-    for name, df in reports(staged).items():
+    for name, df in (checks | reports(staged)).items():
         write_table(df, f"{out}/reports/{name}")
 
 

@@ -31,6 +31,7 @@ class Analysis:
         self.t = tables
         self.p = params
         self.store = store
+        self.checked: DataFrame | None = None  # a constraint report already stored
 
     @classmethod
     def with_stages(cls, tables: Mapping[str, DataFrame], params: Params, stages: Mapping[str, DataFrame]) -> "Analysis":
@@ -39,6 +40,7 @@ class Analysis:
         for name in STAGES:
             if name in stages:
                 a.__dict__[name] = stages[name]
+        a.checked = stages.get("constraint_report")
         if all(name in stages for name in CONSISTENCY_TABLES[1:]):
             a.__dict__["stored_marts"] = tuple(stages[name] for name in CONSISTENCY_TABLES[1:])
         return a
@@ -158,6 +160,8 @@ class Analysis:
         return marts.customer_order_fact(self.mature_orders)
 
     def constraint_report(self) -> DataFrame:
+        if self.checked is not None:
+            return self.checked
         return quality.constraint_report(self.tables_filled, self.p.expected_failures)
 
 
@@ -167,15 +171,17 @@ STAGES = ("effective", "people", "mature", "mature_orders", "base", "base_review
 def publish(tables: Mapping[str, DataFrame], params: Params, folder: str) -> dict[str, DataFrame]:
     """Gate, then write the cohort stages and the dashboard tables.
 
-    Raises ``ConstraintError`` before writing anything when a constraint
-    fails that is not allow-listed. Stages and marts are written under
+    The constraint report is evaluated once and stored; ``ConstraintError`` is
+    raised before anything else is written when a constraint fails that is
+    not allow-listed. Stages and marts are written under
     ``folder`` (use the cluster's shared folder), replacing an earlier
     publish there, and returned read back.
     """
-    quality.assert_constraints(Analysis(tables, params).constraint_report())
+    report = write_table(Analysis(tables, params).constraint_report(), f"{folder.rstrip('/')}/constraint_report")
+    quality.assert_constraints(report)
     spark = next(iter(tables.values())).sparkSession
     staged = Analysis(tables, params, StageStore(spark, folder, folder=folder))
-    out = {name: getattr(staged, name) for name in STAGES}
+    out = {name: getattr(staged, name) for name in STAGES} | {"constraint_report": report}
     base = folder.rstrip("/")
     for name, mart in zip(CONSISTENCY_TABLES[1:], (staged.state_mart, staged.state_mart_reviews)):
         out[name] = write_table(mart(), f"{base}/{name}")

@@ -3,7 +3,10 @@
 from .fixtures import FixtureTables, fixture_tables, ingest_fixture_tables
 from .tables import (
     REFERENCE_TABLES,
+    REQUIRED_COLUMNS,
     backfill_dim,
+    cast_losses,
+    list_tables,
     load_tables,
     normalize_types,
     storage_root,
@@ -14,9 +17,12 @@ from .tables import (
 __all__ = [
     "FixtureTables",
     "REFERENCE_TABLES",
+    "REQUIRED_COLUMNS",
     "backfill_dim",
+    "cast_losses",
     "fixture_tables",
     "ingest_fixture_tables",
+    "list_tables",
     "load_tables",
     "normalize_types",
     "storage_root",

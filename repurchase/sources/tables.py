@@ -26,6 +26,38 @@ REFERENCE_TABLES = (
 )
 
 
+# Columns that some operator reads, by table.
+REQUIRED_COLUMNS = {
+    "orders": (
+        "order_id",
+        "customer_id",
+        "order_status",
+        "order_purchase_timestamp",
+        "order_delivered_carrier_date",
+        "order_delivered_customer_date",
+    ),
+    "order_items": ("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value"),
+    "sellers": ("seller_id", "seller_state"),
+    "customers": ("customer_id", "customer_unique_id", "customer_state"),
+    "leads_closed": ("mql_id", "seller_id"),
+    "order_payments": ("order_id", "payment_sequential"),
+    "products": ("product_id", "product_category_name"),
+    "product_category_name_translation": ("product_category_name", "product_category_name_english"),
+    "order_reviews": ("review_id", "order_id", "review_score"),
+    "geolocation": ("geolocation_id",),
+    "leads_qualified": ("mql_id",),
+}
+
+
+def list_tables(spark: SparkSession, directory: str) -> list[str]:
+    """Names of the parquet tables in a folder, read through Hadoop's file
+    system, so any store Spark reads will do."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in fs.listStatus(path)]
+    return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet"))
+
+
 def load_tables(
     spark: SparkSession,
     directory: str,
@@ -83,6 +115,23 @@ def normalize_types(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
+def cast_losses(before: Mapping[str, DataFrame], after: Mapping[str, DataFrame]) -> DataFrame:
+    """Per column that ``normalize_types`` cast: values that were there before
+    and are null after, as dirty text is. Each table is read once."""
+    parts = []
+    for name, df in before.items():
+        old, new = dict(df.dtypes), dict(after[name].dtypes)
+        cast = [c for c in old if old[c] != new.get(c, old[c])]
+        if cast:
+            lost = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(new[c]).isNull()).alias(c) for c in cast]
+            rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("lost_values")) for c in cast]))
+            parts.append(df.agg(*lost).select(F.lit(name).alias("table_name"), rows.alias("r")).select("table_name", "r.*"))
+    if not parts:
+        spark = next(iter(before.values())).sparkSession
+        return spark.createDataFrame([], "table_name string, column_name string, lost_values long")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per table: name and row count (the load report of S1)."""
     parts = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count") for name, df in tables.items()]

@@ -38,4 +38,4 @@ def test_cli_publishes_and_writes_reports_when_failures_are_allowed(spark):
     m1 = spark.read.parquet(f"{out}/published/dm_state_logistics_retention_summary")
     assert m1.count() == 8
     reports = sorted(os.listdir(f"{out}/reports"))
-    assert "E9_repurchase_intervals" in reports and "M6_top_categories" in reports and len(reports) == 35
+    assert "E9_repurchase_intervals" in reports and "M6_top_categories" in reports and len(reports) == 37

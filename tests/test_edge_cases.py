@@ -6,7 +6,7 @@ import __spark_entry__ as E
 from conftest import SMALL
 from repurchase.operators import cohort, explore, logistics, quality
 from repurchase.plans.stages import publish_once
-from repurchase.sources import backfill_dim
+from repurchase.sources import backfill_dim, cast_losses, list_tables, normalize_types
 
 MID = "/root/testdata/sf0.01"
 
@@ -81,3 +81,13 @@ def test_consistency_check_reads_stored_marts(spark):
     assert "Generate" not in plan and "Join" not in plan
     got = E.queries()["M3_mart_consistency"](spark, SMALL).select(F.count("*"), F.max("total_unique_customers")).first()
     assert got[0] == 3 and got[1] == 90
+
+
+def test_cast_losses_count_dirty_values(spark):
+    raw = {"order_reviews": spark.createDataFrame([("5",), ("x",), (None,)], "review_score string"), "sellers": spark.range(1)}
+    got = cast_losses(raw, normalize_types(raw)).collect()
+    assert [tuple(r) for r in got] == [("order_reviews", "review_score", 1)]
+
+
+def test_tables_of_a_folder_are_listed(spark):
+    assert {"orders", "lineitem", "documents"} <= set(list_tables(spark, SMALL))
