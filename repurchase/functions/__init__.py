@@ -15,7 +15,7 @@ from .numeric import (
     round_ratio_int,
     scaled,
 )
-from .quantiles import percentile_numerators
+from .quantiles import percentile_numerators, percentiles_of_counts, value_counts
 from .shares import tier, with_share
 
 __all__ = [
@@ -29,10 +29,12 @@ __all__ = [
     "money_over",
     "pct",
     "percentile_numerators",
+    "percentiles_of_counts",
     "round_double",
     "round_ratio",
     "round_ratio_int",
     "scaled",
     "tier",
+    "value_counts",
     "with_share",
 ]

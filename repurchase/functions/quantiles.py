@@ -18,7 +18,7 @@ All requested percentiles of one frame share one pipeline.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,44 +59,26 @@ def running_counts(counts: DataFrame, group: list[str], value: str, count: str)
     return joined.withColumn("_end", F.col("_off") + F.col("_local_end")).drop("_bucket", "_local_end", "_off")
 
 
-def percentile_numerators(
-    df: DataFrame,
-    keys: list[str],
-    measures: Mapping[str, str | Column],
-    requests: Mapping[str, tuple[str, int]],
-) -> DataFrame:
-    """One row per key combination with a non-null value of any measure (a
-    caller that needs the other combinations joins them from the left).
-
-    ``measures`` maps a name to an integral SQL expression or Column (nulls
-    are ignored, as in SQL). ``requests`` maps an output name to (measure
-    name, p in percent). Each output column holds
-    X = 100 * PERCENTILE_CONT(p/100) as decimal(38,0), null when the measure
-    has no non-null value in the group; divide by 100 * unit and round with
-    ``round_ratio``.
-    """
-    ids = {name: i for i, name in enumerate(measures)}
-    if all(isinstance(e, str) for e in measures.values()):
-        packed = F.expr(
-            "array("
-            + ", ".join(f"named_struct('m', {ids[n]}, 'v', CAST(({e}) AS BIGINT))" for n, e in measures.items())
-            + ")"
-        )
-    else:
-        packed = F.array(
-            *[
-                F.struct(F.lit(ids[n]).alias("m"), (F.expr(e) if isinstance(e, str) else e).cast("long").alias("v"))
-                for n, e in measures.items()
-            ]
-        )
-    tall = (
-        df.select(*keys, F.explode(packed).alias("_mv"))
-        .selectExpr(*keys, "_mv.m AS _m", "_mv.v AS _v")
-        .where("_v IS NOT NULL")
+def value_counts(df: DataFrame, keys: list[str], measures: Mapping[str, str | Column]) -> DataFrame:
+    """(keys, _m, _v, _c): how often each non-null value of each measure
+    occurs; ``_m`` numbers the measures. Equal values meet map-side."""
+    packed = F.array(
+        *[
+            F.struct(F.lit(i).alias("m"), (F.expr(e) if isinstance(e, str) else e).cast("long").alias("v"))
+            for i, e in enumerate(measures.values())
+        ]
     )
-    counts = tall.groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running_counts(counts, [*keys, "_m"], "_v", "_c")
+    tall = df.select(*keys, F.explode(packed).alias("_mv")).select(*keys, F.col("_mv.m").alias("_m"), F.col("_mv.v").alias("_v"))
+    return tall.where("_v IS NOT NULL").groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_c"))
 
+
+def percentiles_of_counts(
+    counts: DataFrame, keys: list[str], measures: Sequence[str], requests: Mapping[str, tuple[str, int]]
+) -> DataFrame:
+    """Percentile numerators (see ``percentile_numerators``) of counted
+    values, one row per (keys, _m, _v)."""
+    ranked = running_counts(counts, [*keys, "_m"], "_v", "_c")
+    ids = {name: i for i, name in enumerate(measures)}
     aggs = []
     for out, (measure, p) in requests.items():
         if not 0 <= p <= 100:
@@ -112,6 +94,23 @@ def percentile_numerators(
         lo, hi = value_at(lo_rank), value_at(hi_rank)
         fr = f"CAST(max(CASE WHEN _m = {i} THEN {pos} % 100 END) AS {_WIDE})"
         aggs.append(F.expr(f"{lo} * 100 + ({hi} - {lo}) * {fr}").alias(out))
-    if keys:
-        return ranked.groupBy(*keys).agg(*aggs)
-    return ranked.agg(*aggs)
+    return ranked.groupBy(*keys).agg(*aggs)
+
+
+def percentile_numerators(
+    df: DataFrame,
+    keys: list[str],
+    measures: Mapping[str, str | Column],
+    requests: Mapping[str, tuple[str, int]],
+) -> DataFrame:
+    """One row per key combination with a non-null value of any measure (a
+    caller that needs the other combinations joins them from the left).
+
+    ``measures`` maps a name to an integral SQL expression or Column (nulls
+    are ignored, as in SQL). ``requests`` maps an output name to (measure
+    name, p in percent). Each output column holds
+    X = 100 * PERCENTILE_CONT(p/100) as decimal(38,0), null when the measure
+    has no non-null value in the group; divide by 100 * unit and round with
+    ``round_ratio``.
+    """
+    return percentiles_of_counts(value_counts(df, keys, measures), keys, list(measures), requests)

@@ -15,7 +15,7 @@ from ..functions import (
     micros_between,
     money_over,
     pct,
-    percentile_numerators,
+    percentiles_of_counts,
     round_ratio,
     tier,
     with_share,
@@ -36,17 +36,20 @@ def combine_rows(*frames: DataFrame) -> DataFrame:
 
 def _profile(values: DataFrame, measure: str, unit: int, dp: int, name: str, over_label: str, over) -> DataFrame:
     """Count, min, quartiles, p95, p99, max, negatives and outliers."""
-    v = F.col(measure)
-    stats = values.agg(
-        F.count(F.lit(1)).alias(f"total_valid_{name}_orders"),
+    v, c = F.col(measure), F.col("_c")
+    # All figures come from the counts of equal values, so the values are
+    # made once; a null value counts as an order only.
+    counts = values.groupBy(measure).agg(F.count(F.lit(1)).alias("_c"))
+    none = F.lit(0).cast("long")
+    stats = counts.agg(
+        F.coalesce(F.sum(c), none).alias(f"total_valid_{name}_orders"),
         F.min(v).alias("_min"),
         F.max(v).alias("_max"),
-        F.count_if(v < 0).alias(f"negative_{name}_orders"),
-        F.count_if(over).alias(over_label),
-    )
-    pcts = percentile_numerators(
-        values, [], {"m": v}, {f"_{label}": ("m", p) for label, p in PROFILE_PERCENTILES}
+        F.coalesce(F.sum(F.when(v < 0, c)), none).alias(f"negative_{name}_orders"),
+        F.coalesce(F.sum(F.when(over, c)), none).alias(over_label),
     )
+    known = counts.where(v.isNotNull()).select(F.lit(0).alias("_m"), v.cast("long").alias("_v"), "_c")
+    pcts = percentiles_of_counts(known, [], ["m"], {f"_{label}": ("m", p) for label, p in PROFILE_PERCENTILES})
     row = combine_rows(stats, pcts)
     suffix = "days" if name == "shipping" else "freight"
     out = [F.col(f"total_valid_{name}_orders"), round_ratio("_min", F.lit(unit), dp).alias(f"min_{suffix}")]

@@ -12,12 +12,13 @@ from ..functions import (
     cents,
     micros_between,
     pct,
-    percentile_numerators,
+    percentiles_of_counts,
     round_double,
     round_ratio,
     round_ratio_int,
     scaled,
     tier,
+    value_counts,
     with_share,
 )
 from ..plans.params import CONSISTENCY_TABLES, FILTER_REASONS
@@ -99,6 +100,29 @@ def _agg(**named: str) -> list[Column]:
     return [F.expr(e).alias(n) for n, e in named.items()]
 
 
+# Counted measures, then the same of either side, in the order of their ids.
+_COUNTED = {"freight": "freight_cents", "days": "shipping_us"}
+_SIDED = [*_COUNTED, *(f"intra_{m}" for m in _COUNTED), *(f"cross_{m}" for m in _COUNTED)]
+
+
+def side_percentiles(base: DataFrame, requests: dict[str, tuple[str, int]]) -> DataFrame:
+    """Percentiles per state of freight and shipping time, over all orders
+    and over either side.
+
+    Orders are counted once per (state, side, measure, value); the counts of
+    both sides then add up to those of all orders, so an order is shuffled as
+    two rows at most, whatever is asked for.
+    """
+    counts = value_counts(base, ["buyer_state", "is_cross_state"], _COUNTED)
+    n = len(_COUNTED)
+    both = any(m in _COUNTED for m, _ in requests.values())
+    side = F.col("_m") + n * (1 + F.col("is_cross_state"))
+    kinds = F.array(side, F.col("_m")) if both else F.array(side)
+    spread = counts.select("buyer_state", F.explode(kinds).alias("_m"), "_v", "_c")
+    merged = spread.groupBy("buyer_state", "_m", "_v").agg(F.sum("_c").alias("_c"))
+    return percentiles_of_counts(merged, ["buyer_state"], _SIDED, requests)
+
+
 def state_mart(mature: DataFrame, base: DataFrame) -> DataFrame:
     """M1: the state logistics and retention mart (23 columns). Flagship.
 
@@ -122,17 +146,8 @@ def state_mart(mature: DataFrame, base: DataFrame) -> DataFrame:
             _cross_n=f"count(CASE WHEN {CROSS_SQL} THEN shipping_us END)",
         )
     )
-    pcts = percentile_numerators(
+    pcts = side_percentiles(
         base,
-        ["buyer_state"],
-        {
-            "freight": "freight_cents",
-            "intra_freight": f"CASE WHEN {INTRA_SQL} THEN freight_cents END",
-            "cross_freight": f"CASE WHEN {CROSS_SQL} THEN freight_cents END",
-            "days": "shipping_us",
-            "intra_days": f"CASE WHEN {INTRA_SQL} THEN shipping_us END",
-            "cross_days": f"CASE WHEN {CROSS_SQL} THEN shipping_us END",
-        },
         {
             "_median_freight": ("freight", 50),
             "_intra_median_freight": ("intra_freight", 50),
@@ -214,15 +229,8 @@ def state_mart_reviews(mature: DataFrame, base_reviews: DataFrame, low_review_ma
             _cross_rated=f"count_if({CROSS_SQL} AND {rated})",
         )
     )
-    pcts = percentile_numerators(
+    pcts = side_percentiles(
         base_reviews,
-        ["buyer_state"],
-        {
-            "intra_freight": f"CASE WHEN {INTRA_SQL} THEN freight_cents END",
-            "cross_freight": f"CASE WHEN {CROSS_SQL} THEN freight_cents END",
-            "intra_days": f"CASE WHEN {INTRA_SQL} THEN shipping_us END",
-            "cross_days": f"CASE WHEN {CROSS_SQL} THEN shipping_us END",
-        },
         {
             "_intra_median_freight": ("intra_freight", 50),
             "_cross_median_freight": ("cross_freight", 50),
