@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import let, words
 from .repeats import Units, covered, with_runs
 
 WINDOW = 35
@@ -144,7 +144,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     stripped = hit.mapInPandas(strip, "doc_id string, n_words long, n_removed long, kept_sha256 string")
     text = F.coalesce("text", F.lit(""))
-    whole = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(text).alias("mark"), words(text).alias("w"))
+    # Counted and hashed before the join, so that only short rows travel.
+    plain = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.sha2(F.array_join(w, " "), 256).alias("sha")))
+    whole = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(text).alias("mark"), plain.alias("plain"))
     rest = whole.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_m")), "left_anti")
-    rest = rest.select("doc_id", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.sha2(F.array_join("w", " "), 256).alias("kept_sha256"))
+    rest = rest.select("doc_id", F.col("plain.n").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("plain.sha").alias("kept_sha256"))
     return stripped.unionByName(rest).withColumn("doc_id", F.col("doc_id").cast(kind))
