@@ -100,15 +100,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
-def _gram_rows(units: Units):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [anchors(units.values(units.split(t.encode())), units.window, units.gram)[2] for t in b["text"]]
-            yield pd.DataFrame({"gram": _signed(np.concatenate([*got, np.empty(0, np.uint64)]))})
-
-    return run
-
-
 def _piece_rows(units: Units):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -202,10 +193,10 @@ def repeated(docs: DataFrame, units: Units, solve: Callable[[list[bytes], int],
     another piece, and (doc_id, mark, runs) with the runs of repeated windows
     (first window, end) of each."""
     rows = keyed(docs)
-    grams = rows.select("text").mapInPandas(_gram_rows(units), "gram long")
-    grams = stash(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"), "grams")
-    pieces = rows.mapInPandas(_piece_rows(units), "doc_id string, mark long, first int, n int, gram long, body long")
-    pieces = stash(pieces.join(grams, "gram"), "pieces")
+    every = rows.mapInPandas(_piece_rows(units), "doc_id string, mark long, first int, n int, gram long, body long")
+    every = stash(every, "all-pieces")
+    grams = every.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
+    pieces = stash(every.join(grams, "gram"), "pieces")
     place = F.struct("doc_id", "mark", "first")
     kinds = pieces.groupBy("gram", "body").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at"), F.first("n").alias("n"))
     kinds = stash(kinds, "piece-kinds")
