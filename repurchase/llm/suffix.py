@@ -121,51 +121,52 @@ def _names(t: np.ndarray, starts: np.ndarray, ordered: np.ndarray) -> np.ndarray
     return names
 
 
-def _sort_names(s: list[int], size: int) -> list[int]:
+def _sort_names(s: np.ndarray, size: int) -> np.ndarray:
     """Suffix array of a sequence of names by induced sorting, one place at a
     time: there are nearly as many buckets as places."""
     n = len(s)
     if n == 1:
-        return [0]
-    small = [True] * n
-    for i in range(n - 2, -1, -1):
-        small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    count = np.bincount(np.array(s), minlength=size)
-    ends = np.cumsum(count)
-    heads, tails = (ends - count).tolist(), ends.tolist()
-
-    def induce(seeds: list[int]) -> list[int]:
-        sa = [-1] * n
+        return np.array([0])
+    small = _smaller(s)
+    starts = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    ends = np.cumsum(np.bincount(s, minlength=size))
+    heads, tails = np.r_[0, ends[:-1]].tolist(), ends.tolist()
+    # Bucket into which a suffix puts its predecessor in either scan, or -1;
+    # place 0 has none, so 0 also stands for a free slot.
+    to_larger = np.r_[-1, np.where(small[:-1], -1, s[:-1])].tolist()
+    to_smaller = np.r_[-1, np.where(small[:-1], s[:-1], -1)].tolist()
+
+    def induce(seeds: np.ndarray) -> np.ndarray:
+        sa = [0] * n
         tail = tails[:]
-        for i in reversed(seeds):
-            tail[s[i]] -= 1
-            sa[tail[s[i]]] = i
+        for i, c in zip(seeds[::-1].tolist(), s[seeds[::-1]].tolist(), strict=True):
+            tail[c] -= 1
+            sa[tail[c]] = i
         head = heads[:]
-        for k in range(n):
-            j = sa[k] - 1
-            if j >= 0 and not small[j]:
-                c = s[j]
-                sa[head[c]] = j
-                head[c] += 1
+        for x in sa:
+            c = to_larger[x]
+            if c >= 0:
+                k = head[c]
+                sa[k] = x - 1
+                head[c] = k + 1
         tail = tails[:]
-        for k in range(n - 1, -1, -1):
-            j = sa[k] - 1
-            if j >= 0 and small[j]:
-                c = s[j]
-                tail[c] -= 1
-                sa[tail[c]] = j
-        return sa
-
-    ordered = np.array([i for i in induce(lms) if i > 0 and small[i] and not small[i - 1]])
-    starts = np.array(lms)
-    names = _names(np.array(s), starts, ordered)
+        for x in reversed(sa):
+            c = to_smaller[x]
+            if c >= 0:
+                k = tail[c] - 1
+                sa[k] = x - 1
+                tail[c] = k
+        return np.array(sa)
+
+    is_start = np.zeros(n, bool)
+    is_start[starts] = True
+    rank = induce(starts)
+    ordered = rank[is_start[rank]]
+    names = _names(s, starts, ordered)
     top = int(names.max()) + 1
-    if top < len(lms):
-        seeds = starts[_sort_names(names.tolist(), top)].tolist()
-    else:
-        seeds = ordered.tolist()
-    return induce(seeds)
+    if top < len(starts):
+        ordered = starts[_sort_names(names, top)]
+    return induce(ordered)
 
 
 def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
@@ -181,7 +182,7 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     names = _names(t, starts, ordered)
     top = int(names.max()) + 1
     if top < len(starts):
-        ordered = starts[np.array(_sort_names(names.tolist(), top))]
+        ordered = starts[_sort_names(names, top)]
     return _induce(t, small, ordered, size)
 
 
