@@ -195,12 +195,14 @@ def repeated(docs: DataFrame, units: Units, solve: Callable[[list[bytes], int],
     rows = keyed(docs)
     every = rows.mapInPandas(_piece_rows(units), "doc_id string, mark long, first int, n int, gram long, body long")
     every = stash(every, "all-pieces")
-    grams = every.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
+    # Stored before the join, so that Spark may split a frequent gram's rows.
+    grams = stash(every.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"), "grams")
     pieces = stash(every.join(grams, "gram"), "pieces")
     place = F.struct("doc_id", "mark", "first")
     kinds = pieces.groupBy("gram", "body").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at"), F.first("n").alias("n"))
     kinds = stash(kinds, "piece-kinds")
-    many = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").withColumn("hot", F.col("kinds") > HOT)
+    many = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    many = stash(many.withColumn("hot", F.col("kinds") > HOT), "mixed-grams")
     mixed = kinds.join(many.select("gram", "hot"), "gram").select("gram", "body", "n", "hot", "at.doc_id", "at.mark", "at.first")
     wanted = mixed.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("gram", "body", "n", "hot", "first")).alias("wanted"))
     shared = pieces.select("doc_id", "mark").distinct().join(wanted.withColumnsRenamed({"doc_id": "_id", "mark": "_m"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_m")), "left")
