@@ -248,13 +248,17 @@ def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str,
     prior = dict.fromkeys(KINDS, 0.0)
     weight = {f"{k}:{i}:{v}": s for k in KINDS for i in range(LABELERS) for v, s in (("p", math.log(4)), ("n", -math.log(4)))}
     for _ in range(rounds):
-        q = _sigmoid(_vote_score(F.col("kind"), F.col("votes"), prior, weight))
+        rows = patterns.withColumn("q", _sigmoid(_vote_score(F.col("kind"), F.col("votes"), prior, weight)))
+        q = F.col("q")
         cells = [F.sum(F.col("n") * q).alias("yes"), F.sum(F.col("n") * (1 - q)).alias("no")]
         for i in range(LABELERS):
             for v in "pn":
                 cast = (F.substring("votes", i + 1, 1) == v).cast("double") * F.col("n")
                 cells += [F.sum(cast * q).alias(f"yes{i}{v}"), F.sum(cast * (1 - q)).alias(f"no{i}{v}")]
-        for r in patterns.groupBy("kind").agg(*cells).collect():
+        sums = rows.groupBy("kind").agg(*cells).collect()
+        if not sums:
+            break
+        for r in sums:
             k = r["kind"]
             prior[k] = math.log((r["yes"] + 1) / (r["no"] + 1))
             for i in range(LABELERS):
