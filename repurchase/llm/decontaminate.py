@@ -1,22 +1,23 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
-Texts are lower-cased and runs of white space become one space. Benchmark
-items are cut into segments of ``SEGMENT`` characters, half overlapping (the
-last one ends with the item; a shorter item is one segment). A segment of m
-characters is found in a document if some stretch of it is within
-e = min(rate * m, (m - q - 3) / q) edits, rounded down. By the q-gram lemma
-such a stretch shares at least m - q + 1 - q * e q-grams with the segment, and
-their diagonals (place in the document less place in the segment) differ by e
-at most. Shared q-grams are therefore counted in bands of ``BAND`` diagonals
-that overlap by half; bands that reach the bound are verified by alignment
-within the band. A document is contaminated by an item if it holds one of its
-segments.
-
-Segments are dealt into blocks of about ``BLOCK`` segments; each block meets
-every whole document once, so only one block is held at a time, whatever the
-benchmark's size. Items below ``LEAST`` characters are too short to tell and
-match nothing, like null and empty ones; null and empty documents hold
-nothing. Repeated items and documents are reported each.
+Texts are lower-cased and runs of white space become one space. A document is
+contaminated by an item if any ``SEGMENT`` characters of the item in a row, at
+any offset (all of a shorter item), are within ``budget`` edits of some stretch
+of the document: e = min(rate * m, (m - q) / q), rounded down, for a window of
+m characters. By the q-gram lemma such a stretch shares at least
+m - q + 1 - q * e q-grams with the window, their offsets in the item lie within
+m - q, and their diagonals (place in the document less place in the item)
+differ by e at most. Shared q-grams are therefore counted per item in bands of
+2 (e + 1) diagonals that overlap by half, over any m characters of the item.
+Runs of grams that reach the bound are extended both ways by alignment, as far
+as 0, 1, ... e edits go on each of the e diagonals on either side (furthest
+reaching ends); a run holds if some split of e edits reaches m characters.
+
+Items are indexed as parts of ``PART`` characters, which overlap so that each
+window lies in one of them. Parts are dealt into blocks of about ``BLOCK``;
+each block meets every whole document once. Items below ``LEAST`` characters
+are too short to tell and match nothing, like null and empty ones; null and
+empty documents hold nothing. Repeated items and documents are reported each.
 """
 
 from __future__ import annotations
@@ -32,12 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-Q = 12
-SEGMENT = 64
-RATE = 0.06
-BAND = 32
+Q = 8
+SEGMENT = 43
+RATE = 0.1
 LEAST = 24
-BLOCK = 20_000
+PART = 1024
+BLOCK = 2000
+CHUNK = 1 << 18  # characters of documents searched at once
 _BASE = 0x9E3779B97F4A7C15
 _BITS = 21
 
@@ -68,22 +70,24 @@ def gram_hashes(c: np.ndarray, q: int = Q) -> np.ndarray:
     return whole
 
 
-def cut(text: str) -> list[str]:
+def cut(text: str, size: int = SEGMENT) -> list[str]:
+    """Parts of ``size`` characters such that every ``SEGMENT`` characters in
+    a row lie in one of them."""
     if len(text) < LEAST:
         return []
-    starts = [*range(0, max(1, len(text) - SEGMENT), SEGMENT // 2)]
-    if len(text) > SEGMENT:
-        starts.append(len(text) - SEGMENT)
-    return [text[s : s + SEGMENT] for s in dict.fromkeys(starts)]
+    step = size - SEGMENT + 1
+    return [text[s : s + size] for s in range(0, max(1, len(text) - SEGMENT + 1), step)]
 
 
 def budget(m: int) -> int:
-    return max(0, min(int(RATE * m), (m - Q - 3) // Q))
+    m = min(m, SEGMENT)
+    return max(0, min(int(RATE * m), (m - Q) // Q))
 
 
 @dataclass
 class Index:
-    """Sorted gram hashes of a block's segments, with (segment, offset)."""
+    """Sorted gram hashes of a block's parts, with (part, offset); the parts'
+    characters in a row; and window, edits and least shared grams of each."""
 
     items: list
     texts: list[str]
@@ -92,6 +96,10 @@ class Index:
     segment: np.ndarray
     offset: np.ndarray
     table: np.ndarray
+    codes: np.ndarray
+    start: np.ndarray
+    window: np.ndarray
+    edits: np.ndarray
     least: np.ndarray
 
 
@@ -100,7 +108,8 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def build_index(items: list, texts: list[str]) -> Index:
-    grams = [gram_hashes(codes(t)) for t in texts]
+    each = [codes(t) for t in texts]
+    grams = [gram_hashes(c) for c in each]
     n = np.array([len(g) for g in grams], int)
     every = np.concatenate([*grams, np.empty(0, np.uint64)])
     segment = np.repeat(np.arange(len(texts)), n)
@@ -109,73 +118,168 @@ def build_index(items: list, texts: list[str]) -> Index:
     hashes, first = np.unique(every[order], return_index=True)
     table = np.zeros(1 << _BITS, bool)
     table[_slot(hashes)] = True
-    least = np.array([len(t) - Q + 1 - Q * budget(len(t)) for t in texts], int)
-    return Index(items, texts, hashes, np.r_[first, len(every)], segment[order], offset[order], table, least)
-
-
-def banded_distance(segment: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
-    """Least edits between the whole segment and a stretch of the text whose
-    diagonals lie in [low, high]; and the place after that stretch."""
-    width = high - low + 1
-    far = len(segment) + 1
-    at = np.arange(width)
-    row = np.where((at + low >= 0) & (at + low <= len(text)), 0, far)
-    for i, c in enumerate(segment):
-        place = i + low + at
-        inside = (place >= 0) & (place < len(text))
-        same = np.where(inside, text[np.clip(place, 0, max(0, len(text) - 1))] == c, False) if len(text) else inside
-        best = np.where(inside, row + ~same, far)
-        best[:-1] = np.minimum(best[:-1], row[1:] + 1)
-        row = np.minimum.accumulate(best - at) + at
-        row = np.where((place + 1 >= 0) & (place < len(text)), row, far)
-    k = int(np.argmin(row))
-    return int(row[k]), k + low + len(segment)
-
-
-def find(text: str | None, index: Index) -> list[tuple[int, int, int, int]]:
-    """(segment, edits, start, end) of each segment found in one text, the
-    best region of each; places are in the normalised text."""
-    norm = normalise(text)
-    c = codes(norm)
+    length = np.array([len(c) for c in each], int)
+    window = np.minimum(length, SEGMENT)
+    edits = np.array([budget(m) for m in length], int)
+    return Index(
+        items,
+        texts,
+        hashes,
+        np.r_[first, len(every)],
+        segment[order],
+        offset[order],
+        table,
+        np.concatenate([*each, np.empty(0, np.uint32)]),
+        np.r_[0, np.cumsum(length)],
+        window,
+        edits,
+        window - Q + 1 - Q * edits,
+    )
+
+
+def crowded(index: Index, s: np.ndarray, offset: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Whether each shared gram is one of ``least`` in a band of diagonals and
+    a window of its part (a superset of those in windows that hold)."""
+    half = int(index.edits.max()) + 1
+    cell = (diagonal - diagonal.min()) // half + 1
+    bands = int(cell.max()) + 2
+    key = np.r_[s * bands + cell, s * bands + cell - 1]
+    which = np.tile(np.arange(len(s)), 2)
+    order = np.lexsort((offset[which], key))
+    key, which = key[order], which[order]
+    at = offset[which]
+    last = np.arange(len(key)) + index.least[s[which]] - 1
+    end = np.minimum(last, len(key) - 1)
+    full = (last < len(key)) & (key[end] == key) & (at[end] - at <= index.window[s[which]] - Q)
+    within = np.cumsum(full - np.bincount(end[full] + 1, minlength=len(key) + 1)[:-1]) > 0
+    near = np.zeros(len(s), bool)
+    near[which[within]] = True
+    return near
+
+
+def reach(item: np.ndarray, i: np.ndarray, left: np.ndarray, text: np.ndarray, j: np.ndarray, room: np.ndarray, step: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of the item, and of the text with them, that align from
+    places i and j in direction ``step`` with at most 0, 1, ... ``most`` edits
+    (one row each), the furthest; up to ``left``, ``room`` and ``SEGMENT``."""
+    low = -(1 << 30)
+    d = np.arange(-most - 1, most + 2)
+    f = np.full((len(i), len(d)), low)
+    f[:, most + 1] = 0
+    stop = np.minimum(left, SEGMENT)
+    far, took = np.empty((2, most + 1, len(i)), int)
+    for k in range(most + 1):
+        if k:
+            other, put, out = f + 1, np.full_like(f, low), np.full_like(f, low)
+            put[:, 1:] = f[:, :-1]
+            out[:, :-1] = other[:, 1:]
+            other[(other > stop[:, None]) | (other + d > room[:, None])] = low
+            put[put + d > room[:, None]] = low
+            out[out > stop[:, None]] = low
+            f = np.maximum(np.maximum(f, other), np.maximum(put, out))
+        row, col = np.nonzero(f >= 0)
+        x = f[row, col]
+        live = np.arange(len(row))
+        while len(live):
+            r, at = row[live], x[live]
+            beside = at + d[col[live]]
+            inside = (at < stop[r]) & (beside < room[r])
+            live, r, at, beside = live[inside], r[inside], at[inside], beside[inside]
+            live = live[item[i[r] + step * at] == text[j[r] + step * beside]]
+            x[live] += 1
+        f[row, col] = x
+        best = f.argmax(axis=1)
+        far[k] = f[np.arange(len(i)), best]
+        took[k] = far[k] + d[best]
+    return far, took
+
+
+def find_all(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(text, part, edits, start, end, part's start, part's end) of each run of
+    shared grams that extends to a window within its budget, with the least
+    edits that do; places are in the normalised text and in the part."""
+    norms = [normalise(t) for t in texts]
+    starts = np.r_[0, np.cumsum([len(x) + 1 for x in norms])]
+    c = codes("\n".join([*norms, ""]))  # no gram of a part holds a line end
     h = gram_hashes(c)
     place = np.flatnonzero(index.table[_slot(h)])
-    if not len(place):
-        return []
     near = np.minimum(np.searchsorted(index.hashes, h[place]), len(index.hashes) - 1)
-    same = index.hashes[near] == h[place]
+    same = index.hashes[near] == h[place] if len(index.hashes) else np.zeros(len(place), bool)
     place, near = place[same], near[same]
+    if not len(place):
+        return []
     n = index.first[near + 1] - index.first[near]
     at = np.repeat(index.first[near] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    segment, diagonal = index.segment[at], np.repeat(place, n) - index.offset[at]
-    half = BAND // 2
-    bands = len(c) // half + 2 * SEGMENT // half + 4
-    key = segment * bands + (diagonal + SEGMENT) // half + 1
-    keys, count = np.unique(np.r_[key, key - 1], return_counts=True)
-    keys = keys[count >= index.least[keys // bands]]
+    s, o, p = index.segment[at], index.offset[at], np.repeat(place, n)
+    near = crowded(index, s, o, p - o)
+    s, o, p = s[near], o[near], p[near]
+    if not len(s):
+        return []
+    order = np.lexsort((p, p - o, s))
+    s, o, p = s[order], o[order], p[order]
+    begin = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (o[1:] != o[:-1] + 1) | (p[1:] != p[:-1] + 1)])
+    run = np.diff(np.r_[begin, len(s)]) + Q - 1
+    s, o, p = s[begin], o[begin], p[begin]
+    doc = np.searchsorted(starts, p, "right") - 1
+    most, i = int(index.edits.max()), index.start[s] + o
+    back, back_text = reach(index.codes, i - 1, o, c, p - 1, p - starts[doc], -1, most)
+    on, on_text = reach(index.codes, i + run, index.start[s + 1] - i - run, c, p + run, starts[doc + 1] - 1 - p - run, 1, most)
+    hits = []
+    done = np.zeros(len(s), bool)
+    for e in range(most + 1):
+        sums = np.stack([back[k] + on[e - k] for k in range(e + 1)])
+        best = sums.argmax(axis=0)
+        holds = ~done & (e <= index.edits[s]) & (sums.max(axis=0) + run >= index.window[s])
+        done |= holds
+        for r in np.flatnonzero(holds).tolist():
+            k = best[r]
+            first = p[r] - starts[doc[r]]
+            hits.append((doc[r], s[r], e, first - back_text[k, r], first + run[r] + on_text[e - k, r], o[r] - back[k, r], o[r] + run[r] + on[e - k, r]))
+    return sorted(tuple(map(int, hit)) for hit in hits)
+
+
+def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """Consecutive texts of about ``CHUNK`` characters, with the first's number."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t) if t else 0
+        if size >= CHUNK or i + 1 == len(texts):
+            yield first, texts[first : i + 1]
+            first, size = i + 1, 0
+
+
+def find(text: str | None, index: Index) -> list[tuple[int, int, int, int]]:
+    """(part, edits, start, end) of each part found in one text, its region of
+    least edits; places are in the normalised text."""
     found: dict[int, tuple[int, int, int]] = {}
-    for k in keys.tolist():
-        s, band = divmod(k, bands)
-        if found.get(s, (1,))[0] == 0:
-            continue
-        t = index.texts[s]
-        e = budget(len(t))
-        low = (band - 1) * half - SEGMENT
-        start, end = max(0, low - e), max(0, low + BAND + len(t) + e)
-        region = norm[start:end]
-        exact = region.find(t)
-        if exact >= 0:
-            found[s] = (0, start + exact, start + exact + len(t))
-            continue
-        edits, stop = banded_distance(codes(t), c, low - e, low + BAND + e)
-        if edits <= e and edits < found.get(s, (e + 1,))[0]:
-            found[s] = (edits, max(0, stop - len(t)), stop)
+    for _, s, *hit in find_all([text], index):
+        found[s] = min(found.get(s, (len(index.codes), 0, 0)), tuple(hit[:3]))
     return [(s, *hit) for s, hit in sorted(found.items())]
 
 
+def count_segments(stretches: list[tuple[int, int]]) -> int:
+    """Half-overlapping segments that fit in the union of stretches."""
+    n, start, stop = 0, None, -1
+    for a, b in [*sorted(stretches), (1 << 60, 1 << 60)]:
+        if a > stop:
+            n += 0 if start is None else 1 + max(0, stop - start - SEGMENT) // (SEGMENT // 2)
+            start = a
+        stop = max(stop, b)
+    return n
+
+
+def hit_rows(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int, int, int]]:
+    """(text, part, n_segments, least edits, start, end) over all stretches."""
+    found: dict[tuple[int, int], list[tuple]] = {}
+    for first, some in chunks(texts):
+        for t, s, *hit in find_all(some, index):
+            found.setdefault((first + t, s), []).append(hit)
+    return [(t, s, count_segments([(h[3], h[4]) for h in hits]), min(h[0] for h in hits), min(h[1] for h in hits), max(h[2] for h in hits)) for (t, s), hits in found.items()]
+
+
 def segments(benchmark: DataFrame) -> DataFrame:
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = [(i, s) for i, t in zip(b["item_id"], b["text"], strict=True) for s in cut(normalise(t))]
+            parts = [(i, s) for i, t in zip(b["item_id"], b["text"], strict=True) for s in cut(normalise(t), PART)]
             yield pd.DataFrame(parts, columns=["item_id", "segment"])
 
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
@@ -194,8 +298,9 @@ def blocks(benchmark: DataFrame) -> Iterator[Index]:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_segments, edits (of the best segment), first_char
-    and end_char (in the normalised text, over all segments found)."""
+    """doc_id, item_id, n_segments (that fit in the stretches found), edits (of
+    the best stretch), first_char and end_char (in the normalised text, over all
+    stretches found)."""
     spark = docs.sparkSession
     kind = dict(benchmark.dtypes)["item_id"]
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
@@ -208,7 +313,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = build_index(*shared.value)
             for b in batches:
-                hits = [(d, known.items[s], 1, e, x, y) for d, t in zip(b["doc_id"], b["text"], strict=True) for s, e, x, y in find(t, known)]
+                hits = [(b["doc_id"].iloc[t], known.items[s], *hit) for t, s, *hit in hit_rows(b["text"].tolist(), known)]
                 yield pd.DataFrame(hits, columns=["doc_id", "item_id", "n_segments", "edits", "first_char", "end_char"])
 
         return rows.mapInPandas(scan, out)
@@ -222,20 +327,23 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def holds(text: Column, index: Index, spark) -> Column:
-    """Whether a whole text holds a segment of one block."""
+    """Whether a whole text holds a passage of one block."""
     shared = spark.sparkContext.broadcast((index.items, index.texts))
 
     @F.pandas_udf("boolean")
     def any_found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = build_index(*shared.value)
         for texts in batches:
-            yield pd.Series([bool(find(t, known)) for t in texts], dtype=bool)
+            held = np.zeros(len(texts), bool)
+            for first, some in chunks(texts.tolist()):
+                held[[first + hit[0] for hit in find_all(some, known)]] = True
+            yield pd.Series(held)
 
     return any_found(text)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that hold no benchmark segment, columns unchanged."""
+    """Rows of ``docs`` that hold no benchmark passage, columns unchanged."""
     for index in blocks(benchmark):
         docs = docs.where(~holds(F.col("text"), index, docs.sparkSession))
     return docs

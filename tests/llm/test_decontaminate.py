@@ -56,3 +56,69 @@ def test_matches_and_clean_documents(spark, monkeypatch):
     assert got == {(100, 2), (101, 4), (102, 1)}
     kept = {r["doc_id"] for r in dc.keep_clean(table(spark, docs), bench).collect()}
     assert kept == set(range(10))
+
+
+def windows_edits(item, text):
+    """Least edits of any window of the item, by full alignment of each."""
+    m = min(len(item), dc.SEGMENT)
+    return min(least_edits(item[a : a + m], text) for a in range(len(item) - m + 1))
+
+
+def test_windows_at_any_offset_agree_with_plain_alignment():
+    r = random.Random(8)
+    items = [dc.normalise(prose(r.randint(6, 16), 500 + i)) for i in range(12)]
+    items = [x for x in items if len(x) >= dc.LEAST]
+    index = dc.build_index(list(range(len(items))), items)
+    hits = partial = 0
+    for k in range(40):
+        s = r.randrange(len(items))
+        a = r.randrange(max(1, len(items[s]) - 30))
+        part = items[s][a : a + r.randint(30, 70)]
+        host = dc.normalise(prose(10, 600 + k))
+        at = r.randrange(len(host))
+        text = dc.normalise(host[:at] + edit(part, r.randrange(7), r) + host[at:])
+        edits = windows_edits(items[s], text)
+        found = {h[0]: h[1] for h in dc.find(text, index)}
+        assert found.get(s) == (edits if edits <= dc.budget(len(items[s])) else None)
+        hits += s in found
+        partial += s in found and items[s] not in text
+    assert hits > 10 and partial > 10
+
+
+def test_recall_on_edited_and_partial_passages():
+    r = random.Random(4)
+    items = [dc.normalise(prose(40, 700 + i, 900)) for i in range(60)]
+    index = dc.build_index(list(range(len(items))), items)
+    host = [dc.normalise(prose(60, 800 + i, 900)) for i in range(60)]
+
+    def caught(change):
+        texts = [f"{h} {change(x)} {h}" for h, x in zip(host, items, strict=True)]
+        return sum(s in {t for t, *_ in dc.find(text, index)} for s, text in enumerate(texts))
+
+    def replaced(every):
+        return lambda x: " ".join("zzzzz" if (i + 1) % every == 0 else w for i, w in enumerate(x.split()))
+
+    def quoted(size, start):
+        return lambda x: x[start : start + size]
+
+    assert caught(replaced(10)) == 60
+    assert caught(replaced(8)) >= 57
+    assert all(caught(quoted(dc.SEGMENT, start)) == 60 for start in (0, 1, 17, 31, 50))
+    assert caught(lambda x: edit(x[20 : 20 + dc.SEGMENT + 4], 4, r)) >= 55
+    assert sum(bool(dc.find(h, index)) for h in host) == 0
+
+
+def test_parts_hold_every_window():
+    item = dc.normalise(prose(900, 5, 900))
+    parts = dc.cut(item, dc.PART)
+    assert len(parts) > 2 and max(map(len, parts)) <= dc.PART
+    assert all(any(item[a : a + dc.SEGMENT] in p for p in parts) for a in range(len(item) - dc.SEGMENT + 1))
+
+
+def test_texts_searched_together_stay_apart():
+    item = dc.normalise(prose(40, 11, 900))
+    index = dc.build_index([0], [item])
+    half = dc.SEGMENT // 2
+    texts = ["x", item[:half], item[half : 2 * half], None, "", item, "tail " + item[30:90]]
+    assert [(t, h[0]) for t, s, _, *h in dc.hit_rows(texts, index)] == [(5, 0), (6, 0)]
+    assert [(h[0], h[2]) for h in dc.find_all(texts, index)] == [(5, 0), (6, 0)]
