@@ -8,9 +8,10 @@ thresholds and x = log(1 + count) of the chosen terms: words, and beginnings
 of words (``PREFIXES`` letters, marked by a star). It yields P(grade >= 1)
 and the expected severity sum_j P(grade >= j), from 0 to 2.
 
-It is fitted on the ``FIT_ROWS`` labelled rows of smallest id hash, with at
-most ``MAX_TERMS`` terms (the largest log-odds); both bounds also bound what
-the driver receives. Every document is scored on its whole text.
+It is fitted on the ``FIT_ROWS`` labelled documents of smallest id hash, with
+at most ``MAX_TERMS`` terms (the largest log-odds); both bounds also bound what
+the driver receives. A labelled id counts once, by its row of least text hash
+and toxic if one of its labels says so; labels without documents do not count. Every document is scored on its whole text.
 
 Null or empty texts score like any text without known terms. Without labels,
 or with labels of one class only, there are no terms and severity is 0.
@@ -29,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
+
 FIT_ROWS = 8000
 MAX_TERMS = 3000
 MIN_DOCS = 4
@@ -65,11 +68,15 @@ def term_counts(text: str | None, among: dict[str, float] | None = None, starts:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, text, toxic of the sample; the labels' side has ``rows`` rows
-    at most, so it is broadcast."""
-    chosen = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("_toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "_toxic").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("_toxic").alias("toxic"))
+    """text, toxic of the sample: one row for each of the ``rows`` ids. Ids are
+    chosen before any text is moved, and their ``rows`` rows are broadcast."""
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
+    held = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(1), "text").alias("other"))).alias("_least"))
+    chosen = held.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    same = (F.xxhash64("text") == F.col("_least.hash")) & (F.xxhash64(F.lit(1), "text") == F.col("_least.other"))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(same)
+    # Rows left of one id have the same text.
+    return found.dropDuplicates(["doc_id"]).select("text", F.col("_toxic").alias("toxic"))
 
 
 def _sample_terms(sample: DataFrame) -> DataFrame:
@@ -108,7 +115,7 @@ def choose_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[st
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int = MAX_TERMS) -> Model:
-    sample = labelled_sample(docs, labels, rows)
+    sample = stash(labelled_sample(docs, labels, rows), "toxicity-sample")
     chosen = choose_terms(sample, max_terms)
     if not chosen:
         return Model()

@@ -46,3 +46,13 @@ def test_one_class_gives_an_empty_model(spark):
     data, _ = rows(20)
     model = toxicity.fit(table(spark, data), spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int"))
     assert model.terms == {} and toxicity.keep_clean(table(spark, data), model).count() == 20
+
+
+def test_sample_counts_documents_not_labels(spark):
+    data, labels = rows(40)
+    known = spark.createDataFrame([*labels, *((d, 0) for d in range(1000, 1400)), (3, 0)], "doc_id long, toxic int")
+    docs = table(spark, [*data, *[(3, data[3][1])] * 30, *((5, f"other text {i}") for i in range(30))])
+    got = toxicity.labelled_sample(docs, known, 40).collect()
+    assert len(got) == 40 and sum(r["toxic"] for r in got) == sum(y for _, y in labels)
+    assert sum(r["text"] == data[3][1] for r in got) == 1
+    assert len(toxicity.labelled_sample(docs, known, 10).collect()) == 10
