@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing
+from . import chat, licenses, mixing, spelling, trie
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -68,9 +68,82 @@ SELECT doc_id, source, n_tokens, epoch::INTEGER AS epoch, block, round(weight, 9
   round((epoch + coalesce(before::DOUBLE / nullif(every, 0), 0)) / passes, 9) AS slot
 FROM ranked WHERE epoch < floor(passes) OR epoch = 0 OR before + n_tokens / 2 <= (passes - epoch) * every"""
 
+# CRC-32 of a string by its bytes, from a table made by the polynomial's rule.
+_CRC_TABLE = """
+crc_table AS (SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS tab FROM range(256) t(i))"""
+
+
+def _crc(text: str) -> str:
+    """SQL of the unsigned CRC-32 of ``text``, with ``tab`` in scope."""
+    bytes_ = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"
+
+
+SPELLING = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+run AS (SELECT coalesce(doc_id::VARCHAR, 'null') AS d, unnest(regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents),
+once AS (SELECT d, w, count(*) AS n FROM run WHERE len(w) >= {spelling.LEAST_LENGTH} GROUP BY ALL),
+crc AS (SELECT w, n, {_crc("d || ':' || w")} AS h FROM once, crc_table),
+cut AS (SELECT CASE WHEN h % {spelling.TYPO} = 0 THEN left(w, h % len(w)) || substr(w, h % len(w) + 2) ELSE w END AS word, n FROM crc),
+vocab AS (SELECT word, sum(n)::BIGINT AS n, len(word) AS l FROM cut WHERE len(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+place AS (SELECT word, n, unnest(range(l)) AS i FROM vocab),
+hole AS (SELECT word, n, i, left(word, i) || '?' || substr(word, i + 2) AS swap, left(word, i) || substr(word, i + 2) AS less FROM place),
+pair AS (SELECT a.word, b.word AS near FROM hole a JOIN hole b ON a.swap = b.swap AND a.word <> b.word
+  UNION SELECT word, less FROM hole WHERE less IN (SELECT word FROM vocab) UNION SELECT less, word FROM hole WHERE less IN (SELECT word FROM vocab)),
+near AS (SELECT pair.word, count(*) AS n_near, arg_min(near, (-b.n, near)) AS best, max(b.n) AS most FROM pair JOIN vocab b ON near = b.word GROUP BY pair.word),
+form AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= {spelling.RATIO} * n THEN best END AS form, CASE WHEN most >= {spelling.RATIO} * n THEN most END AS form_n
+  FROM vocab LEFT JOIN near USING (word)),
+path AS (SELECT word, word AS root FROM form UNION ALL SELECT path.word, form.form FROM path JOIN form ON path.root = form.word WHERE form.form IS NOT NULL),
+last AS (SELECT path.word, root FROM path JOIN form ON root = form.word WHERE form.form IS NULL)
+SELECT word, n, n_near, form, form_n, root FROM form JOIN last USING (word)"""
+
+PREFIX_TRIE = f"""
+WITH RECURSIVE {_CRC_TABLE},
+turn AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(md5(coalesce(role, '')) || md5(coalesce(text, '')))) - 1 AS pos,
+  md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) AS digest, len({_WORDS}) AS n_words FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT conv_id, conv_id - conv_id % {trie.BLOCK} AS base, {_crc("conv_id::VARCHAR")} % {trie.HEADS} AS h FROM (SELECT DISTINCT conv_id FROM turn), crc_table),
+part AS (SELECT c.conv_id, 0 AS own, pos, digest, n_words FROM conv c JOIN turn t ON t.conv_id = base AND pos < h
+  UNION ALL SELECT c.conv_id, 1, pos, digest, n_words FROM conv c JOIN turn t ON t.conv_id = c.conv_id AND pos >= h),
+step AS (SELECT conv_id, n_words, row_number() OVER w AS depth, string_agg(digest, '') OVER w AS prefix, count(*) OVER (PARTITION BY conv_id) AS total
+  FROM part WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING)),
+every AS (SELECT conv_id, depth, prefix, n_words, depth = total AS ends FROM step
+  UNION ALL SELECT conv_id, 0, '', 0, conv_id NOT IN (SELECT conv_id FROM step) FROM conv),
+node AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, max(n_words) AS n_words,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM every GROUP BY depth, prefix),
+family AS (SELECT node.*, up.conv_id AS parent_conv_id, count(kid.depth) AS n_children FROM node
+  LEFT JOIN node up ON up.depth = node.depth - 1 AND up.prefix = left(node.prefix, 32 * (node.depth - 1))
+  LEFT JOIN node kid ON kid.depth = node.depth + 1 AND left(kid.prefix, 32 * node.depth) = node.prefix GROUP BY ALL),
+above AS (SELECT unnest(range(depth + 1)) AS depth, prefix, n_children = 0 AS leaf, (n_convs - 1) * n_words AS saved FROM family),
+total AS (SELECT depth, left(prefix, 32 * depth) AS prefix, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM above GROUP BY ALL)
+SELECT conv_id::BIGINT AS conv_id, depth::BIGINT AS depth, parent_conv_id::BIGINT AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM family JOIN total USING (depth, prefix)"""
+
+
+def _escaped(text: str) -> str:
+    out = f"replace({text}, '\\', '\\\\')"
+    for c in chat.CONTROLS:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+CHAT = f"""
+WITH turn AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+said AS (SELECT *, md5(md5(role) || md5(text)) AS tie,
+  len(CASE role WHEN 'user' THEN '[INST]  [/INST]' WHEN 'assistant' THEN ' </s>' ELSE '[ROLE][/ROLE]  [END]' || {_escaped("role")} END || {_escaped("text")}) AS n FROM turn)
+SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, tie)) AS turns_sha256,
+  coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, tie) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (sum(n) + 3)::BIGINT AS formatted_chars, 0::BIGINT AS rewrites
+FROM said GROUP BY conv_id"""
+
 ORACLE_SQL = {
     "op3_license_scan": LICENSE_SCAN,
     "op5_suffix_dedup": BYTE_REPEATS,
     "op8_mixing": MIXING,
     "op9_fm_dedup": WORD_REPEATS,
+    "op11_spelling_variants": SPELLING,
+    "op12_prefix_trie": PREFIX_TRIE,
+    "op13_chat_formatting": CHAT,
 }
