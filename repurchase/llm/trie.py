@@ -17,7 +17,8 @@ totals are then handed to the parents and the shards are read once more.
 
 Turns are ordered by turn (null first), ties by a hash of role and text; a
 null role or text is empty. Rows without conv_id belong to no conversation and
-are left out. Repeated rows are turns of their own.
+are left out. Repeated rows are turns of their own. The remainder of a negative
+id is negative, as in SQL. An empty table has no nodes.
 """
 
 from __future__ import annotations

@@ -70,7 +70,7 @@ def rows_of(df):
     return {r["word"]: (r["n"], r["n_near"], r["form"], r["form_n"], r["root"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("filter_bits", [spelling.FILTER_BITS, 1 << 10])
+@pytest.mark.parametrize("filter_bits", [spelling.FILTER_BITS, 1 << 12])
 def test_equals_plain_comparison(spark, filter_bits):
     """Also where the filters need many rounds and lengths are cut."""
     rows = corpus()
