@@ -47,11 +47,17 @@ Turn = tuple[str, str]
 
 
 def escaping(controls: Sequence[str]) -> tuple[Callable[[str], str], Callable[[str], str]]:
-    """(escape, unescape) for the given control strings, which hold no
-    backslash and have two characters or more."""
-    found = re.compile("|".join(re.escape(c[0]) + f"(?={re.escape(c[1:])})" for c in sorted(controls)))
+    """(escape, unescape) for the given control strings of two characters or
+    more, which hold no backslash and none of their first characters later on."""
     back = re.compile(r"\\(\\?)")
-    return lambda s: found.sub(lambda m: m[0] + "\\", s.replace("\\", "\\\\")), lambda s: back.sub(r"\1", s)
+
+    def escape(s: str) -> str:
+        s = s.replace("\\", "\\\\")
+        for c in controls:
+            s = s.replace(c, f"{c[0]}\\{c[1:]}")
+        return s
+
+    return escape, lambda s: back.sub(r"\1", s) if "\\" in s else s
 
 
 @dataclass(frozen=True)
@@ -117,6 +123,9 @@ class Block:
 
 def _marks(template: Template, before: Sequence[Turn], role: str, opening: bool, base: int) -> tuple[str, str]:
     """What the template puts before and behind a text of this role here."""
+    if template.memory is not None and len(before) > template.memory:
+        before, opening = before[len(before) - template.memory :], False
+        base = len(template.render(before, False)) if before else 0
     a, b = (template.render([*before, (role, probe)], opening)[base:] for probe in "AB")
     head = commonprefix([a, b])
     return head, commonprefix([a[len(head) :][::-1], b[len(head) :][::-1]])[::-1]
