@@ -110,6 +110,7 @@ def main(argv: list[str] | None = None) -> None:
     tables["product_category_name_translation"] = Analysis(tables, params).translation_filled
     out = args.out.rstrip("/")
     published = publish(tables, params, f"{out}/published")
+    tables["order_items"] = published["order_items"]
     staged = Analysis.with_stages(tables, params, published)
     for name, df in (checks | reports(staged)).items():
         write_table(df, f"{out}/reports/{name}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import US_PER_DAY, days_at_most, micros_between, pct, round_ratio, round_ratio_int, tier, with_share
@@ -152,13 +152,14 @@ def order_sequences(effective: DataFrame) -> DataFrame:
 
     Successor under (purchase time ASC NULLS LAST, order id); only pairs
     whose next time is not null are kept. Hot people are split (see
-    plans.sequence).
+    plans.sequence). Times may be text that sorts as time does (ISO 8601); the
+    gap of a text that is no time is null.
     """
     rows = effective.select(PERSON, "order_id", TS)
     seq = next_in_group(rows, keys=[PERSON], order=[TS, "order_id"], carry=[TS, "order_id"])
-    return seq.where(F.col(f"next_{TS}").isNotNull()).withColumn(
-        "gap_us", micros_between(TS, f"next_{TS}")
-    )
+    text = effective.schema[TS].dataType.simpleString() == "string"
+    start, end = (F.col(c).try_cast("timestamp_ntz") if text else F.col(c) for c in (TS, f"next_{TS}"))
+    return seq.where(F.col(f"next_{TS}").isNotNull()).withColumn("gap_us", micros_between(start, end))
 
 
 def gap_tier_column(us: str = "gap_us") -> F.Column:
@@ -246,16 +247,22 @@ def sellers_per_order(orders: DataFrame, items: DataFrame, status: str = "delive
 def multi_seller_geography(
     orders: DataFrame, items: DataFrame, sellers: DataFrame, customers: DataFrame, status: str = "delivered"
 ) -> DataFrame:
-    """Orders with two or more sellers, by buyer/seller state relation."""
+    """Orders with two or more sellers, by buyer/seller state relation.
+
+    Sellers are counted distinct, so a seller that ``sellers`` lists twice is
+    one; all its states count among the order's.
+    """
     o = (
         orders.where(F.col("order_status") == status)
         .select("order_id", "customer_id")
         .join(customers.select("customer_id", F.col("customer_state").alias("buyer_state")), on="customer_id")
     )
-    # The cohort's orders cut the items down before sellers are looked up, and
-    # each (order, seller) meets its seller once; sellers are unique by key.
-    rows = o.join(items.select("order_id", "seller_id"), on="order_id").distinct().join(sellers, on="seller_id")
-    by_state = rows.groupBy("order_id", "buyer_state", "seller_state").agg(F.count("seller_id").alias("n"))
+    # The cohort's orders cut the items down before sellers are looked up. A
+    # seller listed in several states counts once, in the first of its states.
+    first = F.row_number().over(Window.partitionBy("seller_id").orderBy("seller_state")) == 1
+    places = sellers.select("seller_id", "seller_state").distinct().withColumn("_one", first.cast("long"))
+    rows = o.join(items.select("order_id", "seller_id"), on="order_id").distinct().join(places, on="seller_id")
+    by_state = rows.groupBy("order_id", "buyer_state", "seller_state").agg(F.sum("_one").alias("n"))
     per = (
         by_state.groupBy("order_id", "buyer_state")
         .agg(

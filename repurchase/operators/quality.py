@@ -112,8 +112,11 @@ def fk_orphan_summary(child: DataFrame, parent: DataFrame, child_key: str, paren
 
 
 def _key_text(keys: Sequence[str]) -> Column:
-    """Key as one text; a null part reads ``<null>``, so it keeps its place."""
-    return F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("<null>")) for k in keys])
+    """Key as one text that no other key has: parts are joined by ``|``, a
+    null part reads ``<null>``, and a backslash stands before each backslash,
+    ``|`` and ``<`` of a value."""
+    parts = [F.regexp_replace(F.col(k).cast("string"), r"([\\|<])", r"\\$1") for k in keys]
+    return F.concat_ws("|", *[F.coalesce(x, F.lit("<null>")) for x in parts])
 
 
 def pk_duplicate_report(tables: Mapping[str, DataFrame], pks: Iterable[PrimaryKey] = PRIMARY_KEYS) -> DataFrame:
@@ -169,6 +172,37 @@ def fk_summary_report(tables: Mapping[str, DataFrame], fks: Iterable[ForeignKey]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _domain(table: str, keys: Sequence[str]) -> str:
+    return f"{table}({', '.join(keys)})"
+
+
+def key_uses(tables: Mapping[str, DataFrame], pks: Iterable[PrimaryKey] = PRIMARY_KEYS, fks: Iterable[ForeignKey] = FOREIGN_KEYS) -> DataFrame:
+    """How often each key value occurs: domain (the referenced key), value (as
+    text), has_null, parents (rows that hold it as their key), uses_<i> (rows
+    that refer to it by the i-th of ``fks``).
+
+    A table is read once: each row gives one tag for each constraint that looks
+    at it, and tags are counted before the only shuffle, so a value with a great
+    part of all rows is one row per task.
+    """
+    pks, fks = list(pks), list(fks)
+    tags: dict[str, list[Column]] = {}
+
+    def tag(table: str, domain: str, keys: Sequence[str], role: int) -> None:
+        value = F.col(keys[0]).cast("string") if len(keys) == 1 else _key_text(keys)
+        one = F.struct(F.lit(domain).alias("domain"), value.alias("value"), _any_null(keys).alias("has_null"), F.lit(role).alias("role"))
+        tags.setdefault(table, []).append(one)
+
+    referenced = {(fk.parent, (fk.parent_key,)) for fk in fks}
+    for table, keys in dict.fromkeys([*((pk.table, pk.keys) for pk in pks), *sorted(referenced)]):
+        tag(table, _domain(table, keys), keys, -1)
+    for i, fk in enumerate(fks):
+        tag(fk.child, _domain(fk.parent, [fk.parent_key]), [fk.child_key], i)
+    rows = [tables[table].select(F.inline(F.array(*own))) for table, own in tags.items()]
+    counts = [F.count_if(F.col("role") == -1).alias("parents"), *(F.count_if(F.col("role") == i).alias(f"uses_{i}") for i in range(len(fks)))]
+    return reduce(DataFrame.union, rows).groupBy("domain", "value", "has_null").agg(*counts)
+
+
 def constraint_report(
     tables: Mapping[str, DataFrame],
     expected_failures: Iterable[str] = (),
@@ -180,40 +214,34 @@ def constraint_report(
     A primary key is violated by duplicate key values and null key parts; a
     foreign key by non-null child values without a parent (null references
     pass, as in SQL). Status is ``pass``, ``expected_failure`` (allow-listed,
-    e.g. a reference left unenforced) or ``fail``.
+    e.g. a reference left unenforced) or ``fail``. Each table is scanned once,
+    whatever the number of its constraints (``key_uses``).
     """
-    allowed = list(expected_failures)
+    allowed, pks, fks = list(expected_failures), list(pks), list(fks)
+    uses = key_uses(tables, pks, fks)
+    zero = F.lit(0).cast("long")
+    nulls = F.coalesce(F.sum(F.when(F.col("has_null"), F.col("parents"))), zero).alias("_nulls")
+    orphan = (F.col("parents") == 0) & ~F.col("has_null")
+    orphans = [F.coalesce(F.sum(F.when(orphan, F.col(f"uses_{i}"))), zero).alias(f"_orphans_{i}") for i in range(len(fks))]
+    # One row per domain of keys, then one per constraint that looks at it.
+    found = uses.groupBy("domain").agg(F.count_if(F.col("parents") > 1).alias("_duplicates"), nulls, *orphans)
+    row = lambda c, kind, domain, d, n, o: F.struct(
+        F.lit(c.name).alias("constraint_name"),
+        F.lit(kind).alias("constraint_type"),
+        F.lit(c.table if kind == "PRIMARY KEY" else c.child).alias("table_name"),
+        F.lit(domain).alias("_of"),
+        d.alias("duplicate_keys"),
+        n.alias("null_key_rows"),
+        o.alias("orphan_rows"),
+    )
+    rows = [row(pk, "PRIMARY KEY", _domain(pk.table, pk.keys), F.col("_duplicates"), F.col("_nulls"), zero) for pk in pks]
+    rows += [row(fk, "FOREIGN KEY", _domain(fk.parent, [fk.parent_key]), zero, zero, F.col(f"_orphans_{i}")) for i, fk in enumerate(fks)]
     cols = ["constraint_name", "constraint_type", "table_name", "duplicate_keys", "null_key_rows", "orphan_rows"]
-    parts = []
-    for pk in pks:
-        # One shuffle per table: key groups give both the duplicate keys and
-        # the rows whose key has a null part (nulls group together).
-        nulls = " OR ".join(f"`{k}` IS NULL" for k in pk.keys)
-        groups = tables[pk.table].groupBy(*pk.keys).agg(F.count(F.lit(1)).alias("_n"))
-        parts.append(
-            groups.selectExpr(
-                f"{_sql_str(pk.name)} AS constraint_name",
-                "'PRIMARY KEY' AS constraint_type",
-                f"{_sql_str(pk.table)} AS table_name",
-                "count_if(_n > 1) AS duplicate_keys",
-                f"CAST(coalesce(sum(CASE WHEN {nulls} THEN _n END), 0) AS BIGINT) AS null_key_rows",
-                "CAST(0 AS BIGINT) AS orphan_rows",
-            )
-        )
-    for fk in fks:
-        o = fk_orphans(tables[fk.child], tables[fk.parent], fk.child_key, fk.parent_key, distinct=False, exclude_null=True)
-        parts.append(
-            o.selectExpr(
-                f"{_sql_str(fk.name)} AS constraint_name",
-                "'FOREIGN KEY' AS constraint_type",
-                f"{_sql_str(fk.child)} AS table_name",
-                "CAST(0 AS BIGINT) AS duplicate_keys",
-                "CAST(0 AS BIGINT) AS null_key_rows",
-                "count(1) AS orphan_rows",
-            )
-        )
-    # Every part has the same columns in the same order: positional union.
-    rep = reduce(DataFrame.union, parts)
+    # A domain of empty tables has no row: every constraint is listed anyway.
+    none = next(iter(tables.values())).sparkSession.range(1).select(*[zero.alias(c) for c in found.columns[1:]])
+    every = found.unionByName(none, allowMissingColumns=True).withColumn("_c", F.explode(F.array(*rows))).select("domain", "_c.*")
+    own = every.where(F.col("domain").isNull() | (F.col("domain") == F.col("_of")))
+    rep = own.groupBy(*cols[:3]).agg(*[F.sum(c).alias(c) for c in cols[3:]])
     allow = ", ".join(_sql_str(a) for a in allowed) or "NULL"
     return rep.selectExpr(
         *cols,

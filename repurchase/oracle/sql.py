@@ -199,7 +199,7 @@ def table_of(name: str, filled: bool = False) -> str:
 
 
 def key_text(keys) -> str:
-    return " || '|' || ".join(f"coalesce(CAST({k} AS VARCHAR), '<null>')" for k in keys)
+    return " || '|' || ".join(rf"coalesce(regexp_replace(CAST({k} AS VARCHAR), '([\\|<])', '\\\1', 'g'), '<null>')" for k in keys)
 
 
 def orphans(child: str, key: str, parent: str, filled: bool = False) -> str:

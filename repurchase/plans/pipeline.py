@@ -2,22 +2,25 @@
 
 ``Analysis`` builds each stage once, as a lazy plan or (with a store) as a
 table written once and read back. ``publish`` is the production path: gate
-on the constraint report, then write the stages and the marts as parquet in
-the cluster's shared folder, so later stages and retries read files instead
+on the constraint report, then write the stages and the marts as one snapshot
+in the cluster's shared folder, so later stages and retries read files instead
 of recomputing lineage after a lost executor.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cohort, marts, quality
-from ..sources.tables import backfill_dim, write_table
+from ..sources.buckets import Buckets, bucket_count, plan_bytes
+from ..sources.snapshots import Snapshots
+from ..sources.tables import backfill_dim
 from .params import CONSISTENCY_TABLES, FIXTURE, Params
-from .stages import StageStore
+from .stages import StageStore, TransactionStore
 
 
 class Analysis:
@@ -27,10 +30,18 @@ class Analysis:
     ``plans.stages``); without one they stay lazy plans.
     """
 
-    def __init__(self, tables: Mapping[str, DataFrame], params: Params = FIXTURE, store: StageStore | None = None):
+    def __init__(
+        self,
+        tables: Mapping[str, DataFrame],
+        params: Params = FIXTURE,
+        store: StageStore | TransactionStore | None = None,
+        buckets: Buckets | None = None,
+    ):
         self.t = tables
         self.p = params
         self.store = store
+        # Stored stages of one row per order lie in the buckets of the order table.
+        self.buckets = replace(buckets, unique=True) if buckets else None
         self.checked: DataFrame | None = None  # a constraint report already stored
 
     @classmethod
@@ -45,8 +56,10 @@ class Analysis:
             a.__dict__["stored_marts"] = tuple(stages[name] for name in CONSISTENCY_TABLES[1:])
         return a
 
-    def _stage(self, name: str, build) -> DataFrame:
-        return self.store.get(name, build) if self.store is not None else build()
+    def _stage(self, name: str, build, by_order: bool = False) -> DataFrame:
+        if self.store is None:
+            return build()
+        return self.store.get(name, build, buckets=self.buckets if by_order else None)
 
     # -- inputs --------------------------------------------------------
     @property
@@ -79,12 +92,8 @@ class Analysis:
 
     @cached_property
     def translation_filled(self) -> DataFrame:
-        return backfill_dim(
-            self.translation,
-            self.p.backfill_categories,
-            "product_category_name",
-            ["product_category_name", "product_category_name_english"],
-        )
+        key, columns = "product_category_name", ["product_category_name", "product_category_name_english"]
+        return self._stage("translation_filled", lambda: backfill_dim(self.translation, self.p.backfill_categories, key, columns))
 
     @cached_property
     def tables_filled(self) -> dict[str, DataFrame]:
@@ -113,11 +122,12 @@ class Analysis:
         return self._stage(
             "mature_orders",
             lambda: cohort.mature_orders(self.mature, self.customers, self.orders, self.p.delivered_status),
+            by_order=True,
         )
 
     @cached_property
     def base(self) -> DataFrame:
-        return self._stage("order_base", lambda: marts.order_base(self.mature_orders, self.items, self.sellers))
+        return self._stage("order_base", lambda: marts.order_base(self.mature_orders, self.items, self.sellers), by_order=True)
 
     @cached_property
     def base_reviews(self) -> DataFrame:
@@ -168,27 +178,42 @@ class Analysis:
 STAGES = ("effective", "people", "mature", "mature_orders", "base", "base_reviews")
 
 
-def publish(tables: Mapping[str, DataFrame], params: Params, folder: str) -> dict[str, DataFrame]:
-    """Gate, then write the cohort stages and the dashboard tables.
+def publish(tables: Mapping[str, DataFrame], params: Params, folder: str, order_buckets: int | None = None) -> dict[str, DataFrame]:
+    """Gate, then write the cohort stages and the dashboard tables as one
+    version of the snapshots under ``folder`` (use the cluster's shared folder).
 
-    The constraint report is evaluated once and stored; ``ConstraintError`` is
-    raised before anything else is written when a constraint fails that is
-    not allow-listed. Stages and marts are written under
-    ``folder`` (use the cluster's shared folder), replacing an earlier
-    publish there, and returned read back.
+    The back-filled translation and the constraint report are written first;
+    ``ConstraintError`` is raised before anything else is written when a
+    constraint fails that is not allow-listed. Nothing is seen of the run until
+    all its tables are there: a run that fails leaves the version before it, and
+    frames of earlier versions go on reading (``sources.snapshots``).
+
+    Items and the order-keyed stages are stored in ``order_buckets`` buckets of
+    the order id (default: by the size of the items), so that they meet without
+    a shuffle. Returns the tables read back.
     """
-    report = write_table(Analysis(tables, params).constraint_report(), f"{folder.rstrip('/')}/constraint_report")
-    quality.assert_constraints(report)
     spark = next(iter(tables.values())).sparkSession
-    staged = Analysis(tables, params, StageStore(spark, folder, folder=folder))
-    out = {name: getattr(staged, name) for name in STAGES} | {"constraint_report": report}
-    base = folder.rstrip("/")
+    run = Snapshots(spark, folder).begin(keep=False)
+    filled = run.write("product_category_name_translation", Analysis(tables, params).translation_filled)
+    tables = dict(tables, product_category_name_translation=filled)
+    report = run.write("constraint_report", Analysis(tables, params).constraint_report())
+    quality.assert_constraints(report)
+    items = tables["order_items"]
+    buckets = Buckets("order_id", order_buckets or bucket_count(plan_bytes(items)))
+    tables["order_items"] = run.write("order_items", items, buckets=buckets)
+    staged = Analysis(tables, params, TransactionStore(run), buckets)
+    out = {name: getattr(staged, name) for name in STAGES}
     for name, mart in zip(CONSISTENCY_TABLES[1:], (staged.state_mart, staged.state_mart_reviews)):
-        out[name] = write_table(mart(), f"{base}/{name}")
-    out["fact_customer_order_totals"] = write_table(
-        staged.customer_order_fact(), f"{base}/fact_customer_order_totals", ["buyer_state"]
-    )
-    return out
+        out[name] = run.write(name, mart())
+    out["fact_customer_order_totals"] = run.write("fact_customer_order_totals", staged.customer_order_fact(), ["buyer_state"])
+    run.commit()
+    written = ("constraint_report", "order_items", "product_category_name_translation")
+    return out | {name: run.frames[name] for name in written}
+
+
+def open_published(spark: SparkSession, folder: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of a published version (default: the latest), by name."""
+    return Snapshots(spark, folder).open(version)
 
 
-__all__ = ["Analysis", "STAGES", "publish"]
+__all__ = ["Analysis", "STAGES", "open_published", "publish"]

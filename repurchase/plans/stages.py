@@ -12,12 +12,18 @@ a lost executor re-reads a file instead of recomputing the cohort.
 from __future__ import annotations
 
 import hashlib
+import json
 import threading
 import uuid
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..sources.buckets import Buckets, open_bucketed, write_bucketed
+from ..sources.snapshots import Transaction, rename_new
+from ..sources.tables import spread_for_partitions
 
 
 def code_fingerprint() -> str:
@@ -56,56 +62,77 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def publish_once(df: DataFrame, path: str, partition_by: str | None = None):
+_MARK = "_buckets.json"  # Spark reads no file whose name begins so
+
+
+def publish_once(df: DataFrame, path: str, partition_by: str | None = None, buckets: Buckets | None = None) -> None:
     """Write under a name of its own and rename to ``path`` if that is still
-    free: of several writers the first wins, and no reader sees half a table.
-    Rows of a partition are gathered in a few files. Returns the schema."""
-    part = f"{path}-{uuid.uuid4().hex}"
-    if partition_by:
-        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != partition_by]), F.lit(8))
-        df.repartition(partition_by, salt).write.partitionBy(partition_by).parquet(part)
+    free: of several writers the first wins, and no reader sees half a table."""
+    spark, part = df.sparkSession, f"{path}-{uuid.uuid4().hex}"
+    if buckets is not None:
+        held = write_bucketed(df, part, buckets)
+        if held is not None:
+            fs, mark = _fs_path(spark, f"{part}/{_MARK}")
+            out = fs.create(mark, False)
+            out.write(bytearray(json.dumps(asdict(held)).encode()))
+            out.close()
+    elif partition_by:
+        spread_for_partitions(df, [partition_by]).write.partitionBy(partition_by).parquet(part)
     else:
         df.write.parquet(part)
-    jvm = df.sparkSession.sparkContext._jvm
-    fs, source, target = _fs_path(df.sparkSession, part)[0], jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(path)
-    if not fs.exists(target):
-        fs.rename(source, target)
-    if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+    rename_new(spark, part, path)
+    if not _exists(spark, f"{path}/_SUCCESS"):
         raise RuntimeError(f"{path} exists without having been committed")
-    return df.schema
+
+
+def open_stored(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """A table written by ``publish_once``, with its buckets if it has any."""
+    schema = schema or spark.read.parquet(path).schema
+    if not _exists(spark, f"{path}/{_MARK}"):
+        return spark.read.schema(schema).parquet(path)
+    return open_bucketed(spark, path, schema, Buckets(**json.loads(_text(spark, f"{path}/{_MARK}"))))
+
+
+def _text(spark: SparkSession, path: str) -> str:
+    """A short file; Spark's readers pass over names that begin with ``_``."""
+    fs, p = _fs_path(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
 
 
 class StageStore:
-    """Stages under ``{root}/stages/{hash(key)}``, or directly under ``folder``."""
+    """Stages under ``{root}/stages/{hash(key)}``."""
 
-    def __init__(self, spark: SparkSession, root: str, key: str | None = None, folder: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, key: str):
         self.spark = spark
-        # Only content-keyed stores may reuse stages written earlier; a store
-        # on an explicit folder (a publish target) writes each stage afresh.
-        self.reuse = folder is None
-        self._written: dict[str, DataFrame] = {}
-        if folder is not None:
-            self.base = folder.rstrip("/")
-        else:
-            digest = hashlib.sha1(f"{key}|{code_fingerprint()}".encode()).hexdigest()[:16]
-            self.base = f"{root.rstrip('/')}/stages/{digest}"
-
-    def get(self, name: str, build: Callable[[], DataFrame], partition_by: str | None = None) -> DataFrame:
+        digest = hashlib.sha1(f"{key}|{code_fingerprint()}".encode()).hexdigest()[:16]
+        self.base = f"{root.rstrip('/')}/stages/{digest}"
+
+    def get(self, name: str, build: Callable[[], DataFrame], partition_by: str | None = None, buckets: Buckets | None = None) -> DataFrame:
         path = f"{self.base}/{name}"
-        if not self.reuse:
-            with path_lock(path):
-                if name not in self._written:
-                    build().write.mode("overwrite").parquet(path)
-                    self._written[name] = self.spark.read.parquet(path)
-            return self._written[name]
         # A committed stage never changes (its path encodes source, parameters
         # and code), so one opened frame serves the whole application.
         key = (self.spark.sparkContext.applicationId, path)
         with path_lock(path):
             if key not in _OPENED:
+                schema = None
                 if not _exists(self.spark, f"{path}/_SUCCESS"):
-                    schema = publish_once(build(), path, partition_by)
-                    _OPENED[key] = self.spark.read.schema(schema).parquet(path)
-                else:
-                    _OPENED[key] = self.spark.read.parquet(path)
+                    df = build()
+                    schema = df.schema
+                    publish_once(df, path, partition_by, buckets)
+                _OPENED[key] = open_stored(self.spark, path, schema)
         return _OPENED[key]
+
+
+class TransactionStore:
+    """Stages written as tables of a snapshot that is not yet committed."""
+
+    def __init__(self, transaction: Transaction):
+        self.transaction = transaction
+
+    def get(self, name: str, build: Callable[[], DataFrame], partition_by: str | None = None, buckets: Buckets | None = None) -> DataFrame:
+        made = self.transaction.frames
+        return made[name] if name in made else self.transaction.write(name, build(), [partition_by] if partition_by else (), buckets)

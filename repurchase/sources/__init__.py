@@ -1,6 +1,8 @@
 """Sources and sinks: parquet load, table write, dimension back-fill, fixtures."""
 
 from .fixtures import FixtureTables, fixture_tables, ingest_fixture_tables
+from .buckets import Buckets, bucket_count
+from .snapshots import ConflictError, Snapshots
 from .tables import (
     REFERENCE_TABLES,
     REQUIRED_COLUMNS,
@@ -15,10 +17,14 @@ from .tables import (
 )
 
 __all__ = [
+    "Buckets",
+    "ConflictError",
     "FixtureTables",
     "REFERENCE_TABLES",
     "REQUIRED_COLUMNS",
+    "Snapshots",
     "backfill_dim",
+    "bucket_count",
     "cast_losses",
     "fixture_tables",
     "ingest_fixture_tables",

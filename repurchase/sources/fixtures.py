@@ -15,6 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .buckets import Buckets, bucket_count
 from .tables import load_tables
 
 # Fixed values of the role mapping (see FIXTURES.md §2).
@@ -172,18 +173,25 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _size(spark: SparkSession, path: str) -> int:
+    fs, p = _fs(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Identity of the source files (path, sizes, modification times) and
     of the derivation code."""
     parts = [sf_dir.rstrip("/"), hashlib.sha1(open(__file__, "rb").read()).hexdigest()]
     for name in FixtureTables.BASE:
-        fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
-        st = fs.getFileStatus(p)
-        total = fs.getContentSummary(p).getLength() if st.isDirectory() else st.getLen()
-        parts.append(f"{name}:{total}:{st.getModificationTime()}")
+        path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+        fs, p = _fs(spark, path)
+        parts.append(f"{name}:{_size(spark, path)}:{fs.getFileStatus(p).getModificationTime()}")
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
+# Tables that are joined by the order's key: stored in the same buckets of it.
+ORDER_KEYED = ("orders", "order_items", "order_reviews")
+
 _OPENED: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -191,8 +199,8 @@ class _StoredTables(Mapping):
     """Read-on-first-use view of the ingested tables (no listing for
     tables a query never touches)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, base: str):
-        self._spark, self._sf_dir, self.base = spark, sf_dir, base
+    def __init__(self, spark: SparkSession, sf_dir: str, base: str, buckets: Buckets):
+        self._spark, self._sf_dir, self.base, self.buckets = spark, sf_dir, base, buckets
         self._frames: dict[str, DataFrame] = {}
         self._derived: FixtureTables | None = None
         self._lock = threading.Lock()
@@ -212,13 +220,13 @@ class _StoredTables(Mapping):
             path = f"{self.base}/{name}"
             key = (self._spark.sparkContext.applicationId, path)
             if key not in _OPENED:
-                from ..plans.stages import path_lock
+                from ..plans.stages import open_stored, path_lock, publish_once
 
                 with path_lock(path):
                     fs, marker = _fs(self._spark, f"{path}/_SUCCESS")
                     if not fs.exists(marker):
-                        getattr(self._source(), name).write.mode("overwrite").parquet(path)
-                _OPENED[key] = self._spark.read.parquet(path)
+                        publish_once(getattr(self._source(), name), path, buckets=self.buckets if name in ORDER_KEYED else None)
+                _OPENED[key] = open_stored(self._spark, path)
             self._frames[name] = _OPENED[key]
         return self._frames[name]
 
@@ -255,5 +263,6 @@ def ingest_fixture_tables(spark: SparkSession, sf_dir: str, root: str | None = N
     """
     from .tables import storage_root
 
-    base = f"{(root or storage_root(spark)).rstrip('/')}/ingest/{_fingerprint(spark, sf_dir)}"
-    return _StoredTables(spark, sf_dir, base)
+    buckets = Buckets("order_id", bucket_count(_size(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet")))
+    base = f"{(root or storage_root(spark)).rstrip('/')}/ingest/{_fingerprint(spark, sf_dir)}-{buckets.count}"
+    return _StoredTables(spark, sf_dir, base, buckets)

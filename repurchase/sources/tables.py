@@ -161,17 +161,29 @@ def storage_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def spread_for_partitions(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows gathered by partition value, ready to be written by it: Spark
+    splits a value with much data over as many tasks as its size asks for, and
+    joins small ones, at run time (``advisoryPartitionSizeInBytes``)."""
+    return df.hint("rebalance", *[F.col(c) for c in partition_by])
+
+
 def write_table(
     df: DataFrame,
     path: str,
     partition_by: Sequence[str] | None = None,
     mode: str = "overwrite",
 ) -> DataFrame:
-    """Materialise a derived table as parquet and return it read back.
+    """Materialise a derived table as parquet at ``path`` and return it read
+    back (S2).
 
-    Replaces the table like ``CREATE TABLE ... AS`` after a drop. Reading it
-    back cuts the lineage, so later stages and retries start from the files.
+    Replaces the table like ``CREATE TABLE ... AS`` after a drop, under running
+    readers too; tables that must change without anyone noticing, alone or
+    together, go through ``snapshots``. Reading it back cuts the lineage, so
+    later stages and retries start from the files.
     """
+    if partition_by:
+        df = spread_for_partitions(df, partition_by)
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

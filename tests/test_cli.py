@@ -5,6 +5,7 @@ import tempfile
 
 from repurchase.__main__ import main
 from repurchase.plans.params import FIXTURE
+from repurchase.plans.pipeline import open_published
 from repurchase.sources import ingest_fixture_tables
 
 from conftest import SMALL
@@ -25,6 +26,7 @@ def test_cli_runs_the_workflow(spark):
     with pytest.raises(ConstraintError):
         main(["--tables", src, "--out", out, "--cutoff", FIXTURE.maturity_cutoff, "--state", "S7"])
     assert not os.path.exists(f"{out}/published/dm_state_logistics_retention_summary")
+    assert open_published(spark, f"{out}/published") == {}
 
 
 def test_cli_publishes_and_writes_reports_when_failures_are_allowed(spark):
@@ -35,7 +37,7 @@ def test_cli_publishes_and_writes_reports_when_failures_are_allowed(spark):
     out = tempfile.mkdtemp(prefix="cli-out-")
     allow = "pk_order_items,pk_order_payments,fk_leads_closed_mql_id,fk_products_product_category_name"
     main(["--tables", src, "--out", out, "--cutoff", FIXTURE.maturity_cutoff, "--state", "S7", "--allow", allow])
-    m1 = spark.read.parquet(f"{out}/published/dm_state_logistics_retention_summary")
+    m1 = open_published(spark, f"{out}/published")["dm_state_logistics_retention_summary"]
     assert m1.count() == 8
     reports = sorted(os.listdir(f"{out}/reports"))
     assert "E9_repurchase_intervals" in reports and "M6_top_categories" in reports and len(reports) == 37
