@@ -20,6 +20,7 @@ from ..functions import (
     tier,
     with_share,
 )
+from ..functions.sketches import merge_sketches, month_sketches, percentiles
 from ..plans.params import REVIEW_LABELS, REVIEW_NONE
 from .cohort import PERSON
 from .quality import pk_duplicates
@@ -73,6 +74,33 @@ def shipping_profile(mature_orders: DataFrame, over_days: int = 90) -> DataFrame
     return _profile(rows, "us", US_PER_DAY, 2, "shipping", f"over_{over_days}_days_orders", days_over("us", over_days))
 
 
+def shipping_sketches(mature_orders: DataFrame) -> DataFrame:
+    """Carrier-to-customer microseconds by buyer state and month of purchase, as
+    mergeable sketches: the stored form of L1 for any period."""
+    rows = mature_orders.select(
+        "buyer_state",
+        "order_purchase_timestamp",
+        micros_between("order_delivered_carrier_date", "order_delivered_customer_date").alias("us"),
+    )
+    return month_sketches(rows, ["buyer_state"], "order_purchase_timestamp", "us")
+
+
+def shipping_between(
+    sketches: DataFrame, start: str | None = None, end: str | None = None, by_state: bool = False
+) -> DataFrame:
+    """L1's days of the months from ``start`` up to ``end``, read from stored
+    sketches: count, least and greatest are exact, percentiles within the
+    sketches' rank error."""
+    keys = ["buyer_state"] if by_state else []
+    merged = percentiles(merge_sketches(sketches, keys, start, end), {f"_{name}": p for name, p in PROFILE_PERCENTILES})
+    days = {"min_days": "low"} | {f"{name}_days": f"_{name}" for name, _ in PROFILE_PERCENTILES} | {"max_days": "high"}
+    return merged.select(
+        *keys,
+        F.col("n_rows").alias("total_valid_shipping_orders"),
+        *[round_ratio(c, F.lit(US_PER_DAY), 2).alias(name) for name, c in days.items()],
+    )
+
+
 def outliers_by_state(per_order: DataFrame, is_outlier, label: str) -> DataFrame:
     """Outlier orders per buyer state: count, share in state (4 dp), share of
     all outliers (2 dp). One aggregate replaces the reference's two plus a

@@ -92,6 +92,7 @@ def _attach(retention: DataFrame, logistics: DataFrame) -> DataFrame:
     return retention.join(logistics, on="buyer_state", how="left")
 
 
+FREIGHT_SHARE = "(CAST(freight_cents AS DOUBLE) / CAST(NULLIF(price_cents + freight_cents, 0) AS DOUBLE) * 100.0D)"
 INTRA_SQL = "is_cross_state = 0"
 CROSS_SQL = "is_cross_state = 1"
 
@@ -138,7 +139,10 @@ def state_mart(mature: DataFrame, base: DataFrame) -> DataFrame:
             _price="sum(CAST(price_cents AS DECIMAL(38,0)))",
             _freight="sum(CAST(freight_cents AS DECIMAL(38,0)))",
             _cross=f"count_if({CROSS_SQL})",
-            _ratio="avg(CAST(freight_cents AS DOUBLE) / CAST(NULLIF(price_cents + freight_cents, 0) AS DOUBLE) * 100.0)",
+            # Per order a whole number of 1e-10 percent, so that the sum does
+            # not depend on the order in which tasks add.
+            _ratio=f"sum(CAST(floor({FREIGHT_SHARE} * 1e10D + 0.5D) AS DECIMAL(38,0)))",
+            _ratio_n=f"count({FREIGHT_SHARE})",
             _inverse="count_if(freight_cents > price_cents)",
             _intra_us=f"sum(CAST(CASE WHEN {INTRA_SQL} THEN shipping_us END AS DECIMAL(38,0)))",
             _intra_n=f"count(CASE WHEN {INTRA_SQL} THEN shipping_us END)",
@@ -166,7 +170,7 @@ def state_mart(mature: DataFrame, base: DataFrame) -> DataFrame:
         round_ratio("_price", "_n * 100", 2).alias("avg_order_price"),
         round_ratio("_freight", "_n * 100", 2).alias("avg_freight_value"),
         round_ratio("_median_freight", money_units, 2).alias("median_freight_value"),
-        round_double("_ratio", 2).alias("avg_order_freight_ratio_percentage"),
+        round_ratio("_ratio", "_ratio_n * 10000000000", 2).alias("avg_order_freight_ratio_percentage"),
         pct("_inverse", "_n").alias("freight_inverse_order_ratio_percentage"),
         pct("_cross", "_n").alias("cross_state_ratio_percentage"),
         round_ratio_int("_intra_median_freight", money_units, 2).alias("_intra_mf"),

@@ -449,7 +449,7 @@ def state_mart() -> dict[str, str]:
     return {
         "middles": percentiles("trip", ["buyer_state"], _sides("freight_cents") | _sides("travel"), middles),
         "sums": f"""SELECT buyer_state, count(*) AS total_orders_mature, {rrd("sum(price_cents)", "count(*) * 100", 2)} AS avg_order_price,
-            {rrd("sum(freight_cents)", "count(*) * 100", 2)} AS avg_freight_value, {round_double(f"avg({ratio})", 2)} AS avg_order_freight_ratio_percentage,
+            {rrd("sum(freight_cents)", "count(*) * 100", 2)} AS avg_freight_value, {rrd(f"sum(CAST(floor({ratio} * 1e10 + 0.5) AS HUGEINT))", f"count({ratio}) * 10000000000", 2)} AS avg_order_freight_ratio_percentage,
             {pct("count(*) FILTER (WHERE freight_cents > price_cents)", "count(*)")} AS freight_inverse_order_ratio_percentage,
             {pct("sum(is_cross)", "count(*)")} AS cross_state_ratio_percentage, {mean(0)} AS in_mean, {mean(1)} AS out_mean FROM trip GROUP BY buyer_state""",
         "mart": f"""SELECT buyer_state, total_customers_mature, coalesce(total_orders_mature, 0) AS total_orders_mature, avg_order_price, avg_freight_value,

@@ -15,7 +15,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import cohort, marts, quality
+from ..operators import cohort, logistics, marts, quality
 from ..sources.buckets import Buckets, bucket_count, plan_bytes
 from ..sources.snapshots import Snapshots
 from ..sources.tables import backfill_dim
@@ -143,6 +143,10 @@ class Analysis:
             lambda: marts.order_base(self.mature_orders, self.items, self.sellers, self.reviews, dedupe_reviews=True),
         )
 
+    @cached_property
+    def shipping_sketches(self) -> DataFrame:
+        return self._stage("shipping_sketches", lambda: logistics.shipping_sketches(self.mature_orders))
+
     # -- marts -------------------------------------------------------------
     def state_mart(self) -> DataFrame:
         return marts.state_mart(self.mature, self.base)
@@ -175,7 +179,7 @@ class Analysis:
         return quality.constraint_report(self.tables_filled, self.p.expected_failures)
 
 
-STAGES = ("effective", "people", "mature", "mature_orders", "base", "base_reviews")
+STAGES = ("effective", "people", "mature", "mature_orders", "base", "base_reviews", "shipping_sketches")
 
 
 def publish(tables: Mapping[str, DataFrame], params: Params, folder: str, order_buckets: int | None = None) -> dict[str, DataFrame]:

@@ -8,6 +8,7 @@ from .tables import (
     REQUIRED_COLUMNS,
     backfill_dim,
     cast_losses,
+    copy_tables,
     list_tables,
     load_tables,
     normalize_types,
@@ -26,6 +27,7 @@ __all__ = [
     "backfill_dim",
     "bucket_count",
     "cast_losses",
+    "copy_tables",
     "fixture_tables",
     "ingest_fixture_tables",
     "list_tables",

@@ -5,11 +5,16 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
+from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+if TYPE_CHECKING:
+    from .buckets import Buckets
+    from .snapshots import Transaction
+
 # The eleven tables the analysis reads, in the order the key checks visit them.
 REFERENCE_TABLES = (
     "orders",
@@ -132,6 +137,30 @@ def cast_losses(before: Mapping[str, DataFrame], after: Mapping[str, DataFrame])
     return reduce(DataFrame.unionByName, parts)
 
 
+def copy_tables(raw: Mapping[str, DataFrame], run: Transaction, buckets: Mapping[str, Buckets] | None = None) -> tuple[dict[str, DataFrame], list[tuple[str, str | None, int]]]:
+    """Copy tables with their working types into a snapshot (S1), and count on
+    the way: each table is read once.
+
+    Returns the copies and the load report: (table, null, rows) and, for each
+    column that was cast, (table, column, values that were there and are null
+    after, as dirty text is). Counts are observed in the tasks that write. The
+    caller commits ``run``.
+    """
+    copies, report = {}, []
+    tidy = normalize_types(raw)
+    for name, df in raw.items():
+        old, new = dict(df.dtypes), dict(tidy[name].dtypes)
+        cast = [c for c in old if old[c] != new.get(c, old[c])]
+        lost = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(new[c]).isNull()).alias(f"lost_{i}") for i, c in enumerate(cast)]
+        seen = Observation()
+        watched = df.observe(seen, F.count(F.lit(1)).alias("n"), *lost)
+        copies[name] = run.write(name, normalize_types({name: watched})[name], buckets=(buckets or {}).get(name))
+        counts = seen.get
+        report.append((name, None, counts["n"]))
+        report += [(name, c, counts[f"lost_{i}"]) for i, c in enumerate(cast)]
+    return copies, report
+
+
 def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per table: name and row count (the load report of S1)."""
     parts = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count") for name, df in tables.items()]
