@@ -40,6 +40,8 @@ LEAST = 24
 PART = 1024
 BLOCK = 2000
 CHUNK = 1 << 18  # characters of documents searched at once
+PAIRS = 1 << 20  # shared grams expanded at once
+OVERLAP = 2 * SEGMENT
 _BASE = 0x9E3779B97F4A7C15
 _BITS = 21
 
@@ -101,19 +103,33 @@ class Index:
     window: np.ndarray
     edits: np.ndarray
     least: np.ndarray
+    told: np.ndarray  # telling grams that begin before each place of ``codes``
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
     return (h * np.uint64(_BASE)) >> np.uint64(64 - _BITS)
 
 
+def telling(grams: np.ndarray, q: int = Q) -> np.ndarray:
+    """Offsets of the grams that do not recur within ``q`` places."""
+    again = np.zeros(len(grams), bool)
+    for p in range(1, min(q, len(grams) - 1) + 1):
+        same = grams[p:] == grams[:-p]
+        again[p:] |= same
+        again[:-p] |= same
+    return np.flatnonzero(~again)
+
+
 def build_index(items: list, texts: list[str]) -> Index:
     each = [codes(t) for t in texts]
     grams = [gram_hashes(c) for c in each]
-    n = np.array([len(g) for g in grams], int)
-    every = np.concatenate([*grams, np.empty(0, np.uint64)])
-    segment = np.repeat(np.arange(len(texts)), n)
-    offset = np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
+    kept = [telling(g) for g in grams]
+    every = np.concatenate([*(g[k] for g, k in zip(grams, kept, strict=True)), np.empty(0, np.uint64)])
+    segment = np.repeat(np.arange(len(texts)), [len(k) for k in kept])
+    offset = np.concatenate([*kept, np.empty(0, int)])
+    begin = np.r_[0, np.cumsum([len(c) for c in each])].astype(int)
+    told = np.zeros(begin[-1] + 1, int)
+    told[begin[segment] + offset + 1] = 1
     order = np.argsort(every, kind="stable")
     hashes, first = np.unique(every[order], return_index=True)
     table = np.zeros(1 << _BITS, bool)
@@ -134,6 +150,7 @@ def build_index(items: list, texts: list[str]) -> Index:
         window,
         edits,
         window - Q + 1 - Q * edits,
+        np.cumsum(told),
     )
 
 
@@ -205,8 +222,28 @@ def find_all(texts: list[str | None], index: Index) -> list[tuple[int, int, int,
     near = np.minimum(np.searchsorted(index.hashes, h[place]), len(index.hashes) - 1)
     same = index.hashes[near] == h[place] if len(index.hashes) else np.zeros(len(place), bool)
     place, near = place[same], near[same]
-    if not len(place):
-        return []
+    hits: set[tuple] = set()
+    for some in portions(place, index.first[near + 1] - index.first[near]):
+        hits.update(_extended(index, starts, c, place[some], near[some]))
+    return sorted(hits)
+
+
+def portions(place: np.ndarray, n: np.ndarray) -> Iterator[slice]:
+    """Consecutive places (rising) with about ``PAIRS`` pairs together, n at
+    each; portions overlap by ``OVERLAP`` characters and are twice as long at
+    least, so that whatever lies within that many characters is in one."""
+    upto, lo = np.cumsum(n), 0
+    while lo < len(place):
+        full = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS))
+        hi = min(len(place), max(full, int(np.searchsorted(place, place[lo] + 2 * OVERLAP))))
+        yield slice(lo, hi)
+        if hi == len(place):
+            return
+        lo = int(np.searchsorted(place, place[hi - 1] - OVERLAP, "right"))
+
+
+def _extended(index: Index, starts: np.ndarray, c: np.ndarray, place: np.ndarray, near: np.ndarray) -> list[tuple]:
+    """The hits of one portion of shared grams."""
     n = index.first[near + 1] - index.first[near]
     at = np.repeat(index.first[near] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     s, o, p = index.segment[at], index.offset[at], np.repeat(place, n)
@@ -228,13 +265,16 @@ def find_all(texts: list[str | None], index: Index) -> list[tuple[int, int, int,
     for e in range(most + 1):
         sums = np.stack([back[k] + on[e - k] for k in range(e + 1)])
         best = sums.argmax(axis=0)
-        holds = ~done & (e <= index.edits[s]) & (sums.max(axis=0) + run >= index.window[s])
+        every = np.arange(len(s))
+        a, b = i - back[best, every], i + run + on[e - best, every]
+        telling = index.told[np.maximum(a, b - Q + 1)] - index.told[a]
+        holds = ~done & (e <= index.edits[s]) & (b - a >= index.window[s]) & (4 * telling >= 3 * (index.window[s] - Q + 1))
         done |= holds
         for r in np.flatnonzero(holds).tolist():
             k = best[r]
             first = p[r] - starts[doc[r]]
             hits.append((doc[r], s[r], e, first - back_text[k, r], first + run[r] + on_text[e - k, r], o[r] - back[k, r], o[r] + run[r] + on[e - k, r]))
-    return sorted(tuple(map(int, hit)) for hit in hits)
+    return [tuple(map(int, hit)) for hit in hits]
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
@@ -300,29 +340,32 @@ def blocks(benchmark: DataFrame) -> Iterator[Index]:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_segments (that fit in the stretches found), edits (of
     the best stretch), first_char and end_char (in the normalised text, over all
-    stretches found)."""
+    stretches found); one row for each row of ``docs`` and item id."""
     spark = docs.sparkSession
     kind = dict(benchmark.dtypes)["item_id"]
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     id_kind = dict(docs.dtypes)["doc_id"]
-    out = "doc_id string, item_id string, n_segments long, edits long, first_char long, end_char long"
+    names = ["doc_id", "mark", "item_id", "part", "n_segments", "edits", "first_char", "end_char"]
+    out = "doc_id string, mark long, item_id string, part long, n_segments long, edits long, first_char long, end_char long"
 
-    def of(index: Index) -> DataFrame:
+    def of(block: int, index: Index) -> DataFrame:
         shared = spark.sparkContext.broadcast((index.items, index.texts))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = build_index(*shared.value)
             for b in batches:
-                hits = [(b["doc_id"].iloc[t], known.items[s], *hit) for t, s, *hit in hit_rows(b["text"].tolist(), known)]
-                yield pd.DataFrame(hits, columns=["doc_id", "item_id", "n_segments", "edits", "first_char", "end_char"])
+                hits = [(b["doc_id"].iloc[t], b["mark"].iloc[t], known.items[s], (block << 32) + s, *hit) for t, s, *hit in hit_rows(b["text"].tolist(), known)]
+                yield pd.DataFrame(hits, columns=names)
 
         return rows.mapInPandas(scan, out)
 
-    parts = [of(index) for index in blocks(benchmark)]
-    if not parts:
-        return spark.createDataFrame([], out).withColumns({"doc_id": F.col("doc_id").cast(id_kind), "item_id": F.col("item_id").cast(kind)})
-    found = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id")
-    found = found.agg(F.sum("n_segments").alias("n_segments"), F.min("edits").alias("edits"), F.min("first_char").alias("first_char"), F.max("end_char").alias("end_char"))
+    parts = [of(k, index) for k, index in enumerate(blocks(benchmark))]
+    found = reduce(DataFrame.unionByName, parts, spark.createDataFrame([], out))
+    # Rows that share id and text give the same hits: as many as there are rows.
+    alike = [F.min("edits").alias("edits"), F.min("first_char").alias("first_char"), F.max("end_char").alias("end_char")]
+    found = found.groupBy("doc_id", "mark", "item_id", "part").agg(F.count(F.lit(1)).alias("copies"), F.max("n_segments").alias("n_segments"), *alike)
+    found = found.groupBy("doc_id", "mark", "item_id").agg(F.max("copies").alias("copies"), F.sum("n_segments").alias("n_segments"), *alike)
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("mark", "copies", "copy")
     return found.withColumns({"doc_id": F.col("doc_id").cast(id_kind), "item_id": F.col("item_id").cast(kind)})
 
 

@@ -15,12 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, words
+from repurchase.plans.ranges import bucket_of, range_bounds
+
+from .common import free_name, let, words
 
 K = 128
 SHINGLE = 5
 #: Documents a range bucket of ``with_next`` should hold on average.
 BUCKET_DOCS = 1000
+MOST_RANGES = 4096  # beyond some four million documents, ranges grow
 _SPAN = float(2**64)
 
 
@@ -89,31 +92,34 @@ def with_next(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_co
     """Add ``next_<c>`` for each carried column: the value of the document
     that follows by descending id (null ids last; after the last, the first).
 
-    Rows are dealt into equal ranges of ids and sorted there, so no task sorts
-    the whole table; the last row of each range then takes its values from the
-    first one of the range that follows. Repeated ids follow each other by
-    text hash.
+    Rows are dealt into ranges between quantiles of (id, text hash) taken from
+    the rows and sorted there, so no task sorts the whole table, whatever the
+    ids' type and spread and however many rows share one or have none; the last
+    row of each range then takes its values from the first one of the range that
+    follows. Repeated ids follow each other by text hash; only rows that share
+    both stay together.
     """
-    low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
-    if not n:
-        return docs.withColumns({f"next_{c}": F.col(c) for c in carry})
-    buckets = max(1, n // BUCKET_DOCS)
-    low, high = (0, 0) if low is None else (low, high)
-    width = (high - low) // buckets + 1
-    bucket = F.coalesce(F.floor((F.col(id_col) - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
-    rows = docs.withColumns({"_bucket": bucket, "_tie": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    order = Window.partitionBy("_bucket").orderBy(F.col(id_col).desc_nulls_last(), F.desc("_tie"))
+    bucket_col, tie, up, down, nxt = (free_name(docs, c) for c in ("_bucket", "_tie", "_up", "_down", "_next"))
+    keyed = docs.withColumn(tie, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    known, none = keyed.where(F.col(id_col).isNotNull()), keyed.where(F.col(id_col).isNull())
+    n = docs.count()
+    parts = max(1, min(MOST_RANGES, n // BUCKET_DOCS))
+    # Ids come in falling order, so the rows without one are the lowest ranges.
+    low, high = range_bounds(none, [tie], parts), range_bounds(known, [id_col, tie], parts)
+    bucket = F.when(F.col(id_col).isNull(), bucket_of(keyed, [tie], low)).otherwise(bucket_of(keyed, [id_col, tie], high) + len(low) + 1)
+    rows = keyed.withColumn(bucket_col, bucket)
+    order = Window.partitionBy(bucket_col).orderBy(F.col(id_col).desc_nulls_last(), F.desc(tie))
     # The markers are lags and leads, so both readers of the sorted ranges
     # share one shuffle.
-    rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in carry} | {"_up": F.lag(F.lit(1)).over(order), "_down": F.lead(F.lit(1)).over(order)})
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in carry} | {up: F.lag(F.lit(1)).over(order), down: F.lead(F.lit(1)).over(order)})
     names = [*docs.columns, *(f"next_{c}" for c in carry)]
-    ranges = docs.select(bucket.alias("_bucket")).distinct()
-    after = Window.orderBy(F.desc("_bucket"))  # one short row per range
-    ranges = ranges.withColumn("_next", F.coalesce(F.lead("_bucket").over(after), F.max("_bucket").over(Window.partitionBy())))
-    heads = rows.where(F.col("_up").isNull()).select(F.col("_bucket").alias("_next"), *(F.col(c).alias(f"_head_{c}") for c in carry))
-    tails = rows.where(F.col("_down").isNull()).drop(*(f"next_{c}" for c in carry)).join(ranges, "_bucket").join(heads, "_next")
+    ranges = keyed.select(bucket.alias(bucket_col)).distinct()
+    after = Window.orderBy(F.desc(bucket_col))  # one short row per range
+    ranges = ranges.withColumn(nxt, F.coalesce(F.lead(bucket_col).over(after), F.max(bucket_col).over(Window.partitionBy())))
+    heads = rows.where(F.col(up).isNull()).select(F.col(bucket_col).alias(nxt), *(F.col(c).alias(f"_head_{c}") for c in carry))
+    tails = rows.where(F.col(down).isNull()).drop(*(f"next_{c}" for c in carry)).join(ranges, bucket_col).join(heads, nxt)
     tails = tails.withColumnsRenamed({f"_head_{c}": f"next_{c}" for c in carry})
-    return rows.where(F.col("_down").isNotNull()).select(*names).unionByName(tails.select(*names))
+    return rows.where(F.col(down).isNotNull()).select(*names).unionByName(tails.select(*names))
 
 
 def edited_text(text: Column, following: Column) -> Column:

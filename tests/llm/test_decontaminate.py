@@ -1,4 +1,6 @@
 import random
+import resource
+import time
 
 from repurchase.llm import decontaminate as dc
 
@@ -122,3 +124,37 @@ def test_texts_searched_together_stay_apart():
     texts = ["x", item[:half], item[half : 2 * half], None, "", item, "tail " + item[30:90]]
     assert [(t, h[0]) for t, s, _, *h in dc.hit_rows(texts, index)] == [(5, 0), (6, 0)]
     assert [(h[0], h[2]) for h in dc.find_all(texts, index)] == [(5, 0), (6, 0)]
+
+
+def test_documents_that_share_an_id_are_reported_each(spark):
+    item = prose(40, 9)
+    rows = [(None, f"one {item} a"), (None, f"other text, then {item}"), (5, f"x {item}"), (5, f"y z {item}"), (6, item), (6, item)]
+    items = spark.createDataFrame([(1, item), (1, item), (2, prose(40, 77))], "item_id long, text string")
+    got = dc.matches(table(spark, rows), items).collect()
+    assert sorted((str(r["doc_id"]), r["item_id"]) for r in got) == [("5", 1)] * 2 + [("6", 1)] * 2 + [("None", 1)] * 2
+    one = {r["n_segments"] for r in got}
+    assert len(one) == 1 and len({(r["doc_id"], r["first_char"]) for r in got}) == 5
+
+
+def test_ruled_lines_are_no_passages_and_cost_no_memory():
+    """A megabyte of one character, and a hundred items that hold ruled lines:
+    the texts around the lines are found, the lines are not."""
+    lines = ["-" * 60, "=-" * 40, "| --- " * 20]
+    items = [f"{prose(30, i)} {lines[i % 3]} {prose(30, 500 + i)}" for i in range(100)] + ["-" * 1000, "=" * 60]
+    index = dc.build_index(list(range(len(items))), items)
+    before, started = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    assert dc.hit_rows(["-" * 1_000_000], index) == []
+    ruled = "".join(f"{prose(150, 9000 + i)} {lines[i % 3]}\n" for i in range(250))
+    assert dc.hit_rows([ruled], index) == []
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000 and time.time() - started < 60
+    assert {s for s, *_ in dc.find(f"{ruled} {items[7]} {ruled}", index)} == {7}
+
+
+def test_portions_lose_nothing(monkeypatch):
+    items = [prose(60, i) for i in range(20)]
+    text = " ".join([*items[:6], prose(300, 99), items[3], items[4][:70], items[5]])
+    index = dc.build_index(list(range(20)), items)
+    whole = dc.hit_rows([text], index)
+    assert len(whole) == 6
+    monkeypatch.setattr(dc, "PAIRS", 50)
+    assert sorted(dc.hit_rows([text], index)) == sorted(whole)

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from repurchase.llm import fingerprints as fp
@@ -61,3 +62,25 @@ def test_group_sketch_is_the_merge_of_all_rows(spark):
     df = table(spark, rows).select(F.lit("g").alias("g"), fp.sketch(F.col("text")).alias("s"))
     got = fp.merge_groups(df, ["g"], "s", salts=4).first()["s"]
     assert got == sorted({h for r in df.collect() for h in r["s"]})[: fp.K]
+
+
+@pytest.mark.parametrize(
+    "kind, ids",
+    [
+        ("long", [-(2**63), 2**63 - 1, -9 * 10**18, 9 * 10**18, 0, 5, 5, None, None]),
+        ("string", ["b", "a", "", "é", "10", "9", None, "a", "zz"]),
+        ("long", [*range(40), 2**60, *[7] * 15, *[None] * 12]),
+    ],
+)
+def test_next_document_of_any_ids(spark, monkeypatch, kind, ids):
+    """Wide, text, skewed, repeated and null ids, in ranges of three rows."""
+    monkeypatch.setattr(fp, "BUCKET_DOCS", 3)
+    names = ("_bucket", "_tie", "_up", "_down", "_next")
+    df = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate(ids)], f"doc_id {kind}, text string")
+    df = df.selectExpr("*", *(f"'x' as {c}" for c in names))
+    order = [r["text"] for r in df.orderBy(F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text"))).collect()]
+    rows = fp.with_next(df, ["text"])
+    assert rows.columns == [*df.columns, "next_text"]
+    got = rows.collect()
+    assert {r["text"]: r["next_text"] for r in got} == dict(zip(order, order[1:] + order[:1], strict=True))
+    assert len(got) == len(ids) and all(r[c] == "x" for r in got for c in names)
