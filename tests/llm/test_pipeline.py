@@ -51,4 +51,4 @@ def test_run_chains_the_stages(spark):
 
 def test_every_dealt_operator_is_registered():
     numbers = sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
