@@ -10,20 +10,33 @@ LICENSE_SCAN = rf"""
 WITH phrase(number, label, is_base, w) AS (VALUES {", ".join(
     f"({i}, '{label}', {i < len(licenses.BASE_PHRASES)}, {text.split()})" for i, (text, label) in enumerate([*licenses.BASE_PHRASES, *licenses.TEMPLATES])
 )}),
-pair AS (SELECT number, label, is_base, len(w) - 1 AS n, unnest(w[:-2]) AS a, unnest(w[2:]) AS b, generate_subscripts(w[:-2], 1) - 1 AS spot FROM phrase),
+sized AS (SELECT *, CASE WHEN len(w) >= {licenses.LONG_WORDS} THEN 4 ELSE 2 END AS k FROM phrase),
+gram AS (SELECT number, label, is_base, k, len(w) - k + 1 AS n, CASE WHEN is_base THEN 0 WHEN k = 2 THEN {licenses.SHIFT} ELSE {licenses.LONG_SHIFT} END AS reach,
+  unnest(range(len(w) - k + 1)) AS spot, unnest(list_transform(range(len(w) - k + 1), lambda i: array_to_string(w[i + 1 : i + k], ' '))) AS g FROM sized),
+size AS (SELECT DISTINCT number, label, is_base, n, reach FROM gram),
+lack AS (SELECT a.number, list(a.spot) AS spots FROM gram a JOIN size b ON a.label <> b.label AND NOT a.is_base AND NOT b.is_base
+  WHERE a.g NOT IN (SELECT g FROM gram c WHERE c.number = b.number) GROUP BY a.number, b.number, a.n HAVING count(*) <= {1 - licenses.SIBLING} * a.n),
+lacks AS (SELECT number, list(spots) AS lacks FROM lack GROUP BY number),
 doc AS (SELECT row_number() OVER () AS r, doc_id,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 word AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) - 1 AS place FROM doc),
-gram AS (SELECT r, place, a, lead(a) OVER (PARTITION BY r ORDER BY place) AS b FROM word),
-vote AS (SELECT r, number, label, is_base, n, place - spot AS diagonal, bit_or(1::BIGINT << spot) AS mask FROM gram JOIN pair USING (a, b) GROUP BY ALL),
-near AS (SELECT *, bit_count(CASE WHEN is_base THEN mask ELSE bit_or(mask) OVER
-  (PARTITION BY r, number ORDER BY diagonal RANGE BETWEEN {licenses.SHIFT} PRECEDING AND {licenses.SHIFT} FOLLOWING) END) / n AS share FROM vote),
-span AS (SELECT *, CASE WHEN is_base THEN share >= 1 ELSE share >= {licenses.COVER} AND share >= max(share) FILTER (WHERE NOT is_base) OVER
-  (PARTITION BY r ORDER BY diagonal RANGE BETWEEN {licenses.SHIFT} PRECEDING AND {licenses.SHIFT} FOLLOWING) END AS holds FROM near),
+roll AS (SELECT r, place, a || ' ' || lead(a) OVER o AS pair, a || ' ' || lead(a) OVER o || ' ' || lead(a, 2) OVER o || ' ' || lead(a, 3) OVER o AS four
+  FROM word WINDOW o AS (PARTITION BY r ORDER BY place)),
+hit AS (SELECT r, number, place - spot AS diagonal, spot, place FROM roll JOIN gram ON g = pair UNION
+  SELECT r, number, place - spot, spot, place FROM roll JOIN gram ON g = four),
+span AS (SELECT v.r, v.number, v.diagonal, count(DISTINCT u.spot) AS seen,
+  list({{'at': u.spot, 'place': u.place, 'taken': [u.spot]}} ORDER BY u.spot, u.place) AS votes
+  FROM (SELECT DISTINCT r, number, diagonal, reach FROM hit JOIN size USING (number)) v
+  JOIN hit u ON u.r = v.r AND u.number = v.number AND u.diagonal BETWEEN v.diagonal - v.reach AND v.diagonal + v.reach GROUP BY ALL),
+walk AS (SELECT *, seen / n AS share, CASE WHEN is_base THEN 1 ELSE {licenses.COVER} END AS least,
+  list_reduce(votes, lambda s, v: CASE WHEN v.at > s.at AND v.place > s.place THEN {{'at': v.at, 'place': v.place, 'taken': list_concat(s.taken, v.taken)}} ELSE s END).taken AS taken
+  FROM span JOIN size USING (number)),
+held AS (SELECT *, len(taken) >= least * n AND (lacks IS NULL
+  OR len(list_filter(lacks, lambda m: len(list_intersect(taken, m)) < {licenses.COVER} * len(m))) = 0) AS holds FROM walk LEFT JOIN lacks USING (number)),
 found AS (SELECT r, count(*) FILTER (WHERE is_base AND holds) AS n_base, min(diagonal) FILTER (WHERE is_base AND holds) AS first_word,
   max(diagonal) FILTER (WHERE is_base AND holds) AS last_word,
   array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE is_base AND holds))), ',') AS base_labels,
-  array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE holds))), ',') AS labels, max(share) AS score FROM span GROUP BY r)
+  array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE holds))), ',') AS labels, max(share) AS score FROM held GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM doc LEFT JOIN found USING (r)"""
