@@ -15,7 +15,9 @@ reading all copies by slot keeps the weights at every point.
 
 A null source is a source of its own. Documents without tokens are kept once
 and have no weight; a source without tokens too. Rows that repeat a document
-are scheduled each.
+are scheduled each. A block is chosen by id, text hash and, among rows alike in
+both, their number, so rows of one null or repeated id spread over all blocks of
+their source.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ REPEAT_LIMIT = 4.0
 BLOCK_DOCS = 500
 ROUNDS = 8
 CUTS = 32  # exponents tried in one pass over the sources: five halvings
+PORTION = 4096  # equal rows written by one row of their portions
 
 
 def token_rows(docs: DataFrame) -> DataFrame:
@@ -38,15 +41,28 @@ def token_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("n_tokens"), F.md5(F.coalesce("text", F.lit(""))).alias("_tie"))
 
 
+def numbered(tokens: DataFrame) -> DataFrame:
+    """``tokens`` with ``_copy``, 0, 1, ... among equal rows. Equal rows are
+    counted with map-side combine; counts beyond ``PORTION`` are dealt to all
+    tasks in portions before they are written out again."""
+    counts = tokens.groupBy("doc_id", "source", "n_tokens", "_tie").agg(F.count(F.lit(1)).alias("_n"))
+    few = counts.where(F.col("_n") <= PORTION).withColumn("_first", F.lit(0).cast("long"))
+    many = counts.where(F.col("_n") > PORTION).withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(PORTION).cast("long"))))
+    tasks = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = few.unionByName(many.repartition(tasks, "_tie", "_first"))
+    last = F.least(F.col("_first") + PORTION, F.col("_n")) - 1
+    return rows.withColumn("_copy", F.explode(F.sequence("_first", last))).drop("_n", "_first")
+
+
 def _exponent(sources: DataFrame, repeat_limit: float | None, entropy: float | None) -> float:
     """Bisection. Both the largest repetition and the entropy fall as the
     exponent grows; each round reads one row of sums for 31 exponents."""
     low, high = 0.0, 1.0
     shares = sources.where("p > 0")
+    widest = 1.0 if entropy is not None else shares.agg(F.max(F.col("p_max") / F.col("p"))).first()[0] or 1.0
     for _ in range(ROUNDS):
         tries = [low + (high - low) * i / CUTS for i in range(CUTS + 1)]
         if entropy is None:
-            widest = shares.agg(F.max(F.col("p_max") / F.col("p"))).first()[0] or 1.0
             fits = [widest ** (1 - a) <= repeat_limit for a in tries]
         else:
             cells = []
@@ -81,17 +97,17 @@ def source_weights(tokens: DataFrame, repeat_limit: float | None = REPEAT_LIMIT,
 def schedule(docs: DataFrame, repeat_limit: float | None = REPEAT_LIMIT, entropy: float | None = None, block_docs: int = BLOCK_DOCS, seed: int = 42) -> DataFrame:
     """One row per copy of a document to read: doc_id, source, n_tokens,
     epoch, block, weight (of its source), slot."""
-    tokens = stash(token_rows(docs), "mix-tokens")
+    tokens = stash(numbered(token_rows(docs)), "mix-tokens")
     weights = source_weights(tokens, repeat_limit, entropy, block_docs)
     plan = weights.select(F.col("source").alias("_source"), "weight", "passes", "n_blocks")
-    key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_tie", "_copy")
     rows = tokens.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("block", F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.col("n_blocks")))
     needed = F.when(F.col("n_tokens") > 0, F.ceil("passes")).otherwise(1).cast("int")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), needed - 1)))
     rows = rows.withColumn("_at", F.md5(F.concat_ws(":", F.col("epoch"), key)))
     part = Window.partitionBy("source", "block", "epoch")
-    order = part.orderBy("_at", "_tie", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = part.orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({"_sum": F.sum("n_tokens").over(part), "_end": F.sum("n_tokens").over(order)})
     before = F.col("_end") - F.col("n_tokens")
     fits = before + F.col("n_tokens") / 2 <= (F.col("passes") - F.col("epoch")) * F.col("_sum")

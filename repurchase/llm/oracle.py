@@ -65,9 +65,10 @@ kept AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, '
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
 FROM doc LEFT JOIN kept USING (r)"""
 
-_KEY = "concat_ws(':', '42', coalesce(doc_id::VARCHAR, 'null'))"
+_KEY = "concat_ws(':', '42', coalesce(doc_id::VARCHAR, 'null'), tie, row_number() OVER (PARTITION BY doc_id, source, tie) - 1)"
 MIXING = f"""
-WITH token AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS n_tokens, md5(coalesce(text, '')) AS tie, {_KEY} AS k FROM documents),
+WITH word AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS n_tokens, md5(coalesce(text, '')) AS tie FROM documents),
+token AS (SELECT *, {_KEY} AS k FROM word),
 source AS (SELECT source AS s, count(*) AS n_docs, sum(n_tokens)::DOUBLE / sum(sum(n_tokens)) OVER () AS p FROM token GROUP BY source),
 -- The exponent in closed form: the widest ratio of shares may fill the limit.
 power AS (SELECT max(p) AS top, greatest(0, 1 - ln({mixing.REPEAT_LIMIT}) / ln(nullif(greatest(max(p) / min(p) FILTER (WHERE p > 0), 1), 1))) AS a FROM source),
@@ -76,7 +77,7 @@ plan AS (SELECT s, CASE WHEN p > 0 THEN round(pow(top / p, 1 - coalesce(a, 0)),
 copy AS (SELECT *, ('0x' || left(md5(k), 8))::BIGINT % n_blocks AS block, unnest(range(CASE WHEN n_tokens > 0 THEN ceil(passes)::BIGINT ELSE 1 END)) AS epoch
   FROM token JOIN plan ON source IS NOT DISTINCT FROM s),
 ranked AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, block, epoch) AS every,
-  sum(n_tokens) OVER (PARTITION BY source, block, epoch ORDER BY md5(concat_ws(':', epoch, k)), tie, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS before FROM copy)
+  sum(n_tokens) OVER (PARTITION BY source, block, epoch ORDER BY md5(concat_ws(':', epoch, k)) ROWS UNBOUNDED PRECEDING) - n_tokens AS before FROM copy)
 SELECT doc_id, source, n_tokens, epoch::INTEGER AS epoch, block, round(weight, 9) AS weight,
   round((epoch + coalesce(before::DOUBLE / nullif(every, 0), 0)) / passes, 9) AS slot
 FROM ranked WHERE epoch < floor(passes) OR epoch = 0 OR before + n_tokens / 2 <= (passes - epoch) * every"""

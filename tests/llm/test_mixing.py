@@ -43,3 +43,15 @@ def test_schedule_is_the_same_every_time(spark):
     df = docs(spark)
     a, b = (sorted(map(str, mixing.schedule(x).collect())) for x in (df, df.repartition(7)))
     assert a == b
+
+
+def test_rows_of_one_id_spread_over_blocks(spark):
+    rows = [(None, f"text {i}", "a") for i in range(3000)] + [(7, "the same row", "a")] * 9000 + [(8, "x y", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.schedule(df, block_docs=500).where("epoch = 0").toPandas()
+    assert len(got) == len(rows)
+    per = got[got["source"] == "a"].groupby("block").size()
+    assert len(per) == 24 and per.max() < 700
+    again = mixing.schedule(df.repartition(5), block_docs=500).where("epoch = 0").toPandas()
+    same = lambda t: sorted(map(tuple, t.fillna(-1).values.tolist()))
+    assert same(got) == same(again)
