@@ -8,9 +8,11 @@ thresholds and x = log(1 + count) of the chosen terms: words, and beginnings
 of words (``PREFIXES`` letters, marked by a star). It yields P(grade >= 1)
 and the expected severity sum_j P(grade >= j), from 0 to 2.
 
-It is fitted on the ``FIT_ROWS`` labelled documents of smallest id hash, with
-at most ``MAX_TERMS`` terms (the largest log-odds); both bounds also bound what
-the driver receives. A labelled id counts once, by its row of least text hash
+It is fitted on the ``FIT_ROWS`` labelled documents of smallest id hash, which
+also bounds what the driver receives, with every term that ``MIN_DOCS`` of them
+hold and whose log-odds lie ``MIN_Z`` standard errors above 0. The marker terms
+are features too, so the model learns grade 2 from what defines it; give
+``labels`` a column ``grade`` (0, 1, 2) to learn from graded labels instead. A labelled id counts once, by its row of least text hash
 and toxic if one of its labels says so; labels without documents do not count. Every document is scored on its whole text.
 
 Null or empty texts score like any text without known terms. Without labels,
@@ -33,7 +35,6 @@ from pyspark.sql import functions as F
 from .common import stash
 
 FIT_ROWS = 8000
-MAX_TERMS = 3000
 MIN_DOCS = 4
 PREFIXES = range(3, 8)
 MIN_Z = 3.0
@@ -68,15 +69,19 @@ def term_counts(text: str | None, among: dict[str, float] | None = None, starts:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """text, toxic of the sample: one row for each of the ``rows`` ids. Ids are
-    chosen before any text is moved, and their ``rows`` rows are broadcast."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
+    """text, toxic, grade (null unless ``labels`` has one) of the sample: one
+    row for each of the ``rows`` ids. Ids are chosen before any text is moved,
+    and their ``rows`` rows are broadcast."""
+    given = F.least(F.greatest(F.col("grade").cast("int"), F.lit(0)), F.lit(2)) if "grade" in labels.columns else F.lit(None).cast("int")
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_toxic"), F.max(given).alias("_grade"))
+    known = known.withColumn("_toxic", F.coalesce((F.col("_grade") > 0).cast("int"), "_toxic"))
+    docs = docs.select("doc_id", "text")
     held = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(1), "text").alias("other"))).alias("_least"))
     chosen = held.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     same = (F.xxhash64("text") == F.col("_least.hash")) & (F.xxhash64(F.lit(1), "text") == F.col("_least.other"))
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(same)
     # Rows left of one id have the same text.
-    return found.dropDuplicates(["doc_id"]).select("text", F.col("_toxic").alias("toxic"))
+    return found.dropDuplicates(["doc_id"]).select("text", F.col("_toxic").alias("toxic"), F.col("_grade").alias("grade"))
 
 
 def _sample_terms(sample: DataFrame) -> DataFrame:
@@ -99,7 +104,7 @@ def _sample_terms(sample: DataFrame) -> DataFrame:
     return sample.mapInPandas(split, "row long, toxic int, term string, n long")
 
 
-def choose_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[str, float]]:
+def choose_terms(sample: DataFrame) -> list[tuple[str, float]]:
     """Terms with their smoothed log-odds of toxic against clean documents."""
     n = sample.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = int(n["t"] or 0), int(n["n"]) - int(n["t"] or 0)
@@ -110,13 +115,13 @@ def choose_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[st
     odds = F.log(a / (F.lit(toxic + 1.0) - a)) - F.log(b / (F.lit(clean + 1.0) - b))
     z = odds / F.sqrt(1 / a + 1 / b)
     per = per.where(F.col("a") + F.col("b") >= MIN_DOCS).select("term", odds.alias("odds"), z.alias("z"))
-    rows = per.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(max_terms).collect()
+    rows = per.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").collect()
     return [(r["term"], r["odds"]) for r in rows]
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int = MAX_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     sample = stash(labelled_sample(docs, labels, rows), "toxicity-sample")
-    chosen = choose_terms(sample, max_terms)
+    chosen = choose_terms(sample)
     if not chosen:
         return Model()
     index = {t: i for i, (t, _) in enumerate(chosen)}
@@ -125,9 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int
     def features(batches):
         for b in batches:
             counts = [{index[t]: n for t, n in term_counts(x, index, index_starts).items()} for x in b["text"]]
-            yield pd.DataFrame({"toxic": b["toxic"], "i": [list(c) for c in counts], "n": [list(c.values()) for c in counts]})
+            yield pd.DataFrame({"toxic": b["toxic"], "grade": b["grade"], "i": [list(c) for c in counts], "n": [list(c.values()) for c in counts]})
 
-    got = sample.mapInPandas(features, "toxic int, i array<int>, n array<long>").toPandas()
+    got = sample.mapInPandas(features, "toxic int, grade int, i array<int>, n array<long>").toPandas()
     toxic = got["toxic"].to_numpy()
     row = np.repeat(np.arange(len(got)), [len(x) for x in got["i"]])
     col = np.concatenate([*got["i"], np.empty(0, int)]).astype(int)
@@ -136,6 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int
     dose = np.bincount(row, x * marks[col], minlength=len(got))
     middle = np.median(dose[toxic == 1])
     grade = np.where(toxic == 1, np.where(dose > middle, 2, 1), 0)
+    given = got["grade"].to_numpy(float, na_value=np.nan)
+    grade = np.where(np.isnan(given), grade, given).astype(int)
     w, thresholds = fit_ordinal(row, col, x, grade, len(chosen), 2)
     return Model({t: float(w[i]) for t, i in index.items()}, tuple(map(float, thresholds)))
 
