@@ -6,8 +6,8 @@ word and joined by a separator; the index is the Burrows-Wheeler transform of
 that text in a wavelet tree (one bit plane for each binary digit of a word's
 number, with ranks sampled every 64 places). The pieces are then streamed
 through it: a backward search from the end of each window adds one word after
-another on the left, for all windows at once, until fewer than two places are
-left. The number of words added is the matching statistic, up to the window's
+another on the left, for all windows at once, until the places left, weighed by
+the copies of their pieces, are fewer than two. The number of words added is the matching statistic, up to the window's
 length; a window repeats if it reaches that.
 
 Null, empty and short texts lose nothing; repeated rows are copies like others.
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, words
-from .repeats import Units, covered, with_runs
+from .repeats import Units, covered, sliding_min, window_places, with_runs
 
 WINDOW = 35
 GRAM = 12
@@ -91,40 +90,48 @@ def suffix_order(t: np.ndarray) -> np.ndarray:
 class FMIndex:
     def __init__(self, t: np.ndarray):
         """Index of ``t``, whose last symbol is unique and least."""
-        order = suffix_order(t)
-        self.tree = WaveletTree(t[order - 1])
+        self.order = suffix_order(t)
+        self.tree = WaveletTree(t[self.order - 1])
         self.before = np.r_[0, np.cumsum(np.bincount(t))]
 
-    def matching(self, t: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
+    def matching(self, t: np.ndarray, end: np.ndarray, most: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each end, the length (``most`` at most) of the longest stretch
-        of ``t`` before it that the index holds twice."""
+        of ``t`` before it that the index holds twice, places counted by
+        ``weight`` (1); and the interval last reached, as (low, high)."""
+        weight = np.ones(len(t), np.int64) if weight is None else weight
+        total = np.r_[0, np.cumsum(weight[self.order])]
         low, high = np.zeros(len(end), np.int64), np.full(len(end), self.tree.n, np.int64)
         length, live = np.zeros(len(end), np.int64), np.arange(len(end))
         for k in range(most):
             symbol = t[end[live] - 1 - k]
             low[live] = self.before[symbol] + self.tree.rank(symbol, low[live])
             high[live] = self.before[symbol] + self.tree.rank(symbol, high[live])
-            live = live[high[live] - low[live] >= 2]
+            live = live[total[high[live]] - total[low[live]] >= 2]
             length[live] = k + 1
             if not len(live):
                 break
-        return length
+        return length, np.stack([low, high])
 
 
-def repeated_windows(pieces: list[bytes], window: int) -> list[np.ndarray]:
-    """For each piece, whether the window from each word occurs again."""
+def repeated_windows(pieces: list[bytes], weights: np.ndarray, window: int) -> np.ndarray:
+    """Whether the index interval of each window, of all pieces in turn,
+    weighs two or more."""
     split = [p.split() for p in pieces]
     number: dict[bytes, int] = {}
     for p in split:
         for w in p:
             number.setdefault(w, len(number) + _FIRST)
     t = np.array([x for p in split for x in (*(number[w] for w in p), _SEPARATOR)] + [0], np.int64)
-    size = np.array([len(p) for p in split])
-    start = np.array([0, *accumulate(size + 1)][:-1])
-    n = size - window + 1
-    first = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    twice = FMIndex(t).matching(t, first + window, window) >= window
-    return np.split(twice, np.cumsum(n)[:-1])
+    place = window_places(np.fromiter(map(len, split), np.int64, len(split)), window)
+    own = np.zeros(len(t), np.int64)
+    own[place] = weights
+    # On the way to a window's start, a word weighs what the heaviest window
+    # around it does, and no less than itself.
+    around = np.maximum(-sliding_min(-np.r_[np.zeros(window - 1, np.int64), own], window), 1)
+    index = FMIndex(t)
+    length, (low, high) = index.matching(t, place + window, window, around)
+    total = np.r_[0, np.cumsum(own[index.order])]
+    return (length >= window) & (total[high] - total[low] >= 2)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -135,9 +142,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for d, t, runs in zip(b["doc_id"], b["text"], b["runs"], strict=True):
+            for d, t, low, high in zip(b["doc_id"], b["text"], b["low"], b["high"], strict=True):
                 w = t.encode().split()
-                gone = covered(runs, len(w), WINDOW)
+                gone = covered(low, high, len(w), WINDOW)
                 kept = b" ".join([x for x, g in zip(w, gone.tolist(), strict=True) if not g])
                 rows.append((d, len(w), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])

@@ -8,13 +8,16 @@ same offset, so windows need to meet only those of their anchor's gram. The
 windows of one anchor in one text form a piece: a stretch of the text.
 
 1. Grams that anchor one piece only cannot repeat and are left.
-2. Equal pieces are counted first; all windows of a piece that occurs twice
-   are repeated, however many copies there are.
-3. Different pieces of one gram go to a shard, where an index (the caller's
-   ``solve``) tells which windows occur twice. A gram with more than ``HOT``
-   different pieces (the ends of a passage in very many texts) is first split
-   by whole windows, which a count then settles; so no shard grows with it.
-4. The runs of repeated windows return to their texts.
+2. Equal pieces are counted, so that each enters an index once, with its
+   number of copies as the weight of its windows.
+3. All different pieces of one gram go to one shard, where an index (the
+   caller's ``solve``) tells which windows weigh two or more together. Pieces
+   that are the only ones of their gram meet no others; neighbours of one text
+   enter as one stretch, which holds each window once.
+4. A gram with more than ``HOT`` different pieces (the ends of a passage in
+   very many texts) is split by whole windows, whose weights are summed by
+   hash without an index; so no shard grows with it.
+5. The runs of repeated windows return to their texts.
 
 Rows are told apart by id and text hash; repeated rows count as places of
 their own. Null texts are empty.
@@ -34,9 +37,16 @@ from pyspark.sql import functions as F
 from .common import stash
 
 HOT = 2000
+#: Windows of a stretch of neighbouring pieces.
+STRETCH = 1 << 16
 #: Pieces' units that one index holds.
 SHARD_UNITS = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
+#: How a piece meets others of its gram: there are none, in a shard, by window.
+_ALONE, _MIXED, _HOT = 0, 1, 2
+#: (pieces, weight of each of their windows, window) -> whether each window's
+#: occurrences in all pieces weigh two or more.
+Solve = Callable[[list[bytes], np.ndarray, int], np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -129,27 +139,36 @@ def _fetch(units: Units):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for t, wanted in zip(b["text"], b["wanted"], strict=True):
+            for t, first, n, gram, body, copies, how in zip(*(b[c] for c in ("text", "first", "n", "gram", "body", "copies", "how")), strict=True):
                 u = units.split(t.encode())
-                rows += [(w["gram"], w["body"], w["n"], w["hot"], units.cut(u, w["first"], w["first"] + w["n"] + units.window - 1)) for w in wanted]
-            yield pd.DataFrame(rows, columns=["gram", "body", "n", "hot", "piece"])
+                # Neighbouring pieces without others of their gram are one stretch.
+                joined = (how[1:] == _ALONE) & (how[:-1] == _ALONE) & (first[1:] == first[:-1] + n[:-1])
+                head = np.r_[True, ~joined]
+                part = (first - first[np.maximum.accumulate(np.where(head, np.arange(len(first)), 0))]) // STRETCH
+                at = np.flatnonzero(head | np.r_[True, part[1:] != part[:-1]])
+                for x, y in zip(at.tolist(), [*at[1:].tolist(), len(first)], strict=True):
+                    piece = units.cut(u, int(first[x]), int(first[y - 1] + n[y - 1]) + units.window - 1)
+                    rows.append((gram[x], body[x], how[x], gram[x:y], body[x:y], n[x:y], copies[x:y], piece))
+            yield pd.DataFrame(rows, columns=["gram", "body", "how", "grams", "bodies", "sizes", "copies", "piece"])
 
     return run
 
 
-def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(np.r_[False, flags, False].astype(np.int8))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
-def _shard(units: Units, solve: Callable[[list[bytes], int], list[np.ndarray]]):
+def _shard(units: Units, solve: Solve):
     """Rows come sorted by gram; whole grams are indexed together."""
 
     def out(rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for g, b, flags in zip(rows["gram"], rows["body"], solve(list(rows["piece"]), units.window), strict=True):
-            found += [(g, b, x, y) for x, y in zip(*_runs(flags), strict=True)]
-        return pd.DataFrame(found, columns=["gram", "body", "low", "high"])
+        gram, body, size, copies = (np.concatenate(rows[c].to_list()) for c in ("grams", "bodies", "sizes", "copies"))
+        flags = solve(rows["piece"].to_list(), np.repeat(copies, size), units.window)
+        end = np.cumsum(size)
+        kind = np.repeat(np.arange(len(size)), size)
+        edge = np.zeros(len(flags) + 1, bool)
+        edge[0] = edge[end] = True
+        low = np.flatnonzero(flags & (edge[:-1] | np.r_[True, ~flags[:-1]]))
+        high = np.flatnonzero(flags & (edge[1:] | np.r_[~flags[1:], True])) + 1
+        k = kind[low]
+        start = (end - size)[k]
+        return pd.DataFrame({"gram": gram[k], "body": body[k], "low": (low - start).astype(np.int32), "high": (high - start).astype(np.int32)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -178,17 +197,17 @@ def _single_windows(units: Units):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for g, body, n, piece in zip(b["gram"], b["body"], b["n"], b["piece"], strict=True):
+            for g, body, n, copies, piece in zip(b["gram"], b["body"], b["n"], b["copies"], b["piece"], strict=True):
                 u = units.split(piece)
-                rows += [(g, body, k, *divmod(xxhash.xxh3_128_intdigest(units.cut(u, k, k + units.window)), 1 << 64)) for k in range(n)]
-            out = pd.DataFrame(rows, columns=["gram", "body", "low", "h1", "h2"])
+                rows += [(g, body, k, copies, *divmod(xxhash.xxh3_128_intdigest(units.cut(u, k, k + units.window)), 1 << 64)) for k in range(n)]
+            out = pd.DataFrame(rows, columns=["gram", "body", "low", "copies", "h1", "h2"])
             out["h1"], out["h2"] = (_signed(np.array(out[c].tolist(), np.uint64)) for c in ("h1", "h2"))
             yield out
 
     return run
 
 
-def repeated(docs: DataFrame, units: Units, solve: Callable[[list[bytes], int], list[np.ndarray]]) -> tuple[DataFrame, DataFrame]:
+def repeated(docs: DataFrame, units: Units, solve: Solve) -> tuple[DataFrame, DataFrame]:
     """(texts, runs): the stored rows of ``keyed`` that share a gram with
     another piece, and (doc_id, mark, runs) with the runs of repeated windows
     (first window, end) of each."""
@@ -202,43 +221,49 @@ def repeated(docs: DataFrame, units: Units, solve: Callable[[list[bytes], int],
     kinds = pieces.groupBy("gram", "body").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at"), F.first("n").alias("n"))
     kinds = stash(kinds, "piece-kinds")
     many = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    many = stash(many.withColumn("hot", F.col("kinds") > HOT), "mixed-grams")
-    mixed = kinds.join(many.select("gram", "hot"), "gram").select("gram", "body", "n", "hot", "at.doc_id", "at.mark", "at.first")
-    wanted = mixed.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("gram", "body", "n", "hot", "first")).alias("wanted"))
+    many = stash(many.select("gram", F.when(F.col("kinds") > HOT, _HOT).otherwise(_MIXED).alias("how")), "mixed-grams")
+    kinds = kinds.join(many, "gram", "left").withColumn("how", F.coalesce("how", F.lit(_ALONE)))
+    fields = ("first", "n", "gram", "body", "copies", "how")
+    wanted = kinds.select("*", "at.doc_id", "at.mark", "at.first").groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("wanted"))
     shared = pieces.select("doc_id", "mark").distinct().join(wanted.withColumnsRenamed({"doc_id": "_id", "mark": "_m"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_m")), "left")
     shared = shared.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m"), "wanted")
     texts = rows.join(shared, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_m"))).drop("_id", "_m")
     texts = stash(texts, "shared-texts")
     # Repeated rows of one id and text hold the same pieces: one of them serves.
-    source = texts.where(F.col("wanted").isNotNull()).select("text", "wanted")
-    bodies = source.mapInPandas(_fetch(units), "gram long, body long, n int, hot boolean, piece binary").dropDuplicates(["gram", "body"])
-    bodies = stash(bodies, "piece-bodies")
-    shard = bodies.where(~F.col("hot")).select("gram", "body", "piece").repartition("gram").sortWithinPartitions("gram", "body")
+    source = texts.where(F.col("wanted").isNotNull()).select("text", *(F.col(f"wanted.{x}").alias(x) for x in fields))
+    held = "gram long, body long, how int, grams array<long>, bodies array<long>, sizes array<int>, copies array<long>, piece binary"
+    bodies = stash(source.mapInPandas(_fetch(units), held).dropDuplicates(["gram", "body"]), "piece-bodies")
+    shard = bodies.where(F.col("how") != _HOT).drop("how").repartition("gram").sortWithinPartitions("gram", "body")
     found = shard.mapInPandas(_shard(units, solve), "gram long, body long, low int, high int")
-    single = bodies.where("hot").select("gram", "body", "n", "piece").mapInPandas(_single_windows(units), "gram long, body long, low int, h1 long, h2 long")
-    single = stash(single, "hot-windows")
-    twice = single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    single = bodies.where(F.col("how") == _HOT).select("gram", "body", F.col("sizes")[0].alias("n"), F.col("copies")[0].alias("copies"), "piece")
+    single = stash(single.mapInPandas(_single_windows(units), "gram long, body long, low int, copies long, h1 long, h2 long"), "hot-windows")
+    twice = single.groupBy("h1", "h2").agg(F.sum("copies").alias("c")).where("c > 1")
     single = single.join(twice, ["h1", "h2"]).select("gram", "body", "low", (F.col("low") + 1).alias("high"))
-    copied = kinds.where("copies > 1").select("gram", "body", F.lit(0).alias("low"), F.col("n").alias("high"))
-    runs = stash(found.unionByName(single).unionByName(copied).distinct(), "repeated-windows")
+    runs = stash(found.unionByName(single), "repeated-windows")
     hits = pieces.join(runs, ["gram", "body"]).select("doc_id", "mark", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
     hits = hits.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("runs"))
     return texts, hits
 
 
-def covered(runs, n_units: int, window: int) -> np.ndarray:
+def covered(low: np.ndarray, high: np.ndarray, n_units: int, window: int) -> np.ndarray:
     """Flags of the units that repeated windows cover."""
-    edge = np.zeros(n_units + 1, np.int64)
-    for r in runs:
-        edge[r["low"]] += 1
-        edge[r["high"] - 1 + window] -= 1
+    edge = np.bincount(low, minlength=n_units + 1) - np.bincount(high - 1 + window, minlength=n_units + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def with_runs(docs: DataFrame, units: Units, solve) -> tuple[DataFrame, DataFrame]:
-    """(hit, hits): rows doc_id, text, runs of all texts with repeats; and
-    their ids and hashes as _id, _m."""
+def with_runs(docs: DataFrame, units: Units, solve: Solve) -> tuple[DataFrame, DataFrame]:
+    """(hit, hits): rows doc_id, text, low, high (arrays: the runs) of all
+    texts with repeats; and their ids and hashes as _id, _m."""
     texts, hits = repeated(docs, units, solve)
     hits = stash(hits, "runs").withColumnsRenamed({"doc_id": "_id", "mark": "_m"})
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_m"))
-    return texts.select("doc_id", "mark", "text").join(hits, same).select("doc_id", "text", "runs"), hits
+    hit = texts.select("doc_id", "mark", "text").join(hits, same)
+    return hit.select("doc_id", "text", F.col("runs.low").alias("low"), F.col("runs.high").alias("high")), hits
+
+
+def window_places(size: np.ndarray, window: int) -> np.ndarray:
+    """Places of all windows of pieces of these sizes, each followed by one
+    separator."""
+    n = size - window + 1
+    start = np.cumsum(size + 1) - size - 1
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))

@@ -9,8 +9,9 @@ recursively while names repeat; the sorted leftmost-smaller suffixes then
 induce all others in two linear scans. A scan handles a whole bucket at once.
 Common prefixes are computed in text order from each suffix's predecessor:
 one whose preceding byte agrees with its predecessor's is one shorter than the
-prefix before it, so only the others are compared. A window repeats if its
-suffix shares 200 bytes or more with a neighbour.
+prefix before it, so only the others are compared. Suffixes that share 200
+bytes with their neighbours form an interval; a window repeats if the copies of
+the pieces in its interval are two or more.
 
 Null, empty and short texts lose nothing; repeated rows are copies like others.
 """
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Units, covered, with_runs
+from .repeats import Units, covered, window_places, with_runs
 
 WINDOW = 200
 GRAM = 64
@@ -213,19 +214,24 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return phi, np.where(before, length[first] - (place - first), length)
 
 
-def repeated_windows(pieces: list[bytes], window: int) -> list[np.ndarray]:
-    """For each piece, whether the window from each place occurs again."""
-    size = np.array([len(p) for p in pieces], np.int64)
-    text = np.full(int(size.sum()) + len(pieces) + 1, _SEPARATOR, np.int64)
-    start = np.cumsum(size + 1) - size - 1
-    for s, p in zip(start.tolist(), pieces, strict=True):
-        text[s : s + len(p)] = np.frombuffer(p, np.uint8)
-        text[s : s + len(p)] += _FIRST
-    text[-1] = 0
-    phi, plcp = common_prefixes(text, suffix_array(text, 256 + _FIRST))
-    twice = plcp >= window
-    twice[phi[twice]] = True
-    return [twice[s : s + n - window + 1] for s, n in zip(start.tolist(), size.tolist(), strict=True)]
+def repeated_windows(pieces: list[bytes], weights: np.ndarray, window: int) -> np.ndarray:
+    """Whether the suffix-array interval of each window, of all pieces in
+    turn, weighs two or more."""
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    text = np.zeros(int(size.sum()) + len(pieces) + 1, np.int64)
+    text[:-1] = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8)
+    text[:-1] += _FIRST
+    text[np.cumsum(size + 1) - 1] = _SEPARATOR
+    place = window_places(size, window)
+    weight = np.zeros(len(text), np.int64)
+    weight[place] = weights
+    sa = suffix_array(text, 256 + _FIRST)
+    _, plcp = common_prefixes(text, sa)
+    # An interval: suffixes that share a window's length with their neighbours.
+    first = np.flatnonzero(plcp[sa] < window)
+    twice = np.empty(len(text), bool)
+    twice[sa] = np.repeat(np.add.reduceat(weight[sa], first) >= 2, np.diff(np.r_[first, len(text)]))
+    return twice[place]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -236,9 +242,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for d, t, runs in zip(b["doc_id"], b["text"], b["runs"], strict=True):
+            for d, t, low, high in zip(b["doc_id"], b["text"], b["low"], b["high"], strict=True):
                 data = np.frombuffer(t.encode(), np.uint8)
-                gone = covered(runs, len(data), WINDOW)
+                gone = covered(low, high, len(data), WINDOW)
                 spans = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
                 rows.append((d, len(data), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])

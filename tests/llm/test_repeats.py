@@ -61,6 +61,36 @@ def test_words(spark, monkeypatch, hot):
     assert sum(w[2] for w in want) > 0
 
 
+@pytest.mark.parametrize("module", [suffix, fmindex])
+def test_every_window_comes_from_the_index(spark, module):
+    units = suffix.BYTES if module is suffix else fmindex.WORDS
+    _, hits = repeats.repeated(table(spark, rows()), units, lambda pieces, weights, window: np.zeros(len(weights), bool))
+    assert hits.count() == 0
+
+
+@pytest.mark.parametrize("stretch", [1, 40, 1 << 16])
+def test_stretches_of_copied_texts(spark, monkeypatch, stretch):
+    monkeypatch.setattr(repeats, "STRETCH", stretch)
+    text = prose(900, 3)
+    data = [(1, text), (2, text), (3, text[50:3000]), (4, "other " + text[3100:] + " end"), (5, prose(300, 4))]
+    gone = covered([t.encode() for _, t in data], 200)
+    got = {r["doc_id"]: r["n_removed"] for r in suffix.remove_repeats(table(spark, data)).collect()}
+    assert got == {d: int(g.sum()) for (d, _), g in zip(data, gone, strict=True)}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", min_size=4, max_size=12), st.integers(1, 2)), min_size=1, max_size=8))
+def test_windows_weigh_as_their_pieces(pieces):
+    count = collections.Counter()
+    for p, c in pieces:
+        for i in range(len(p) - 3):
+            count[p[i : i + 4]] += c
+    want = [count[p[i : i + 4]] > 1 for p, _ in pieces for i in range(len(p) - 3)]
+    weights = np.repeat([c for _, c in pieces], [len(p) - 3 for p, _ in pieces])
+    assert suffix.repeated_windows([p.encode() for p, _ in pieces], weights, 4).tolist() == want
+    assert fmindex.repeated_windows([" ".join(p).encode() for p, _ in pieces], weights, 4).tolist() == want
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 4), max_size=80))
 def test_suffix_array_and_common_prefixes(body):
@@ -90,7 +120,7 @@ def test_wavelet_tree_ranks(symbols):
 def test_matching_statistics(body):
     t = np.array([*body, 0])
     index, end = fmindex.FMIndex(t), np.arange(5, len(t)) if len(t) > 5 else np.array([], int)
-    got = index.matching(t, end, 5)
+    got, _ = index.matching(t, end, 5)
     for e, n in zip(end, got, strict=True):
         want = 0
         while want < 5 and sum(t[i : i + want + 1].tolist() == t[e - want - 1 : e].tolist() for i in range(len(t) - want)) >= 2:
