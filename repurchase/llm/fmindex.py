@@ -96,10 +96,18 @@ class FMIndex:
 
     def matching(self, t: np.ndarray, end: np.ndarray, most: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each end, the length (``most`` at most) of the longest stretch
-        of ``t`` before it that the index holds twice, places counted by
-        ``weight`` (1); and the interval last reached, as (low, high)."""
+        of the indexed text ``t`` before it that the index holds twice, places
+        counted by ``weight`` (1); and the last interval, as (low, high).
+
+        An interval of one place is the searched stretch itself, and stays so
+        further left: its length is read from the weights there."""
         weight = np.ones(len(t), np.int64) if weight is None else weight
         total = np.r_[0, np.cumsum(weight[self.order])]
+        rank = np.empty(len(t), np.int64)
+        rank[self.order] = np.arange(len(t))
+        place = np.arange(len(t))
+        # Heavy places in a row that end before each place.
+        heavy = np.r_[0, place - np.maximum.accumulate(np.where(weight < 2, place, -1))]
         low, high = np.zeros(len(end), np.int64), np.full(len(end), self.tree.n, np.int64)
         length, live = np.zeros(len(end), np.int64), np.arange(len(end))
         for k in range(most):
@@ -108,6 +116,11 @@ class FMIndex:
             high[live] = self.before[symbol] + self.tree.rank(symbol, high[live])
             live = live[total[high[live]] - total[low[live]] >= 2]
             length[live] = k + 1
+            one = high[live] - low[live] == 1
+            own, live = live[one], live[~one]
+            length[own] = np.minimum(k + 1 + heavy[end[own] - 1 - k], most)
+            low[own] = rank[end[own] - length[own]]
+            high[own] = low[own] + 1
             if not len(live):
                 break
         return length, np.stack([low, high])
