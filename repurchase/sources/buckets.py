@@ -10,6 +10,8 @@ A bucket is written and read by one task. If one bucket would hold more than
 ``UNEVEN`` times the mean (a key with a great part of all rows), the table is
 stored plainly and its joins shuffle, where Spark splits such keys at run time.
 That check scans the key column once, and is left out where the key is unique.
+A task sorts its bucket, and joins and groups hold it several times over, so a
+bucket is small: its decoded rows, not its file, decide a task's memory.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BUCKET_BYTES = 256 << 20
+BUCKET_BYTES = 16 << 20
 LEAST, MOST = 8, 1 << 16
 UNEVEN = 4
 FEW = 10_000  # rows of a bucket that are no burden to a task
