@@ -172,35 +172,51 @@ def fk_summary_report(tables: Mapping[str, DataFrame], fks: Iterable[ForeignKey]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _domain(table: str, keys: Sequence[str]) -> str:
-    return f"{table}({', '.join(keys)})"
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _domains(pks: Iterable[PrimaryKey], fks: Iterable[ForeignKey]) -> dict[tuple[str, tuple[str, ...]], list[int]]:
+    """The referenced keys (table, columns), each with the places of the
+    foreign keys that refer to it."""
+    out: dict[tuple[str, tuple[str, ...]], list[int]] = {(pk.table, pk.keys): [] for pk in pks}
+    for i, fk in enumerate(fks):
+        out.setdefault((fk.parent, (fk.parent_key,)), []).append(i)
+    return out
 
 
 def key_uses(tables: Mapping[str, DataFrame], pks: Iterable[PrimaryKey] = PRIMARY_KEYS, fks: Iterable[ForeignKey] = FOREIGN_KEYS) -> DataFrame:
-    """How often each key value occurs: domain (the referenced key), value (as
-    text), has_null, parents (rows that hold it as their key), uses_<i> (rows
-    that refer to it by the i-th of ``fks``).
+    """How often each key value occurs: domain (place of the referenced key
+    among ``_domains``), number and value (the key), has_null, parents (rows that
+    hold it as their key), uses_<i> (rows that refer to it by the i-th foreign
+    key of its domain).
 
     A table is read once: each row gives one tag for each constraint that looks
     at it, and tags are counted before the only shuffle, so a value with a great
-    part of all rows is one row per task.
+    part of all rows is one row per task. Most keys of a primary key occur once,
+    so that counting holds and shuffles nearly every tag: a tag is short. A first
+    key column of whole numbers on every side is ``number``, other columns are
+    the text ``value``, and a domain counts its own foreign keys only.
     """
     pks, fks = list(pks), list(fks)
     tags: dict[str, list[Column]] = {}
-
-    def tag(table: str, domain: str, keys: Sequence[str], role: int) -> None:
-        value = F.col(keys[0]).cast("string") if len(keys) == 1 else _key_text(keys)
-        one = F.struct(F.lit(domain).alias("domain"), value.alias("value"), _any_null(keys).alias("has_null"), F.lit(role).alias("role"))
+    types = {table: dict(tables[table].dtypes) for table in {*(pk.table for pk in pks), *(fk.child for fk in fks), *(fk.parent for fk in fks)}}
+    domains = _domains(pks, fks)
+
+    def tag(table: str, domain: int, keys: Sequence[str], whole: bool, role: int) -> None:
+        number = F.col(keys[0]).cast("long") if whole else F.lit(None).cast("long")
+        rest = keys[1:] if whole else keys
+        value = _key_text(rest) if len(rest) > 1 else F.col(rest[0]).cast("string") if rest else F.lit(None).cast("string")
+        one = F.struct(F.lit(domain).alias("domain"), number.alias("number"), value.alias("value"), _any_null(keys).alias("has_null"), F.lit(role).alias("role"))
         tags.setdefault(table, []).append(one)
 
-    referenced = {(fk.parent, (fk.parent_key,)) for fk in fks}
-    for table, keys in dict.fromkeys([*((pk.table, pk.keys) for pk in pks), *sorted(referenced)]):
-        tag(table, _domain(table, keys), keys, -1)
-    for i, fk in enumerate(fks):
-        tag(fk.child, _domain(fk.parent, [fk.parent_key]), [fk.child_key], i)
+    for domain, ((table, keys), users) in enumerate(domains.items()):
+        sides = [(table, keys), *((fks[i].child, (fks[i].child_key,)) for i in users)]
+        whole = all(types[t][k[0]] in _WHOLE for t, k in sides)
+        for role, (side, columns) in enumerate(sides, -1):
+            tag(side, domain, columns, whole, role)
     rows = [tables[table].select(F.inline(F.array(*own))) for table, own in tags.items()]
-    counts = [F.count_if(F.col("role") == -1).alias("parents"), *(F.count_if(F.col("role") == i).alias(f"uses_{i}") for i in range(len(fks)))]
-    return reduce(DataFrame.union, rows).groupBy("domain", "value", "has_null").agg(*counts)
+    counts = [F.count_if(F.col("role") == -1).alias("parents"), *(F.count_if(F.col("role") == i).alias(f"uses_{i}") for i in range(max(map(len, domains.values()))))]
+    return reduce(DataFrame.union, rows).groupBy("domain", "number", "value", "has_null").agg(*counts)
 
 
 def constraint_report(
@@ -218,11 +234,13 @@ def constraint_report(
     whatever the number of its constraints (``key_uses``).
     """
     allowed, pks, fks = list(expected_failures), list(pks), list(fks)
+    domains = _domains(pks, fks)
+    place = {domain: i for i, domain in enumerate(domains)}
     uses = key_uses(tables, pks, fks)
     zero = F.lit(0).cast("long")
     nulls = F.coalesce(F.sum(F.when(F.col("has_null"), F.col("parents"))), zero).alias("_nulls")
     orphan = (F.col("parents") == 0) & ~F.col("has_null")
-    orphans = [F.coalesce(F.sum(F.when(orphan, F.col(f"uses_{i}"))), zero).alias(f"_orphans_{i}") for i in range(len(fks))]
+    orphans = [F.coalesce(F.sum(F.when(orphan, F.col(f"uses_{i}"))), zero).alias(f"_orphans_{i}") for i in range(max(map(len, domains.values())))]
     # One row per domain of keys, then one per constraint that looks at it.
     found = uses.groupBy("domain").agg(F.count_if(F.col("parents") > 1).alias("_duplicates"), nulls, *orphans)
     row = lambda c, kind, domain, d, n, o: F.struct(
@@ -234,8 +252,9 @@ def constraint_report(
         n.alias("null_key_rows"),
         o.alias("orphan_rows"),
     )
-    rows = [row(pk, "PRIMARY KEY", _domain(pk.table, pk.keys), F.col("_duplicates"), F.col("_nulls"), zero) for pk in pks]
-    rows += [row(fk, "FOREIGN KEY", _domain(fk.parent, [fk.parent_key]), zero, zero, F.col(f"_orphans_{i}")) for i, fk in enumerate(fks)]
+    rows = [row(pk, "PRIMARY KEY", place[pk.table, pk.keys], F.col("_duplicates"), F.col("_nulls"), zero) for pk in pks]
+    for domain, users in domains.items():
+        rows += [row(fks[i], "FOREIGN KEY", place[domain], zero, zero, F.col(f"_orphans_{role}")) for role, i in enumerate(users)]
     cols = ["constraint_name", "constraint_type", "table_name", "duplicate_keys", "null_key_rows", "orphan_rows"]
     # A domain of empty tables has no row: every constraint is listed anyway.
     none = next(iter(tables.values())).sparkSession.range(1).select(*[zero.alias(c) for c in found.columns[1:]])

@@ -190,7 +190,7 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
 
 
 # Tables that are joined by the order's key: stored in the same buckets of it.
-ORDER_KEYED = ("orders", "order_items", "order_reviews")
+ORDER_KEYED = ("orders", "order_items", "order_reviews", "order_payments")
 
 _OPENED: dict[tuple[str, str], DataFrame] = {}
 
