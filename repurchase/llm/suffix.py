@@ -4,9 +4,10 @@ also starts elsewhere is removed.
 Texts meet in shards (see ``repeats``). A shard's pieces are joined by a
 separator; its suffix array comes from induced sorting: suffixes are classed
 as larger or smaller than their successor, the leftmost-smaller substrings
-(from one such place to the next) are sorted by inducing, named, and sorted
-recursively while names repeat; the sorted leftmost-smaller suffixes then
-induce all others in two linear scans. A scan handles a whole bucket at once.
+(from one such place to the next) are sorted by inducing and named; where names
+repeat, suffixes of the sequence of names are ranked by ever longer starts; the
+sorted leftmost-smaller suffixes then induce all others in two linear scans. A
+scan handles a whole bucket at once.
 Common prefixes are computed in text order from each suffix's predecessor:
 one whose preceding byte agrees with its predecessor's is one shorter than the
 prefix before it, so only the others are compared. Suffixes that share 200
@@ -31,6 +32,7 @@ from .repeats import Units, covered, window_places, with_runs
 WINDOW = 200
 GRAM = 64
 _SEPARATOR, _FIRST = 1, 2
+_PACKED = 1 << 21  # ranks below it fit three to a word
 
 BYTES = Units(
     split=lambda data: np.frombuffer(data, np.uint8),
@@ -122,52 +124,40 @@ def _names(t: np.ndarray, starts: np.ndarray, ordered: np.ndarray) -> np.ndarray
     return names
 
 
-def _sort_names(s: np.ndarray, size: int) -> np.ndarray:
-    """Suffix array of a sequence of names by induced sorting, one place at a
-    time: there are nearly as many buckets as places."""
+def _sort_names(s: np.ndarray) -> np.ndarray:
+    """Rank of each suffix of a sequence of names, the last one unique and
+    least. Ranks by the first k names become ranks by 3k (its own and those of
+    the suffixes k and 2k on), and only suffixes that still share a rank are
+    compared again."""
     n = len(s)
-    if n == 1:
-        return np.array([0])
-    small = _smaller(s)
-    starts = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    ends = np.cumsum(np.bincount(s, minlength=size))
-    heads, tails = np.r_[0, ends[:-1]].tolist(), ends.tolist()
-    # Bucket into which a suffix puts its predecessor in either scan, or -1;
-    # place 0 has none, so 0 also stands for a free slot.
-    to_larger = np.r_[-1, np.where(small[:-1], -1, s[:-1])].tolist()
-    to_smaller = np.r_[-1, np.where(small[:-1], s[:-1], -1)].tolist()
-
-    def induce(seeds: np.ndarray) -> np.ndarray:
-        sa = [0] * n
-        tail = tails[:]
-        for i, c in zip(seeds[::-1].tolist(), s[seeds[::-1]].tolist(), strict=True):
-            tail[c] -= 1
-            sa[tail[c]] = i
-        head = heads[:]
-        for x in sa:
-            c = to_larger[x]
-            if c >= 0:
-                k = head[c]
-                sa[k] = x - 1
-                head[c] = k + 1
-        tail = tails[:]
-        for x in reversed(sa):
-            c = to_smaller[x]
-            if c >= 0:
-                k = tail[c] - 1
-                sa[k] = x - 1
-                tail[c] = k
-        return np.array(sa)
-
-    is_start = np.zeros(n, bool)
-    is_start[starts] = True
-    rank = induce(starts)
-    ordered = rank[is_start[rank]]
-    names = _names(s, starts, ordered)
-    top = int(names.max()) + 1
-    if top < len(starts):
-        ordered = starts[_sort_names(names, top)]
-    return induce(ordered)
+    # Rank of the first suffix of each group of equals, counted from 1; past
+    # the end lies 0.
+    rank = np.zeros(n + 1, np.uint64)
+    counts = np.bincount(s)
+    rank[:-1] = (np.cumsum(counts) - counts + 1)[s]
+    live = np.flatnonzero(counts[s] > 1)
+    bits, step = np.uint64(_PACKED.bit_length() - 1), 1
+    while len(live):
+        near, far = rank[np.minimum(live + step, n)], rank[np.minimum(live + 2 * step, n)]
+        own = rank[live]
+        if n < _PACKED:
+            key = own << bits << bits | near << bits | far
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            new = np.r_[True, key[1:] != key[:-1]]
+        else:
+            order = np.lexsort([far, near, own])
+            new = np.r_[True, np.any([x[order][1:] != x[order][:-1] for x in (own, near, far)], axis=0)]
+        own = own[order]
+        place = np.arange(len(live))
+        group = np.maximum.accumulate(np.where(np.r_[True, own[1:] != own[:-1]], place, 0))
+        first = np.flatnonzero(new)
+        size = np.diff(np.r_[first, len(live)])
+        live = live[order]
+        rank[live] = own + np.repeat(first - group[first], size).astype(np.uint64)
+        live = live[np.repeat(size > 1, size)]
+        step *= 3
+    return rank[:-1].astype(np.int64) - 1
 
 
 def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
@@ -183,7 +173,8 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     names = _names(t, starts, ordered)
     top = int(names.max()) + 1
     if top < len(starts):
-        ordered = starts[_sort_names(names, top)]
+        ordered = np.empty(len(starts), np.int64)
+        ordered[_sort_names(names)] = starts
     return _induce(t, small, ordered, size)
 
 
